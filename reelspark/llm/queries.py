@@ -8,11 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import byte_bpe, fingerprint, flac, ngram_join, packing, substring_dedup, url_rules
-from reelspark.llm.common import table
+from reelspark.llm import byte_bpe, fingerprint, flac, language_id, license_scan, ngram_join, packing, substring_dedup, toxicity, url_rules
+from reelspark.llm.common import held_out, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+#: Notices and openings of public licenses, as they stand in texts.
+LICENSES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0 notice", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("Reserved", "All rights reserved."),
+]
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -33,6 +45,15 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out())
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), held_out())
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +62,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), spark.createDataFrame(LICENSES, "template_id string, text string"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -51,8 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_join": op4_ngram_join,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,
     "op8_media": op8_media,
+    "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -114,10 +114,10 @@ def _boundary_windows(docs: DataFrame, places: DataFrame, window: int, anchor: i
     return docs.select("row", "text").join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(run, "anchor long, block long, ahead int, content long, n long")
 
 
-def _cut(docs: DataFrame, found: DataFrame, window: int, anchor: int) -> DataFrame:
+def _cut(docs: DataFrame, found: DataFrame, window: int, anchor: int, carry: tuple[str, ...]) -> DataFrame:
     """Merge factors and checked windows (row, at, aheads) into spans, and leave their words out."""
     marks = found.groupBy("row").agg(F.collect_list(F.struct("at", "aheads")).alias("found"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = ["doc_id", *carry]
     spans_type = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,21 +150,24 @@ def _cut(docs: DataFrame, found: DataFrame, window: int, anchor: int) -> DataFra
                 kept = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.filter(pa.array(~gone)).cast(pa.string()))
                 total = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pc.binary_join(kept, " "), pa.array(total), pa.array(total - np.diff(left)), spans.cast(spans_type)],
-                    ["doc_id", "kept", "n_words", "n_removed", "spans"],
+                    [*(part.column(c) for c in own), pc.binary_join(kept, " "), pa.array(total), pa.array(total - np.diff(left)), spans.cast(spans_type)],
+                    [*own, "kept", "n_words", "n_removed", "spans"],
                 )
 
-    joined = docs.join(marks.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(run, f"doc_id {kind}, kept string, n_words long, n_removed long, spans array<struct<first_word: int, n_words: int>>")
+    joined = docs.join(marks.hint("shuffle_hash"), "row", "left").select(*own, "text", "found")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return joined.mapInArrow(run, f"{schema}, kept string, n_words long, n_removed long, spans array<struct<first_word: int, n_words: int>>")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, kept (the words left, joined by one space), n_words, n_removed and
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text and the columns to carry along. Returns doc_id, those, kept (the words left, joined by one space), n_words, n_removed and
     spans (array of first_word, n_words: the removed runs of words).
     """
     if not 0 < anchor <= window:
         raise ValueError("an anchor has at least one word and at most a window's")
-    keyed = docs.select("doc_id", "text").select(_row_key(), "doc_id", "text")
+    if {"row", "doc_id", "text", "found", "kept", "n_words", "n_removed", "spans"} & set(carry):
+        raise ValueError("a column to carry has the name of one of the result's")
+    keyed = docs.select(_row_key(), "doc_id", "text", *carry)
     every = anchors(keyed, window, anchor)
     index = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).filter("n > 1")
     shared = materialise(every.join(index, "anchor").select("row", "at", "anchor", "block", (F.col("low") != F.col("high")).alias("differ")), "anchors")
@@ -178,4 +181,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     repeated = windows.groupBy(*place).agg(F.sum("n").alias("total")).filter("total > 1").select(*place)
     checked = windows.join(repeated, place).groupBy("anchor", "block").agg(F.collect_list("ahead").alias("aheads"))
     partial = differing.join(checked, ["anchor", "block"]).select("row", "at", "aheads")
-    return _cut(keyed, factors.unionByName(partial), window, anchor)
+    return _cut(keyed, factors.unionByName(partial), window, anchor, carry)
