@@ -7,17 +7,17 @@ windows have the same anchor at the same place, so an index of anchors misses no
 is all that the windows around it can reach: ``window - anchor`` words to either side.
 
 * A document is parsed against every indexed block that shares an anchor with it. A block that stands
-  whole at more than one place is a factor; a copy is a chain of such blocks, merged into the longest
-  factors. This needs one count by anchor, not the pairs of a group of copies.
+  whole at more than one place is a factor; a copy is a chain of such blocks, merged into the longest factors.
 * Where blocks of one anchor differ, a factor begins or ends inside a block. There each window is checked by
-  itself, one occurrence of each distinct block standing for all, so thousands of copies cost as much as one.
+  itself; one occurrence stands for all of a block that is found whole elsewhere.
 
-Hot anchors are pre-aggregated before the shuffle; their occurrences come back by a sort-merge join, which
-adaptive execution splits. No task gathers the occurrences of an anchor.
+No key gathers many rows. Blocks that a batch of texts has twice are factors at once and send one row for all to the shuffle;
+the blocks of an anchor that a batch has ``hot_at`` times skip the index and are checked window by window, dealt by the window's
+content instead of the anchor, and windows that a batch has twice send one row again.
 
 Defined results: null and empty texts have no words. Rows are told apart by doc_id (null included) and text; repeated
 rows repeat each other's passages and are each cut. Documents shorter than a window keep all words. Texts without
-removals are joined by single spaces like all others. Extra columns of the input are ignored.
+removals are joined by single spaces like all others. Extra columns of the input are ignored unless carried along.
 """
 
 from __future__ import annotations
@@ -31,15 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import wordhash
-from reelspark.llm.common import materialise
+from reelspark.llm.common import key_filter, materialise
 
-WINDOW, ANCHOR = 35, 8
+WINDOW, ANCHOR, HOT = 35, 8, 64
 _LAST = np.uint64(2**64 - 1)
 
 
 def _row_key() -> Column:
     """Rows that agree in doc_id and text have the same result, so they may share a key."""
-    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("digest")).alias("row")
+    return F.struct(F.col("doc_id"), F.hash("text").alias("digest")).alias("row")
 
 
 class _Parse:
@@ -63,6 +63,15 @@ class _Parse:
         reach = wordhash.sliding(np.concatenate([np.zeros(gap - 1, np.uint64), self.least]), gap, False) if n else padded[:0]
         self.anchors = np.flatnonzero((reach == self.hash) & whole)
 
+    def before(self) -> np.ndarray:
+        """For each anchor the last place before it with the same hash, or -1; a window belongs to its first anchor."""
+        order = np.lexsort((self.anchors, self.hash[self.anchors]))
+        at = self.anchors[order]
+        same = self.hash[at[1:]] == self.hash[at[:-1]]
+        out = np.full(len(at), -1, np.int64)
+        out[order[1:][same]] = at[:-1][same]
+        return out
+
     def blocks(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.maximum(self.first[at], at - self.reach), np.minimum(self.last[at], at + self.window)
 
@@ -71,28 +80,96 @@ class _Parse:
         return wordhash.mix(self.sequence.of(a, b) + np.uint64(1000003) * (at - a).astype(np.uint64) + (b - at).astype(np.uint64))
 
 
-def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """row, at (word number), anchor and block (hashes) of every anchor of docs (row, text)."""
+def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, how many rows have its keys, and whether it is the first of them."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys]) if len(order) else new[1:]
+    group = np.cumsum(new) - 1
+    count, first = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    count[order], first[order] = np.bincount(group)[group] if len(order) else 0, new
+    return count, first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by key, cut so that equal keys stay together."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if rest is None else pa.concat_batches([rest, batch])
+        keys = batch.column(key).to_numpy()
+        at = int(np.searchsorted(keys, keys[-1], "left"))
+        rest = batch.slice(at)
+        if at:
+            yield batch.slice(0, at)
+    if rest is not None:
+        yield rest
+
+
+def shared_blocks(docs: DataFrame, window: int, anchor: int, hot_at: int) -> DataFrame:
+    """row, at (word number), ask, hot: the anchors that stand at more than one place, of docs (row, text).
+
+    ask 0: the whole block is a factor. ask 1: its windows are to be checked. ask 2: its windows are known to
+    repeat and stand for all like it. hot: windows of this anchor meet by content.
+    """
+    kind = docs.schema["row"].dataType.simpleString()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.slices(batch, "text"):
                 p = _Parse(part.column("text"), window, anchor)
-                at = p.anchors
-                doc = p.doc[at]
+                at, doc = p.anchors, p.doc[p.anchors]
+                name, block = p.hash[at], p.block_hash(at)
+                times, first = _repeats(name, block)
+                of_anchor, first_of_anchor = _repeats(name)
+                twice, often = times > 1, of_anchor >= hot_at
+                # weight 1 asks; 2 stands for a repeated block; 0 tells of a hot anchor. Rows with an answer go anywhere.
+                known = twice | often
+                index = np.concatenate([np.flatnonzero(~known), np.flatnonzero(twice & first), np.flatnonzero(often & first_of_anchor), np.flatnonzero(known)])
+                counts = [(~known).sum(), (twice & first).sum(), (often & first_of_anchor).sum(), known.sum()]
+                weight = np.repeat(np.array([1, 2, 0, 3], np.int8), counts)
+                ask = np.where(weight == 3, (~twice[index]).astype(np.int8), np.int8(-1)).astype(np.int8)
+                key = np.where(weight == 3, wordhash.mix(index.astype(np.uint64) + name[index]), name[index]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(pa.array(doc)), pa.array((at - p.first[at]).astype(np.int32)), pa.array(p.hash[at].view(np.int64)), pa.array(p.block_hash(at).view(np.int64))],
-                    ["row", "at", "anchor", "block"],
+                    [pa.array(key), pa.array(np.where(weight == 3, 0, block[index].view(np.int64))), part.column("row").take(pa.array(doc[index])), pa.array((at - p.first[at])[index].astype(np.int32)), pa.array(weight), pa.array(ask)],
+                    ["anchor", "block", "row", "at", "weight", "ask"],
                 )
 
-    return docs.select("row", "text").mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, at int, anchor long, block long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "anchor"):
+            name, block, weight, ask = (batch.column(c).to_numpy() for c in ("anchor", "block", "weight", "ask"))
+            done = weight == 3
+            mixed = np.where(done, -1 - np.arange(len(name)), name)  # answered rows stand alone
+            alone = np.concatenate([[True], mixed[1:] != mixed[:-1]]) | done
+            group = np.cumsum(alone) - 1
+            new = alone | np.concatenate([[True], block[1:] != block[:-1]])
+            block_no = np.cumsum(new) - 1
+            rows, blocks = np.bincount(group[~done], minlength=group[-1] + 1)[group], np.bincount(group, weights=new)[group]
+            total = np.bincount(block_no, weights=np.where(done, 0, weight))[block_no]
+            hot = np.bincount(group, weights=weight == 0)[group] > 0
+            shared = (rows > 1) & ~done
+            whole = shared & (weight == 1) & (total > 1)
+            check = shared & (weight == 1) & (total == 1)
+            stands = shared & new & (total > 1) & (blocks > 1)
+            stands &= weight > 0
+            out = np.concatenate([np.flatnonzero(done), np.flatnonzero(whole), np.flatnonzero(check), np.flatnonzero(stands)])
+            answer = np.concatenate([ask[done], np.zeros(whole.sum(), np.int8), np.ones(check.sum(), np.int8), np.full(stands.sum(), 2, np.int8)]).astype(np.int8)
+            is_hot = np.where(done, ask == 1, hot)[out]
+            some = batch.take(pa.array(out))
+            yield pa.RecordBatch.from_arrays([some.column("row"), some.column("at"), pa.array(answer), pa.array(is_hot)], ["row", "at", "ask", "hot"])
 
+    parsed = docs.select("row", "text").mapInArrow(parse, f"anchor long, block long, row {kind}, at int, weight byte, ask byte")
+    return parsed.repartition("anchor").sortWithinPartitions("anchor", "block", F.desc("weight")).mapInArrow(compare, f"row {kind}, at int, ask byte, hot boolean")
 
-def _boundary_windows(docs: DataFrame, places: DataFrame, window: int, anchor: int) -> DataFrame:
-    """anchor, block, ahead, content, n: the windows that have their anchor at the given places (row, at, anchor, block, n)."""
-    asked = places.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "block", "n")).alias("asked"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_windows(docs: DataFrame, places: DataFrame, window: int, anchor: int) -> DataFrame:
+    """row, at, aheads: of the windows that belong to the places (row, at, ask, hot), those that repeat."""
+    kind = docs.schema["row"].dataType.simpleString()
+    asked = places.groupBy("row").agg(F.collect_list(F.struct("at", "ask", "hot")).alias("asked"))
+    names = ["key", "row", "at", "weight", "aheads", "contents"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.slices(batch, "text"):
                 p = _Parse(part.column("text"), window, anchor)
@@ -100,23 +177,71 @@ def _boundary_windows(docs: DataFrame, places: DataFrame, window: int, anchor: i
                 rows = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
                 flat = lists.flatten()
                 at = flat.field("at").to_numpy().astype(np.int64) + p.offsets[:-1][rows]
-                for ahead in range(p.reach + 1):
-                    begin = at - ahead
-                    own = (begin >= p.first[at]) & (begin + window <= p.last[at])
-                    own[own] = p.least[begin[own]] == p.hash[at[own]]
-                    keep, begin = pa.array(own), begin[own]
-                    content = p.sequence.of(begin, begin + window).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [flat.field("anchor").filter(keep), flat.field("block").filter(keep), pa.array(np.full(len(begin), ahead, np.int32)), pa.array(content), flat.field("n").filter(keep)],
-                        ["anchor", "block", "ahead", "content", "n"],
-                    )
-
-    return docs.select("row", "text").join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(run, "anchor long, block long, ahead int, content long, n long")
-
-
-def _cut(docs: DataFrame, found: DataFrame, window: int, anchor: int, carry: tuple[str, ...]) -> DataFrame:
-    """Merge factors and checked windows (row, at, aheads) into spans, and leave their words out."""
-    marks = found.groupBy("row").agg(F.collect_list(F.struct("at", "aheads")).alias("found"))
+                ask, hot = flat.field("ask").to_numpy(), flat.field("hot").to_numpy(zero_copy_only=False)
+                last = p.before()[np.searchsorted(p.anchors, at)]
+                ahead = np.tile(np.arange(p.reach, -1, -1), (len(at), 1))  # every window an anchor can have, row by row
+                begin = at[:, None] - ahead
+                own = (begin > last[:, None]) & (begin >= p.first[at][:, None]) & (begin + window <= p.last[at][:, None])
+                own &= p.least[np.maximum(begin, 0)] == p.hash[at][:, None]
+                which, begin, ahead = np.nonzero(own)[0], begin[own], ahead[own].astype(np.uint8)
+                content = p.sequence.of(begin, begin + window)
+                # hot anchors: windows that this batch has twice are known; one of them stands for all
+                h = hot[which]
+                times, first = _repeats(content[h], np.zeros(h.sum(), np.int8))
+                weight = np.where(ask[which[h]] == 2, 2, 1)
+                twice = (times > 1) & (weight == 1)
+                send = np.flatnonzero(~twice | first)
+                w, a, c = which[h], ahead[h], content[h]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[send].view(np.int64)), part.column("row").take(pa.array(rows[w[send]])), pa.array((at - p.first[at])[w[send]].astype(np.int32)), pa.array(np.where(twice[send], 2, weight[send]).astype(np.int8)), pa.array([x.tobytes() for x in a[send]], pa.binary()), pa.array([x.tobytes() for x in c[send]], pa.binary())],
+                    names,
+                )
+                known = np.flatnonzero(twice)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wordhash.mix(c[known] + known.astype(np.uint64)).view(np.int64)), part.column("row").take(pa.array(rows[w[known]])), pa.array((at - p.first[at])[w[known]].astype(np.int32)), pa.array(np.full(len(known), 3, np.int8)), pa.array([x.tobytes() for x in a[known]], pa.binary()), pa.array([b""] * len(known), pa.binary())],
+                    names,
+                )
+                # the others: all windows of an anchor in one row
+                w, a, c = which[~h], ahead[~h], content[~h]
+                edges = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+                ends = np.append(edges[1:], len(w))
+                place = w[edges]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(p.hash[at[place]].view(np.int64)),
+                        part.column("row").take(pa.array(rows[place])),
+                        pa.array((at - p.first[at])[place].astype(np.int32)),
+                        pa.array(np.where(ask[place] == 2, 2, 1).astype(np.int8)),
+                        pa.array([a[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
+                        pa.array([c[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
+                    ],
+                    names,
+                )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "key"):
+            weight = batch.column("weight").to_numpy()
+            contents, aheads = batch.column("contents").to_pylist(), batch.column("aheads").to_pylist()
+            each = np.array([len(x) for x in aheads])
+            ahead = np.frombuffer(b"".join(aheads), np.uint8)
+            found = np.repeat(weight == 3, each)
+            held = np.repeat(weight != 3, each)
+            _, at = np.unique(np.frombuffer(b"".join(contents), np.uint64), return_inverse=True)
+            found[held] = np.bincount(at, weights=np.repeat(weight, each)[held])[at] > 1 if len(at) else False
+            found &= np.repeat(weight != 2, each)
+            left = np.concatenate([[0], np.cumsum(found)])[np.concatenate([[0], np.cumsum(each)])]
+            lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(ahead[found].astype(np.int32)))
+            out = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), lists], ["row", "at", "aheads"])
+            yield out.filter(pa.array(np.diff(left) > 0))
+
+    lent = docs.select("row", "text").join(asked.hint("shuffle_hash"), "row").select("row", "text", "asked")
+    cuts = lent.mapInArrow(cut, f"key long, row {kind}, at int, weight byte, aheads binary, contents binary")
+    return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(meet, f"row {kind}, at int, aheads array<int>")
+
+
+def _cut(docs: DataFrame, found: DataFrame | None, window: int, anchor: int, carry: tuple[str, ...]) -> DataFrame:
+    """Merge factors and checked windows (row, at, aheads) into spans, and leave their words out. found None: there are none."""
+    none = F.lit(None).cast("array<struct<at: int, aheads: array<int>>>").alias("found")
     own = ["doc_id", *carry]
     spans_type = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())]))
 
@@ -154,12 +279,16 @@ def _cut(docs: DataFrame, found: DataFrame, window: int, anchor: int, carry: tup
                     [*own, "kept", "n_words", "n_removed", "spans"],
                 )
 
-    joined = docs.join(marks.hint("shuffle_hash"), "row", "left").select(*own, "text", "found")
+    if found is None:
+        joined = docs.select(*own, "text", none)
+    else:
+        marks = found.groupBy("row").agg(F.collect_list(F.struct("at", "aheads")).alias("found"))
+        joined = docs.join(marks.hint("shuffle_hash"), "row", "left").select(*own, "text", "found")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
     return joined.mapInArrow(run, f"{schema}, kept string, n_words long, n_removed long, spans array<struct<first_word: int, n_words: int>>")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: tuple[str, ...] = (), hot_at: int = HOT) -> DataFrame:
     """docs: doc_id, text and the columns to carry along. Returns doc_id, those, kept (the words left, joined by one space), n_words, n_removed and
     spans (array of first_word, n_words: the removed runs of words).
     """
@@ -168,17 +297,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if {"row", "doc_id", "text", "found", "kept", "n_words", "n_removed", "spans"} & set(carry):
         raise ValueError("a column to carry has the name of one of the result's")
     keyed = docs.select(_row_key(), "doc_id", "text", *carry)
-    every = anchors(keyed, window, anchor)
-    index = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).filter("n > 1")
-    shared = materialise(every.join(index, "anchor").select("row", "at", "anchor", "block", (F.col("low") != F.col("high")).alias("differ")), "anchors")
-    none = F.lit(None).cast("array<int>").alias("aheads")
-    factors = shared.filter("not differ").select("row", "at", none)
-    differing = shared.filter("differ")
-    blocks = differing.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("place"))
-    windows = materialise(_boundary_windows(keyed, blocks.select("place.row", "place.at", "anchor", "block", "n"), window, anchor), "windows")
-    # A periodic window has several anchors; by "ahead" it counts once for each, not several times for one.
-    place = ["anchor", "ahead", "content"]
-    repeated = windows.groupBy(*place).agg(F.sum("n").alias("total")).filter("total > 1").select(*place)
-    checked = windows.join(repeated, place).groupBy("anchor", "block").agg(F.collect_list("ahead").alias("aheads"))
-    partial = differing.join(checked, ["anchor", "block"]).select("row", "at", "aheads")
-    return _cut(keyed, factors.unionByName(partial), window, anchor, carry)
+    shared = materialise(shared_blocks(keyed, window, anchor, hot_at), "blocks")
+    differing = shared.filter("ask > 0")
+    checked = repeated_windows(keyed.filter(key_filter(differing, "row")), differing, window, anchor)
+    factors = shared.filter("ask = 0").select("row", "at", F.lit(None).cast("array<int>").alias("aheads"))
+    found = materialise(factors.unionByName(checked), "factors")
+    marked = key_filter(found, "row")
+    return _cut(keyed.filter(marked), found, window, anchor, carry).unionByName(_cut(keyed.filter(~marked), None, window, anchor, carry))

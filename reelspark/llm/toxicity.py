@@ -7,7 +7,8 @@ offending spans are runs of words with a marginal of ``span_at`` or more, as cha
 
 Labelled tokens come from labelled documents: features found mostly in toxic documents mark words of toxic documents T; all words of
 the others are O. The model is fitted on at most about ``per_label`` labelled documents of each label (weighted back to their true
-share), drawn by a hash; the driver holds these alone. Every text is then scored whole.
+share), drawn by a hash; the driver holds
+these alone. Every text is then scored whole.
 
 Defined results: null and empty texts have no words and get the score of a document without toxic words. Rows with a null or no label teach
 nothing; of several labels of one doc_id the greatest counts. Without any toxic or any harmless label all scores are 0. Repeated rows are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm import wordhash
 
-PER_LABEL, SPAN_AT, PREDICT_AT = 2500, 0.5, 0.3
+PER_LABEL, SPAN_AT, PREDICT_AT = 1500, 0.5, 0.3
 SLOTS = 1 << 17
 TOGETHER = 6_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -129,11 +130,15 @@ def _train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int =
     slots = features(coded.dictionary.to_pylist())
     word = coded.indices.to_numpy().astype(np.int64)
     doc = wordhash.doc_of(offsets)
-    # Which features mark toxic documents? Counted once a document.
-    flat = np.unique(doc[:, None] * SLOTS + slots[word])
-    d, f = flat // SLOTS, flat % SLOTS
-    hits = np.bincount(f[toxic[d]], minlength=SLOTS).astype(float)
-    others = np.bincount(f[~toxic[d]], minlength=SLOTS).astype(float)
+    # Which features mark toxic documents? Counted once a document; the columns in turn, to hold little at a time.
+    hits, others = np.zeros(SLOTS), np.zeros(SLOTS)
+    seen_in = np.unique(doc * len(slots) + word)
+    d, w = seen_in // len(slots), seen_in % len(slots)
+    for column in slots.T:
+        pairs = np.unique(d * SLOTS + column[w])
+        bad = toxic[pairs // SLOTS]
+        hits += np.bincount(pairs[bad] % SLOTS, minlength=SLOTS)
+        others += np.bincount(pairs[~bad] % SLOTS, minlength=SLOTS)
     hits[0] = 0
     lift = np.log((hits + 0.25) / (toxic.sum() + 1)) - np.log((others + 0.25) / ((~toxic).sum() + 1))
     marks = (hits >= min(5, max(2, toxic.sum() / 100))) & (lift > 2.3)
@@ -160,8 +165,8 @@ def _train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int =
         # expected transitions from the odds on both sides
         r, x = ahead[inner - 1], odds[inner] * behind[inner]
         w = np.exp(stay)
-        cells = np.stack([np.full(len(r), w[0, 0]), w[0, 1] * x, w[1, 0] * r, w[1, 1] * r * x])
-        expected = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        all_ = 1 / (w[0, 0] + w[0, 1] * x + w[1, 0] * r + w[1, 1] * r * x)
+        expected = w * np.array([[all_.sum(), (x * all_).sum()], [(r * all_).sum(), (r * x * all_).sum()]])
         g_stay = seen - expected - 0.02 * stay
         g_bias = gap.sum()
         speed += g * g
