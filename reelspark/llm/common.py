@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,25 +48,18 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: Bits of a key filter: 4 MB, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: Bits of a key filter; its table has at most a 64th as many rows of two numbers, whatever the number of keys.
+FILTER_BITS = 1 << 24
 
 
-def key_filter(keys: DataFrame, key: str):
-    """A predicate on a column of hashes (long): false only where it is none of the keys.
+def mark_known(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Add ``known`` (boolean) to rows: false only where the key is none of those in keys.
 
-    One bit for each hash value modulo FILTER_BITS, so its size is fixed; with many more keys than bits it lets everything pass. It
-    spares rows a shuffle and never decides a result.
+    One bit for each hash value modulo FILTER_BITS, so what is broadcast has a fixed bound; with many more keys than bits all
+    rows are marked. It spares rows a shuffle and never decides a result.
     """
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    words = keys.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-
-    @F.pandas_udf("boolean")
-    def known(place: pd.Series) -> pd.Series:
-        at = place.to_numpy().astype(np.uint64)
-        return pd.Series((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
-
-    return known(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
+    word, bit = F.shiftright(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = keys.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+    marked = rows.withColumn("word_", word).withColumn("bit_", bit).join(F.broadcast(words), "word_", "left")
+    return marked.withColumn("known", F.coalesce(F.col("bits_").bitwiseAND(F.col("bit_")) != 0, F.lit(False))).drop("word_", "bit_", "bits_")

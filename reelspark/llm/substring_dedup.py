@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import wordhash
-from reelspark.llm.common import key_filter, materialise
+from reelspark.llm.common import mark_known, materialise
 
 WINDOW, ANCHOR, HOT = 35, 8, 64
 _LAST = np.uint64(2**64 - 1)
@@ -151,8 +151,8 @@ def shared_blocks(docs: DataFrame, window: int, anchor: int, hot_at: int) -> Dat
             shared = (rows > 1) & ~done
             whole = shared & (weight == 1) & (total > 1)
             check = shared & (weight == 1) & (total == 1)
-            stands = shared & new & (total > 1) & (blocks > 1)
-            stands &= weight > 0
+            # blocks of a hot anchor were sent on without the index, so there are others beside those seen here
+            stands = shared & new & (total > 1) & (weight > 0) & ((blocks > 1) | hot)
             out = np.concatenate([np.flatnonzero(done), np.flatnonzero(whole), np.flatnonzero(check), np.flatnonzero(stands)])
             answer = np.concatenate([ask[done], np.zeros(whole.sum(), np.int8), np.ones(check.sum(), np.int8), np.full(stands.sum(), 2, np.int8)]).astype(np.int8)
             is_hot = np.where(done, ask == 1, hot)[out]
@@ -299,8 +299,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     keyed = docs.select(_row_key(), "doc_id", "text", *carry)
     shared = materialise(shared_blocks(keyed, window, anchor, hot_at), "blocks")
     differing = shared.filter("ask > 0")
-    checked = repeated_windows(keyed.filter(key_filter(differing, "row")), differing, window, anchor)
+    checked = repeated_windows(mark_known(keyed, differing, "row").filter("known"), differing, window, anchor)
     factors = shared.filter("ask = 0").select("row", "at", F.lit(None).cast("array<int>").alias("aheads"))
     found = materialise(factors.unionByName(checked), "factors")
-    marked = key_filter(found, "row")
-    return _cut(keyed.filter(marked), found, window, anchor, carry).unionByName(_cut(keyed.filter(~marked), None, window, anchor, carry))
+    marked = mark_known(keyed, found, "row")
+    return _cut(marked.filter("known"), found, window, anchor, carry).unionByName(_cut(marked.filter("not known"), None, window, anchor, carry))

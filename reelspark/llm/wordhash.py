@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that a task turns into words at a time; texts are never cut, a longer one is taken alone.
-TOGETHER = 3_000_000
+TOGETHER = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
