@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -433,7 +434,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", payload_col: str = "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _batches([len(x) if x.is_valid else 0 for x in batch.column(1)], TOGETHER):
+            for a, b in _batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), TOGETHER):
                 media = write([x or b"" for x in batch.column(1).slice(a, b - a).to_pylist()])
                 found = read(media)
                 blocks = [[{"first_sample": at, "n_samples": len(x), "pcm": (x + 128).astype(np.uint8).tobytes()} for at, x in f[2]] for f in found]
@@ -455,7 +456,7 @@ def read_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _batches([len(x) if x.is_valid else 0 for x in batch.column(1)], TOGETHER):
+            for a, b in _batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), TOGETHER):
                 ids = batch.column(0).slice(a, b - a).to_pylist()
                 rows = [(i, ok, error, at, None if x is None else len(x), None if x is None else x.tolist()) for i, (ok, error, blocks) in zip(ids, read([x or b"" for x in batch.column(1).slice(a, b - a).to_pylist()]), strict=True) for at, x in blocks or [(None, None)]]
                 types = [batch.schema.field(0).type, pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]

@@ -10,7 +10,8 @@ exactly: share of the template's shingles that the window holds.
 Templates are a bounded parameter (``MOST_TEMPLATES`` rows, checked); they go to every task, so documents are never shuffled.
 
 Defined results: null texts and texts without words match nothing; null templates and templates without words are ignored. Equal
-templates match each by itself. A row for each match: where windows overlap, equal matches are one. Repeated rows match each by itself; extra
+templates match each by itself. A row for each match: of matches of one template that overlap, the
+fullest stands (then the longest, then the first). Repeated rows match each by itself; extra
 columns are ignored.
 """
 
@@ -97,7 +98,14 @@ class _Templates:
             share = len(np.unique(shingles[a:b][hit])) / len(want)
             if share >= self.least:
                 found.add((r, name, a + int(hit[0]) - int(begins[r]), int(hit[-1] - hit[0]) + 1, share))
-        yield from sorted(found)
+        # two windows can hold parts of one occurrence: of matches that overlap, the fullest stands
+        kept: list[tuple[int, str, int, int, float]] = []
+        for m in sorted(found):
+            if kept and kept[-1][:2] == m[:2] and m[2] < kept[-1][2] + kept[-1][3]:
+                kept[-1] = max(kept[-1], m, key=lambda x: (x[4], x[3], -x[2]))
+            else:
+                kept.append(m)
+        yield from kept
 
 
 def _prepare(templates: list[tuple[str, str]], shingle: int, least: float, recall: float) -> list[_Templates]:

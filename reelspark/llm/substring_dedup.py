@@ -204,7 +204,7 @@ def repeated_windows(docs: DataFrame, places: DataFrame, window: int, anchor: in
                 # the others: all windows of an anchor in one row
                 w, a, c = which[~h], ahead[~h], content[~h]
                 edges = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-                ends = np.append(edges[1:], len(w))
+                ends = np.append(edges[1:], len(w))[: len(edges)]
                 place = w[edges]
                 yield pa.RecordBatch.from_arrays(
                     [
