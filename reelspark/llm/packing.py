@@ -16,6 +16,7 @@ hash of doc_id, then doc_id, then the ids; repeated rows are packed each by itse
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -25,22 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.llm import wordhash
 from reelspark.llm.common import materialise, shuffle_partitions
+from reelspark.llm.wordhash import mix
 
 SEQUENCE, END_ID = 4096, 2
 DIMENSIONS, BITS = 3, 10
 _TIE_BITS = 24
-CACHE_WORDS = 150_000
-#: White space that always parts words; rarer kinds are left to the tokenizer.
-_GAPS = str.maketrans("\n\t\r", "   ")
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mixing function (the finaliser of splitmix64)."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+CACHE_WORDS, TOGETHER = 1_200_000, 6_000_000
+#: Closing punctuation, and the end of the letters that one character always stands for and whose lower case is one letter.
+_CLOSING, _PLAIN_END = string.punctuation, "\u0250"
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -71,7 +66,11 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Words:
-    """Word to the bytes of its ids (unsigned 16 bit); unseen words of a batch are tokenised together."""
+    """Ids of words, kept from batch to batch; unseen words are tokenised together.
+
+    White space parts words for the tokenizer as it does here. Of a word of plain letters and closing punctuation the letters and the
+    punctuation are looked up apart, lower-cased as the tokenizer does; any other word is looked up as it is.
+    """
 
     _loaded: dict[str, Words] = {}
 
@@ -81,12 +80,14 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
-        if self.size > 1 << 16:
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids are stored as unsigned 16-bit integers")
-        ids = np.arange(self.size, dtype=np.uint64)
+        ids = np.arange(size, dtype=np.uint64)
         self.signs = np.stack([(mix(ids * np.uint64(8) + np.uint64(d + 1)) & np.uint64(1)).astype(np.float64) * 2 - 1 for d in range(DIMENSIONS)], axis=1)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.seen: dict[str, bytes] = {"": b""}
+        self.whole: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -94,17 +95,51 @@ class Words:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_GAPS).split(" ") for t in texts]
-        unseen = [w for w in set().union(*split) if w not in self.seen]
-        if len(self.seen) + len(unseen) > CACHE_WORDS:
-            self.seen = {"": b""}
-            unseen = list(set().union(*split) - {""})
-        for k in range(0, len(unseen), 4096):
-            some = unseen[k : k + 4096]
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        letters = word.rstrip(_CLOSING)
+        if letters.isalpha() and (letters.isascii() or max(letters) < _PLAIN_END and "\u0130" not in letters):
+            return letters.lower(), word[len(letters) :]
+        return word, ""
+
+    def _apart(self, words: list[str]) -> None:
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
             self.seen.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+
+    def learn(self, unseen: list[str]) -> None:
+        """Letters are one pre-token each, whose last id ends a word, so many of them can be encoded as one text."""
+        plain = [w for w in unseen if w.isalpha() and max(w) < _PLAIN_END]
+        for k in range(0, len(plain), 256):
+            some = plain[k : k + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                self.seen.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+            else:
+                self._apart(some)
+        self._apart([w for w in unseen if w not in self.seen])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, as unsigned 16-bit integers."""
+        offsets, coded = wordhash.split(texts)
+        words = coded.dictionary.to_pylist()
+        if len(self.seen) + len(self.whole) > CACHE_WORDS:
+            self.seen, self.whole = {"": b""}, {}
+        data = list(map(self.whole.get, words))
+        new = [i for i, x in enumerate(data) if x is None]
+        pairs = [self.parts(words[i]) for i in new]
+        self.learn(list({x for pair in pairs for x in pair}.difference(self.seen)))
         get = self.seen.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for i, (a, b) in zip(new, pairs, strict=True):
+            data[i] = self.whole[words[i]] = get(a) + get(b) if b else get(a)
+        size = np.array([len(x) // 2 for x in data], np.int64)
+        flat, begin = np.frombuffer(b"".join(data), "<u2"), np.concatenate([[0], np.cumsum(size)])[:-1]
+        word = coded.indices.to_numpy()
+        each = size[word] if len(size) else np.zeros(0, np.int64)
+        edges = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.arange(edges[-1], dtype=np.int32) + np.repeat((begin[word] - edges[:-1]).astype(np.int32), each)] if len(each) else flat
+        return [ids[i:j].tobytes() for i, j in zip(edges[offsets[:-1]], edges[offsets[1:]], strict=True)]
 
     def cells(self, ids: bytes) -> np.ndarray:
         """The document's cell: unit vector of id counts, projected, each coordinate to BITS bits."""
@@ -115,7 +150,7 @@ class Words:
         return np.clip((point + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, batch_chars: int = 4_000_000) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, ids (binary, unsigned 16 bit, with the end id), n_tokens, key (Hilbert key and tie bits)."""
     id_field = docs.schema["doc_id"]
 
@@ -123,21 +158,13 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, batch_chars:
         words = Words.of(tokenizer)
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < batch_chars:
-                    size += len(texts[to])
-                    to += 1
-                ids = words.encode(texts[at:to])
+            for part in wordhash.slices(batch, "text", TOGETHER):
+                ids = words.encode(part.column("text"))
                 key = hilbert_key(np.array([words.cells(x) for x in ids]), BITS)
-                tie = batch.column("tie").slice(at, to - at).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, to - at), pa.array([x + end for x in ids], pa.binary()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array((key << _TIE_BITS) | tie, pa.int64())],
+                    [part.column("doc_id"), pa.array([x + end for x in ids], pa.binary()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array((key << _TIE_BITS) | part.column("tie").to_numpy(), pa.int64())],
                     ["doc_id", "ids", "n_tokens", "key"],
                 )
-                at = to
 
     tie = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _TIE_BITS)).alias("tie")
     return docs.select("doc_id", "text", tie).mapInArrow(run, f"doc_id {id_field.dataType.simpleString()}, ids binary, n_tokens long, key long")
