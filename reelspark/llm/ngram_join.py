@@ -1,19 +1,16 @@
 """Exact n-gram Jaccard join of a collection with itself by prefix trees.
 
-A document's set holds 64-bit hashes of its distinct n-grams in one global order, that of the hashes. The order is
-cut into ranges, so a set is a path of range contents, and all sets form a trie whose edges are such contents.
+A document's set holds 64-bit hashes of its distinct n-grams. Their global order puts n-grams that a sample found in several
+documents last, the most frequent at the end, and goes by hash otherwise; it steers the load, and any order gives the same result.
 
 1. Documents with equal sets are one node; only nodes are joined.
-2. *Meeting.* Two sets that may link differ in at most H n-grams, where H follows from the threshold and their sizes.
-   Of H + 1 ranges of the order, one holds the same n-grams in both sets. Nodes that share the content of a range
-   meet; nothing is missed, and single frequent n-grams bring nobody together. If the range in common is empty,
-   some range after such an empty one differs by exactly one n-gram (else they would differ in more than H), and its
-   contents with one n-gram left out meet instead. Sizes are dealt into classes; a size near the top of its class
-   takes part in the next class as well.
-3. *Traversal.* The nodes that meet, directly or over others, are a cluster. Clusters are cut into blocks of at most
-   ``block`` nodes, and each pair of blocks of a cluster is one unit of work: two tries are traversed together, from
-   range to range. A pair of subtrees carries the overlap of its two prefixes, counted once for all pairs of sets below,
-   and is pruned when that overlap and all that remains cannot reach what the smallest sets below need.
+2. *Meeting.* Sets of a similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Nodes that share such an n-gram
+   meet; nothing is missed, and frequent lines bring nobody together who has enough else to tell.
+3. *Traversal.* The nodes that meet, directly or over others, are a cluster. Clusters are cut into blocks of at most about
+   ``block`` nodes, and each pair of blocks of a cluster is one unit of work: the blocks' sets, cut into ranges of hashes, form
+   two tries whose edges are range contents, traversed together from range to range. A pair of subtrees carries the overlap of its two
+   prefixes, counted once for all pairs of sets below, and is pruned when that overlap and all that remains cannot
+   reach what the smallest sets below need.
 4. Links found are thinned to a spanning forest in each unit, and components are found over all units.
 
 Thousands of near copies thus never become rows of pairs; a unit of work holds at most two blocks.
@@ -33,32 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import wordhash
-from reelspark.llm.common import materialise
+from reelspark.llm.common import mark_known, materialise
 from reelspark.llm.components import components
 
 BLOCK = 1024
+#: Documents whose n-grams are counted for the order, and how many n-grams found in two or more of them are told apart.
+SAMPLE, COMMON = 5_000, 200_000
 _U = np.uint64
 
 
-class Classes:
-    """Size classes, and how many ranges the sets of a class are cut into."""
-
-    def __init__(self, num: int, den: int):
-        if not 0 < num <= den:
-            raise ValueError("the threshold is a fraction above 0 and up to 1")
-        self.num, self.den = num, den
-        grow = max(1.5, den / num)
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(max(self.low[-1] + 1, int(np.ceil(self.low[-1] * grow))))
-        self.ranges = [2 * (b - 1) * (den - num) // (den + num) + 1 for b in self.low[1:]]
-
-    def of(self, size: int) -> list[int]:
-        """The class of a size, and the next one if a set of that may be similar enough."""
-        c = int(np.searchsorted(self.low, size, "right")) - 1
-        return [c, c + 1] if size * self.den >= self.num * self.low[c + 1] else [c]
-
-
 def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text, letters A-Z lower-cased."""
     offsets, words = wordhash.split(texts, lower=True)
@@ -83,31 +63,28 @@ def _range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
     return ((grams >> _U(32)) * _U(ranges)) >> _U(32)
 
 
-def meeting_points(grams: np.ndarray, classes: Classes) -> np.ndarray:
-    """Where a set can meet others: hashes of (class, range, content), as int64."""
-    content, out = wordhash.mix(grams), []
-    for c in classes.of(len(grams)):
-        m = classes.ranges[c]
-        where = _range_of(grams, m)
-        edges = np.searchsorted(where, np.arange(m + 1, dtype=_U))
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(content, dtype=_U)])
-        held = sums[edges[1:]] - sums[edges[:-1]]
-        name = wordhash.mix(np.arange(m, dtype=_U) + _U(c << 40) + _U(1))
-        full = edges[1:] > edges[:-1]
-        out.append(wordhash.mix(held[full] + name[full]))
-        for j in np.flatnonzero(~full):
-            k = (j + 1) % m
-            own = content[edges[k] : edges[k + 1]]
-            variants = np.concatenate([held[k : k + 1], held[k] - own])
-            out.append(wordhash.mix(wordhash.mix(variants + name[j]) + _U(7)))
-    return np.concatenate(out).view(np.int64)
-
-
-def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(sets: list[np.ndarray], common: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The n-grams by which each set can meet others; common: n-grams from the least to the most frequent."""
+    if not sets:
+        return []
+    grams = np.concatenate(sets)
+    rank = np.zeros(len(grams), np.int64)
+    if len(common):
+        order = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[order], grams), len(common) - 1)
+        rank = np.where(common[order][at] == grams, order[at] + 1, 0)
+    ends = np.cumsum([len(s) for s in sets])
+    out = []
+    for s, b in zip(sets, ends.tolist(), strict=True):
+        first = len(s) - -(-num * len(s) // den) + 1
+        out.append(s[np.argsort(rank[b - len(s) : b], kind="stable")[:first]])
+    return out
+
+
+def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of sets a[i], b[j] that reach the threshold; without b, pairs i < j of a. Both tries are
     traversed together, range by range; see the module's text.
     """
-    num, den = classes.num, classes.den
     sets = a + (b or [])
     size = np.array([len(s) for s in sets], np.int64)
     levels = int(max(1, min(64, size.max() // 8)))
@@ -184,12 +161,27 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _common(docs: DataFrame, n: int, rows: int) -> np.ndarray:
+    """n-grams found in two or more documents of a bounded sample, the most frequent last. They set the order alone."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wordhash.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, _U), *ngram_sets(part.column("text"), n)]).view(np.int64))], ["gram"])
+
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    grams = docs.filter(place * rows < SAMPLE).select("text").mapInArrow(cut, "gram long")
+    found = grams.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(COMMON).toArrow()
+    return found.column("gram").to_numpy()[::-1].copy().view(_U)
+
+
 def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """docs: doc_id, text. Documents link at a Jaccard similarity of num / den or more of their n-gram sets.
 
     Returns doc_id, n_shingles (size of the set), component_id; a row for each row of docs.
     """
-    classes = Classes(num, den)
+    if not 0 < num <= den:
+        raise ValueError("the threshold is a fraction above 0 and up to 1")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text")
 
@@ -202,60 +194,68 @@ def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: in
                     ["doc_id", "n_shingles", "node"],
                 )
 
+    nodes = materialise(base.mapInArrow(describe, f"doc_id {id_kind}, n_shingles long, node long"), "sets")
+    common = _common(base, n, max(1, nodes.count()))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.slices(batch, "text"):
-                found = {_node(s): meeting_points(s, classes) for s in ngram_sets(part.column("text"), n) if len(s)}
-                points = np.concatenate([np.zeros(0, np.int64), *found.values()])
-                nodes = np.repeat(np.array(list(found), np.int64), [len(p) for p in found.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(nodes)], ["point", "node"])
+                found = {_node(s): s for s in ngram_sets(part.column("text"), n) if len(s)}  # copies in a batch are one row
+                points = prefixes(list(found.values()), common, num, den)
+                node = np.repeat(np.array(list(found), np.int64), [len(p) for p in points])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, _U), *points]).view(np.int64)), pa.array(node)], ["point", "node"])
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hang all nodes of a point on its least one; rows come sorted by point and node."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            point, node = batch.column("point").to_numpy(), batch.column("node").to_numpy()
+            new = np.concatenate([[last is None or point[0] != last[0]], point[1:] != point[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(point)), -1))
+            least = np.where(first >= 0, node[np.maximum(first, 0)], last[1] if last else 0)
+            last = (point[-1], least[-1])
+            other = node != least
+            pairs = np.unique(np.stack([node[other], least[other]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    nodes = materialise(base.mapInArrow(describe, f"doc_id {id_kind}, n_shingles long, node long"), "sets")
     points = base.select("text").mapInArrow(meet, "point long, node long")
-    busy = points.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("point", "low")
-    meetings = points.join(busy, "point").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    meetings = points.repartition("point").sortWithinPartitions("point", "node").mapInArrow(hang, "a long, b long").distinct()
     clusters = materialise(components(meetings), "clusters")
 
     # One document of each node lends its text; clusters are cut into blocks by a hash of the node.
     lender = nodes.join(clusters, "node").groupBy("node", "component").agg(F.min_by(F.struct("doc_id"), F.struct("doc_id")).alias("lender"))
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block // 2)).cast("int").alias("blocks"))
-    lender = lender.join(sizes, "component").select("node", "component", "blocks", "lender.doc_id")
-
-    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in wordhash.slices(batch, "text"):
-                sets = ngram_sets(part.column("text"), n)
-                # rows that share a doc_id have different texts, of which one is this node's
-                keep = np.array([bool(len(s)) and _node(s) == x for s, x in zip(sets, part.column("node").to_pylist(), strict=True)])
-                some = part.filter(pa.array(keep))
-                data = [s.tobytes() for s, k in zip(sets, keep, strict=True) if k]
-                yield pa.RecordBatch.from_arrays([some.column("component"), some.column("blocks"), some.column("node"), pa.array(data, pa.binary())], ["component", "blocks", "node", "grams"])
-
-    wanted = lender.withColumnRenamed("doc_id", "lender_id").hint("shuffle_hash")
-    lent = base.join(wanted, base["doc_id"].eqNullSafe(F.col("lender_id"))).select("component", "blocks", "node", "text")
-    lent = lent.mapInArrow(bring, "component long, blocks int, node long, grams binary").dropDuplicates(["node"])
+    wanted = lender.join(sizes, "component").select("node", "component", "blocks", F.col("lender.doc_id").alias("lender_id"))
+    asked = mark_known(base, wanted.select(F.col("lender_id").alias("doc_id")), "doc_id").filter("known").drop("known")
+    lent = asked.join(wanted.hint("shuffle_hash"), asked["doc_id"].eqNullSafe(F.col("lender_id"))).select("component", "blocks", "node", "text")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = lent.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "grams")
+    units = units.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "text")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(unit: tuple, rows: list) -> pa.RecordBatch:
-            names = np.array([r[1] for r in rows], np.int64)
-            sets = [np.frombuffer(r[2], _U) for r in rows]
-            cut = sum(r[0] == unit[1] for r in rows)
-            i, j = _linked(sets, None, classes) if unit[1] == unit[2] else _linked(sets[:cut], sets[cut:], classes) if 0 < cut < len(rows) else (names[:0], names[:0])
+        def links(unit: tuple, rows: dict) -> pa.RecordBatch:
+            names, sets = np.array([k[1] for k in rows], np.int64), list(rows.values())
+            cut = sum(k[0] == unit[1] for k in rows)
+            none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            i, j = _linked(sets, None, num, den) if unit[1] == unit[2] else _linked(sets[:cut], sets[cut:], num, den) if 0 < cut < len(rows) else none
             label = _forest(len(rows), i, j)
             hung = label != np.arange(len(rows))
             return pa.RecordBatch.from_arrays([pa.array(names[hung]), pa.array(names[label[hung]])], ["a", "b"])
 
-        unit, rows = None, []
+        unit, rows = None, {}
         for batch in batches:
-            for c, x, y, o, node, grams in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if (c, x, y) != unit:
-                    if len(rows) > 1:
-                        yield links(unit, rows)
-                    unit, rows = (c, x, y), []
-                rows.append((o, node, grams))
+            for part in wordhash.slices(batch, "text"):
+                keys = zip(*(part.column(c).to_pylist() for c in ("component", "x", "y", "own", "node")), strict=True)
+                for (c, x, y, o, node), s in zip(keys, ngram_sets(part.column("text"), n), strict=True):
+                    if (c, x, y) != unit:
+                        if len(rows) > 1:
+                            yield links(unit, rows)
+                        unit, rows = (c, x, y), {}
+                    # rows that share a doc_id have different texts, of which one is this node's
+                    if len(s) and _node(s) == node:
+                        rows[o, node] = s
         if len(rows) > 1:
             yield links(unit, rows)
 
