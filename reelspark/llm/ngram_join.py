@@ -6,8 +6,8 @@ documents last, the most frequent at the end, and goes by hash otherwise; it ste
 1. Documents with equal sets are one node; only nodes are joined.
 2. *Meeting.* Sets of a similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Nodes that share such an n-gram
    meet; nothing is missed, and frequent lines bring nobody together who has enough else to tell.
-3. *Traversal.* The nodes that meet, directly or over others, are a cluster. Clusters are cut into blocks of at most about
-   ``block`` nodes, and each pair of blocks of a cluster is one unit of work: the blocks' sets, cut into ranges of hashes, form
+3. *Traversal.* The nodes that meet at an n-gram form a star about the least of them; stars about the same node are one. Stars
+   are cut into blocks of at most about ``block`` nodes, and each pair of blocks of a star is one unit of work: the blocks' sets, cut into ranges of hashes, form
    two tries whose edges are range contents, traversed together from range to range. A pair of subtrees carries the overlap of its two
    prefixes, counted once for all pairs of sets below, and is pruned when that overlap and all that remains cannot
    reach what the smallest sets below need.
@@ -222,17 +222,18 @@ def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: in
 
     points = base.select("text").mapInArrow(meet, "point long, node long")
     meetings = points.repartition("point").sortWithinPartitions("point", "node").mapInArrow(hang, "a long, b long").distinct()
-    clusters = materialise(components(meetings), "clusters")
+    meetings = materialise(meetings, "meetings")
+    stars = meetings.select(F.col("b").alias("star"), F.col("a").alias("node")).unionByName(meetings.select(F.col("b").alias("star"), F.col("b").alias("node")).distinct())
 
-    # One document of each node lends its text; clusters are cut into blocks by a hash of the node.
-    lender = nodes.join(clusters, "node").groupBy("node", "component").agg(F.min_by(F.struct("doc_id"), F.struct("doc_id")).alias("lender"))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block // 2)).cast("int").alias("blocks"))
-    wanted = lender.join(sizes, "component").select("node", "component", "blocks", F.col("lender.doc_id").alias("lender_id"))
+    # One document of each node lends its text; stars are cut into blocks by a hash of the node.
+    sizes = stars.groupBy("star").agg(F.ceil(F.count("*") / F.lit(block // 2)).cast("int").alias("blocks"))
+    lender = nodes.groupBy("node").agg(F.min_by(F.struct("doc_id"), F.struct("doc_id")).alias("lender"))
+    wanted = stars.join(lender, "node").join(sizes, "star").select("node", "star", "blocks", F.col("lender.doc_id").alias("lender_id"))
     asked = mark_known(base, wanted.select(F.col("lender_id").alias("doc_id")), "doc_id").filter("known").drop("known")
-    lent = asked.join(wanted.hint("shuffle_hash"), asked["doc_id"].eqNullSafe(F.col("lender_id"))).select("component", "blocks", "node", "text")
+    lent = asked.join(wanted.hint("shuffle_hash"), asked["doc_id"].eqNullSafe(F.col("lender_id"))).select("star", "blocks", "node", "text")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = lent.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "text")
+    units = units.select("star", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "text")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(unit: tuple, rows: dict) -> pa.RecordBatch:
@@ -247,7 +248,7 @@ def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: in
         unit, rows = None, {}
         for batch in batches:
             for part in wordhash.slices(batch, "text"):
-                keys = zip(*(part.column(c).to_pylist() for c in ("component", "x", "y", "own", "node")), strict=True)
+                keys = zip(*(part.column(c).to_pylist() for c in ("star", "x", "y", "own", "node")), strict=True)
                 for (c, x, y, o, node), s in zip(keys, ngram_sets(part.column("text"), n), strict=True):
                     if (c, x, y) != unit:
                         if len(rows) > 1:
@@ -259,7 +260,7 @@ def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: in
         if len(rows) > 1:
             yield links(unit, rows)
 
-    dealt = units.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "own", "node")
+    dealt = units.repartition("star", "x", "y").sortWithinPartitions("star", "x", "y", "own", "node")
     groups = components(dealt.mapInArrow(traverse, "a long, b long"))
     # The least doc_id of a component, over all documents of its nodes.
     of_node = nodes.groupBy("node").agg(F.min("doc_id").alias("first_id")).filter("node is not null")
