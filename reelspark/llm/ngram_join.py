@@ -6,7 +6,7 @@ documents last, the most frequent at the end, and goes by hash otherwise; it ste
 1. Documents with equal sets are one node; only nodes are joined.
 2. *Meeting.* Sets of a similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Nodes that share such an n-gram
    meet; nothing is missed, and frequent lines bring nobody together who has enough else to tell.
-3. *Traversal.* The nodes that meet at an n-gram form a star about the least of them; stars about the same node are one. Stars
+3. *Traversal.* The nodes that meet at an n-gram form a star about one of them, if their sizes follow each other closely enough; stars about the same node are one. Stars
    are cut into blocks of at most about ``block`` nodes, and each pair of blocks of a star is one unit of work: the blocks' sets, cut into ranges of hashes, form
    two tries whose edges are range contents, traversed together from range to range. A pair of subtrees carries the overlap of its two
    prefixes, counted once for all pairs of sets below, and is pruned when that overlap and all that remains cannot
@@ -203,25 +203,30 @@ def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: in
                 found = {_node(s): s for s in ngram_sets(part.column("text"), n) if len(s)}  # copies in a batch are one row
                 points = prefixes(list(found.values()), common, num, den)
                 node = np.repeat(np.array(list(found), np.int64), [len(p) for p in points])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, _U), *points]).view(np.int64)), pa.array(node)], ["point", "node"])
+                size = np.repeat(np.array([len(s) for s in found.values()], np.int64), [len(p) for p in points])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, _U), *points]).view(np.int64)), pa.array(size), pa.array(node)], ["point", "size", "node"])
 
     def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hang all nodes of a point on its least one; rows come sorted by point and node."""
+        """Hang the nodes of a point on one of them; rows come sorted by point, size and node.
+
+        Where a size is too small for the next one, no set before can link with one after, so a new star begins.
+        """
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            point, node = batch.column("point").to_numpy(), batch.column("node").to_numpy()
-            new = np.concatenate([[last is None or point[0] != last[0]], point[1:] != point[:-1]])
+            point, size, node = (batch.column(c).to_numpy() for c in ("point", "size", "node"))
+            before = np.concatenate([[last[0] if last else ~point[0]], point[:-1]]), np.concatenate([[last[1] if last else 0], size[:-1]])
+            new = (point != before[0]) | (before[1] * den < num * size)
             first = np.maximum.accumulate(np.where(new, np.arange(len(point)), -1))
-            least = np.where(first >= 0, node[np.maximum(first, 0)], last[1] if last else 0)
-            last = (point[-1], least[-1])
+            least = np.where(first >= 0, node[np.maximum(first, 0)], last[2] if last else 0)
+            last = (point[-1], size[-1], least[-1])
             other = node != least
             pairs = np.unique(np.stack([node[other], least[other]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    points = base.select("text").mapInArrow(meet, "point long, node long")
-    meetings = points.repartition("point").sortWithinPartitions("point", "node").mapInArrow(hang, "a long, b long").distinct()
+    points = base.select("text").mapInArrow(meet, "point long, size long, node long")
+    meetings = points.repartition("point").sortWithinPartitions("point", "size", "node").mapInArrow(hang, "a long, b long").distinct()
     meetings = materialise(meetings, "meetings")
     stars = meetings.select(F.col("b").alias("star"), F.col("a").alias("node")).unionByName(meetings.select(F.col("b").alias("star"), F.col("b").alias("node")).distinct())
 
