@@ -34,6 +34,21 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(token_f1(a, b), near))
 
 
+def title_similarity(a: Column, b: Column) -> Column:
+    """as similarity, but a repeated word counts as often as both titles have it, and two empty titles are equal."""
+    def numbered(c: Column) -> Column:
+        words = F.split(c, " ")
+        return F.transform(words, lambda x, i: F.concat_ws(" ", x, F.size(F.filter(F.slice(words, 1, i + 1), lambda y: y == x)).cast("string")))
+
+    x, y = numbered(a), numbered(b)
+    longest = F.greatest(F.length(a), F.length(b))
+    budget = F.floor(longest * 2 / 5)
+    distance = F.levenshtein(a, b)
+    near = F.when(distance <= budget, 1.0 - distance / F.nullif(longest, F.lit(0))).otherwise(0.0)
+    words = 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(words, near))
+
+
 def runtime_agreement(a: Column, b: Column) -> Column:
     """1 within 2 %, falling to 0 at 25 % of the smaller; 0 if either is 0."""
     off = F.abs(a - b) / F.nullif(F.least(a, b).cast("double"), F.lit(0.0))

@@ -1,18 +1,90 @@
-"""Matching names to candidates with an explicit margin over the runner-up."""
+"""Matching names to candidates with an explicit margin over the runner-up: whole candidate lists, or the best one inside blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.functions.text import runtime_agreement, similarity
+from reelspark.functions.text import runtime_agreement, similarity, title_similarity, year_agreement
+
+# Fixed values of F26 and W6: the weights of the signals, the least score of a candidate, that of a sure one, and what it must lead by.
+TITLE, RUNTIME, YEAR, POPULARITY = 1.00, 0.45, 0.35, 0.05
+LEAST, SURE, MARGIN, MOST = 0.45, 0.80, 0.08, 5
+
+
+def weighted_score(title: Column, q_year: Column, c_year: Column, q_runtime: Column, c_runtime: Column, popularity: Column) -> Column:
+    """the signals' weighted mean over those that both sides have; title and popularity (0 to 100, absent as 0) always count."""
+    years, runtimes = q_year.isNotNull() & c_year.isNotNull(), q_runtime.isNotNull() & c_runtime.isNotNull()
+    year = F.when(years, YEAR * year_agreement(q_year, c_year)).otherwise(0.0)
+    runtime = F.when(runtimes, RUNTIME * runtime_agreement(q_runtime, c_runtime)).otherwise(0.0)
+    liked = POPULARITY * F.least(F.greatest(F.coalesce(popularity / 100.0, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    whole = TITLE + POPULARITY + F.when(years, YEAR).otherwise(0.0) + F.when(runtimes, RUNTIME).otherwise(0.0)
+    return F.round((TITLE * title + year + runtime + liked) / whole, 6)
+
+
+def _keys(title: Column) -> Column:
+    """Keys of which two titles share one if their similarity is above 0.
+
+    Equal titles share the title, others with common words a word. A distance d of at most two fifths of the longer length n leaves
+    n - 1 - 2 d common pairs of letters, which is at least one from n = 6 on; below, n - d common letters, at least one.
+    """
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - 1, F.lit(1))), lambda i: F.concat(F.lit("2"), F.substring(title, i, F.lit(2))))
+    letters = F.when(F.length(title) <= 5, F.transform(F.split(title, ""), lambda x: F.concat(F.lit("1"), x))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.split(title, " "), lambda x: F.concat(F.lit("w"), x))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), title)), words, pairs, letters))
+
+
+def ranked_candidates(queries: DataFrame, candidates: DataFrame, itself: bool = True) -> DataFrame:
+    """The best five candidates of each query among all that score 0.45, and whether the first is clearly the best.
+
+    queries: id, title (normalized), year, runtime; candidates also popularity and alternates (array of normalized titles, may be null).
+    Years, runtimes and popularity may be null; rows without a title match nothing. With itself = False a query is no candidate of
+    its own (equal ids). Returns query, place, candidate, score, margin, verdict.
+
+    Similarities are taken once for each two distinct titles that share a key (see _keys; no other two are similar). Titles that are not
+    similar reach 0.45 only by equal years, runtimes within 3 % and a popularity of 65: 0.35 + 0.45 r + 0.05 p >= 0.45 * 1.85. Those pairs
+    meet by year and runtime. Of candidates that score alike for every query (equal titles, year, runtime and popularity) the first six
+    ids are kept, which is enough for five others; scored pairs are cut to five a query before they are shuffled.
+    """
+    q = queries.filter("title IS NOT NULL").select(F.col("id").alias("query"), F.col("title").alias("q_title"), F.col("year").alias("q_year"), F.col("runtime").alias("q_runtime"))
+    names = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("title"), F.coalesce("alternates", F.array().cast("array<string>"))), lambda x: x.isNotNull())))
+    c = candidates.select(F.col("id").alias("candidate"), names.alias("names"), F.col("year").alias("c_year"), F.col("runtime").alias("c_runtime"), "popularity").filter(F.size("names") > 0)
+    alike = Window.partitionBy("names", "c_year", "c_runtime", "popularity").orderBy("candidate")
+    c = c.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= MOST + 1).drop("n")
+
+    best = F.array_max(F.transform("names", lambda x: title_similarity(F.col("q_title"), x)))
+    left = q.select("q_title").distinct().withColumn("key", F.explode(_keys(F.col("q_title"))))
+    right = c.select("names").distinct().withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform("names", _keys)))))
+    similar = left.join(right, "key").select("q_title", "names").distinct().withColumn("similar", best).filter("similar > 0")
+    near = q.join(similar, "q_title").join(c, "names")
+
+    step = F.lit(1.03)
+    by_runtime = q.filter("q_runtime > 0 AND q_year IS NOT NULL").withColumn("slot", F.floor(F.log(F.col("q_runtime")) / F.log(step)))
+    liked = c.filter("c_runtime > 0 AND popularity >= 64.9").withColumn("own", F.floor(F.log(F.col("c_runtime")) / F.log(step)))
+    liked = liked.withColumn("slot", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
+    far = by_runtime.join(liked, (by_runtime["slot"] == liked["slot"]) & (F.col("q_year") == F.col("c_year"))).drop("slot")
+    far = far.filter(F.abs(F.col("q_runtime") - F.col("c_runtime")) <= 0.03 * F.least("q_runtime", "c_runtime")).withColumn("similar", best).filter("similar = 0")
+
+    pairs = near.unionByName(far)
+    if not itself:
+        pairs = pairs.filter("query != candidate")
+    score = weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity"))
+    scored = pairs.select("query", "candidate", score.alias("score")).filter(F.col("score") >= LEAST)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
+    top = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= MOST)
+    lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "candidate", "score"))).alias("list"))
+    first, second = F.col("list")[0]["score"], F.try_element_at("list", F.lit(2))["score"]
+    gap = F.round(first - F.coalesce(second, F.lit(0.0)), 6)
+    sure = (first >= SURE) & (second.isNull() | (gap > MARGIN))
+    rows = lists.select("query", F.explode("list").alias("x"), gap.alias("margin"), F.when(sure, "matched").otherwise("ambiguous").alias("verdict"))
+    return rows.select("query", "x.place", "x.candidate", "x.score", "margin", "verdict")
 
 
 def best_candidates(queries: DataFrame, candidates: DataFrame, block: list[str], least: float = 0.45, sure: float = 0.8, margin: float = 0.08) -> DataFrame:
-    """The best candidate of each query among those of its block, and whether it is clearly the best.
+    """the best candidate of each query among those of its block alone, by title and runtime; ranked_candidates does J5, F26, O4 and W6.
 
-    queries, candidates: id, title (normalized), runtime and the block columns. The best two of a query are kept by an aggregate of
-    structs, so pairs combine before they are shuffled.
+    queries, candidates: id, title (normalized), runtime and the block columns. Equal titles of other blocks are not considered, and
+    a row without runtime gets 0.7 at most. Scored pairs are cut to two a query before they are shuffled; blocks are joined whole.
     """
     q = queries.select(F.col("id").alias("query"), F.col("title").alias("q_title"), F.col("runtime").alias("q_runtime"), *block)
     c = candidates.select(F.col("id").alias("candidate"), F.col("title").alias("c_title"), F.col("runtime").alias("c_runtime"), *block)

@@ -119,6 +119,12 @@ def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_candidates(part, part, ["p_brand", "p_size"])
 
 
+def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5, F26, O4, W6 on parts, each against all others."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), normalize_title(F.col("p_name")).alias("title"), (F.col("p_size") + 1970).alias("year"), F.col("p_retailprice").cast("long").alias("runtime"), (F.col("p_partkey") % 101).cast("double").alias("popularity"), F.lit(None).cast("array<string>").alias("alternates"))
+    return matching.ranked_candidates(part, part, itself=False)
+
+
 def change_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
     bursts = changes.debounce(events, "1 hour")
@@ -135,7 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         library_items, duplicate_groups, library_totals, library_search, library_order, tree_totals, snapshot_reconcile, snapshot_report,
         verify_budget, cache_eviction, field_merge, artwork_choice, cue_checks, cue_readability, repetition_loops, onset_offsets,
-        stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, change_bursts, rate_limit,
+        stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, title_candidates, change_bursts, rate_limit,
     )
 }
 
