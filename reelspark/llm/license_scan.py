@@ -1,17 +1,19 @@
 """License templates found in texts through MinHash bands over overlapping windows.
 
 Words are compared without A-Z case and without punctuation at their ends; texts and templates are sets of ``shingle``-word shingles (a
-shorter template is one shingle of all its words). For a template of T shingles a text is cut into blocks of T shingles, and any two
-neighbouring blocks are a window, so whatever T shingles follow each other lie whole in some window. A template contained to
-``least`` then resembles its window to ``least / 2`` or more. The bands have one row each, and there are as many as make
-the chance of at least one collision ``recall`` or more at that resemblance. Windows and templates that collide in a band are compared
-exactly: share of the template's shingles that the window holds.
+shorter template is one shingle of all its words). A template of T shingles is contained in a text where some run of 2T shingles
+(``SPAN``) holds ``least`` of the template's set or more; so words may be inserted up to the template's own length. A text is cut into
+blocks of T shingles, and three neighbouring blocks are a window, so every run of 2T shingles lies whole in some window. With m the least
+number of shared shingles, the two then resemble each other by m / (4T - m) or more. The bands have one row each, and there are as
+many as make the chance of at least one collision ``recall`` or more at that resemblance. Collisions only retrieve: the windows where a
+template collided are joined, with the two blocks on either side, and every run of 2T shingles in them is compared exactly. Templates that
+repeat a shingle can resemble their windows as little as one likes; they are retrieved by their shingles themselves instead.
 
 Templates are a bounded parameter (``MOST_TEMPLATES`` rows, checked); they go to every task, so documents are never shuffled.
 
 Defined results: null texts and texts without words match nothing; null templates and templates without words are ignored. Equal
-templates match each by itself. A row for each match: of matches of one template that overlap, the
-fullest stands (then the longest, then the first). Repeated rows match each by itself; extra
+templates match each by itself. A row for each match, from its first to its last shared
+shingle: of matches of one template that overlap, the fullest stands (then the shortest, then the first). Repeated rows match each by itself; extra
 columns are ignored.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from reelspark.llm import wordhash
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.9999
+SPAN = 2  # fixed: a match's length in lengths of its template
 MOST_TEMPLATES, MOST_TEMPLATE_WORDS = 5_000, 5_000_000
 _ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -56,20 +59,81 @@ def _family(k: int) -> np.ndarray:
     return wordhash.mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def _matches(at: np.ndarray, which: np.ndarray, often: np.ndarray, span: int, least: int) -> list[tuple[int, int, int]]:
+    """Matches in places ``at`` of shared shingles ``which``: first and last place, distinct shingles.
+
+    A match begins at a shared shingle, has ``least`` distinct ones or more in ``span`` places, and ends where the last one counts: as
+    often as the template has it (``often``).
+    """
+    at, which, often = at.tolist(), which.tolist(), often.tolist()
+    places: dict[int, list[int]] = {}
+    before = []  # the place among the hits from which on this one is no more than the template has
+    for j, t in enumerate(which):
+        seen = places.setdefault(t, [])
+        before.append(seen[-often[t]] if len(seen) >= often[t] else -1)
+        seen.append(j)
+    count: dict[int, int] = {}
+    distinct = counted = end = 0
+    found = []
+    for i, t in enumerate(which):
+        while end < len(at) and at[end] < at[i] + span:
+            k = which[end]
+            count[k] = count.get(k, 0) + 1
+            distinct += count[k] == 1
+            counted += count[k] <= often[k]
+            end += 1
+        if distinct >= least:
+            last = end - 1
+            while before[last] >= i:
+                last -= 1
+            found.append((-distinct, -counted, at[last] - at[i], at[i], at[last]))
+        count[t] -= 1
+        distinct -= count[t] == 0
+        counted -= count[t] < often[t]
+    kept: list[tuple[int, int, int]] = []
+    for d, _, _, a, b in sorted(found):
+        if all(b < x or y < a for x, y, _ in kept):
+            kept.append((a, b, -d))
+    return sorted(kept)
+
+
 class _Templates:
-    """Templates with the same number of shingles, of the same number of words."""
+    """Templates with the same number of shingles, of the same number of words: name, distinct shingles, how often each stands."""
 
-    def __init__(self, words: int, sets: list[tuple[str, np.ndarray]], least: float, recall: float):
-        self.words, self.sets, self.least = words, sets, least
-        self.block = len(sets[0][1])
-        self.family = _family(bands_for(least / 2, recall))
+    def __init__(self, words: int, block: int, sets: list[tuple[str, np.ndarray, np.ndarray]], least: float, recall: float):
+        self.words, self.block, self.sets = words, block, sets
+        self.least = [int(np.ceil(least * len(s) - 1e-9)) for _, s, _ in sets]
+        self.repeats = len(sets[0][1]) < block
+        self.family = _family(0 if self.repeats else bands_for(self.least[0] / ((SPAN + 2) * block - self.least[0]), recall))
         self.keys, self.owners = [], []
         for a in self.family:
-            low = np.array([(s * a).min() for _, s in sets])
+            low = np.array([(s * a).min() for _, s, _ in sets])
             order = np.argsort(low, kind="stable")
             self.keys.append(low[order])
             self.owners.append(order)
 
+    def _retrieve(self, row: np.ndarray, start: np.ndarray, shingles: np.ndarray) -> set[tuple[int, int]]:
+        """Template and first block of the windows that may hold it."""
+        met = set()
+        if self.repeats:
+            for t, (_, s, _) in enumerate(self.sets):
+                hit = np.flatnonzero(s[np.minimum(np.searchsorted(s, shingles), len(s) - 1)] == shingles)
+                met |= {(t, w) for w in np.unique(np.searchsorted(start, hit, side="right") - 1).tolist()}
+            return met
+        follow = [np.flatnonzero(row[k:] == row[: max(len(row) - k, 0)]) for k in range(1, SPAN + 1)]
+        for a, keys, owners in zip(self.family, self.keys, self.owners, strict=True):
+            block = np.minimum.reduceat(shingles * a, start)
+            low = block.copy()
+            for k, first in enumerate(follow, 1):
+                low[first] = np.minimum(low[first], block[first + k])
+            at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+            for w in np.flatnonzero(keys[at] == low).tolist():
+                k = int(at[w])
+                while k < len(keys) and keys[k] == low[w]:
+                    met.add((int(owners[k]), w))
+                    k += 1
+        return met
+
     def search(self, begins: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[int, str, int, int, float]]:
         """Row, template, first shingle, shingles covered and containment of each match."""
         count = np.diff(begins)
@@ -78,57 +142,35 @@ class _Templates:
         if not len(row):
             return
         start = begins[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * self.block
-        pairs = np.flatnonzero(np.concatenate([row[1:] == row[:-1], [False]]))  # a window is a block and the next one, if there is one
-        met = set()
-        for a, keys, owners in zip(self.family, self.keys, self.owners, strict=True):
-            low = np.minimum.reduceat(shingles * a, start)
-            low[pairs] = np.minimum(low[pairs], low[pairs + 1])
-            at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-            for w in np.flatnonzero(keys[at] == low).tolist():
-                k = int(at[w])
-                while k < len(keys) and keys[k] == low[w]:
-                    met.add((w, int(owners[k])))
-                    k += 1
-        found = set()
-        for w, t in sorted(met):
-            name, want = self.sets[t]
-            r, a = int(row[w]), int(start[w])
-            b = min(a + 2 * self.block, int(begins[r + 1]))
-            hit = np.flatnonzero(np.isin(shingles[a:b], want))
-            share = len(np.unique(shingles[a:b][hit])) / len(want)
-            if share >= self.least:
-                found.add((r, name, a + int(hit[0]) - int(begins[r]), int(hit[-1] - hit[0]) + 1, share))
-        # two windows can hold parts of one occurrence: of matches that overlap, the fullest stands
-        kept: list[tuple[int, str, int, int, float]] = []
-        for m in sorted(found):
-            if kept and kept[-1][:2] == m[:2] and m[2] < kept[-1][2] + kept[-1][3]:
-                kept[-1] = max(kept[-1], m, key=lambda x: (x[4], x[3], -x[2]))
+        areas: list[list[int]] = []  # template, row, first and last shingle
+        for t, w in sorted(self._retrieve(row, start, shingles)):
+            r = int(row[w])
+            a, b = max(int(start[w]) - SPAN * self.block, int(begins[r])), min(int(start[w]) + (2 * SPAN + 1) * self.block, int(begins[r + 1]))
+            if areas and areas[-1][:2] == [t, r] and a <= areas[-1][3]:
+                areas[-1][3] = b
             else:
-                kept.append(m)
-        yield from kept
+                areas.append([t, r, a, b])
+        found = []
+        for t, r, a, b in areas:
+            name, want, often = self.sets[t]
+            which = np.minimum(np.searchsorted(want, shingles[a:b]), len(want) - 1)
+            hit = np.flatnonzero(want[which] == shingles[a:b])
+            if len(np.unique(which[hit])) >= self.least[t]:
+                found += [(r, name, a + x - int(begins[r]), y - x + 1, d / len(want)) for x, y, d in _matches(hit, which[hit], often, SPAN * self.block, self.least[t])]
+        yield from sorted(found)
 
 
 def _prepare(templates: list[tuple[str, str]], shingle: int, least: float, recall: float) -> list[_Templates]:
     offsets, hashed = _words(pa.array([t for _, t in templates], pa.string()))
-    groups: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
+    groups: dict[tuple[int, int, bool], list[tuple[str, np.ndarray, np.ndarray]]] = {}
     sequence = wordhash.Sequences(hashed)
     for (name, _), a, b in zip(templates, offsets, offsets[1:], strict=False):
         if b > a:
             n = min(shingle, int(b - a))
             at = np.arange(a, b - n + 1)
-            groups.setdefault((n, b - a - n + 1), []).append((name, np.unique(sequence.of(at, at + n))))
-    # repeated shingles make a set smaller than its template; windows go by the set's size of each group's own members
-    split: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
-    for (n, size), sets in groups.items():
-        for name, s in sets:
-            split.setdefault((n, size if len(s) == size else -len(s)), []).append((name, s))
-    out = []
-    for (n, size), sets in sorted(split.items()):
-        made = _Templates(n, sets, least, recall)
-        if size < 0:  # a template that repeats itself needs windows of its full length
-            made.block = max(m for (k, m), all_ in groups.items() if k == n and any(s is x for _, s in sets for _, x in all_))
-        out.append(made)
-    return out
+            once, often = np.unique(sequence.of(at, at + n), return_counts=True)
+            groups.setdefault((n, len(at), len(once) < len(at)), []).append((name, once, often))
+    return [_Templates(n, size, sets, least, recall) for (n, size, _), sets in sorted(groups.items(), key=lambda x: x[0])]
 
 
 def scan(docs: DataFrame, templates: DataFrame, shingle: int = SHINGLE, least: float = LEAST, recall: float = RECALL) -> DataFrame:
