@@ -37,7 +37,7 @@ def search(files: DataFrame, wanted: str) -> DataFrame:
 
 
 def name_order(files: DataFrame, width: int = 4096) -> DataFrame:
-    """Number all files by path for paging, without one global window.
+    """O1: number all files by path for paging, without one global window.
 
     Files are counted by directory; the running count of directories (few against files) gives each its offset, and
     files are numbered inside theirs.
@@ -51,6 +51,14 @@ def name_order(files: DataFrame, width: int = 4096) -> DataFrame:
     return placed.join(before, "folder").withColumn("position", F.col("before") + inside).drop("folder", "before")
 
 
+def page(files: DataFrame, start: int, count: int) -> DataFrame:
+    """``count`` files (0: all) after the first ``start`` by path, each with its position and the number of all files."""
+    rows = name_order(files).filter(F.col("position") > start)
+    if count:
+        rows = rows.filter(F.col("position") <= start + count)
+    return rows.crossJoin(F.broadcast(files.agg(F.count("*").alias("total"))))
+
+
 def tree_totals(leaves: DataFrame, levels: list[str], size: str) -> DataFrame:
     """For every node of a hierarchy the leaves below it and their size; one pass by rollup."""
     out = leaves.rollup(*levels).agg(F.count("*").alias("n_leaves"), F.round(F.sum(size), 2).alias("size"), F.grouping_id().alias("g"))

@@ -9,7 +9,7 @@ from reelspark.functions.text import weighted_rating
 
 
 def merge_fields(fragments: DataFrame, ranking: DataFrame, unlisted: int = 127) -> DataFrame:
-    """For each item and field the value of the best ranked provider (then the least value); blanks never win.
+    """For each item and field the value of the best ranked provider (then the least value); blanks never win.
 
     ranking: provider, pos; a small dimension. The winner is a least struct, so fragments combine before the shuffle.
     """
@@ -18,6 +18,28 @@ def merge_fields(fragments: DataFrame, ranking: DataFrame, unlisted: int = 127)
     return best.select("item", "field", "best.value", "best.provider", "n_providers")
 
 
+def merge_fragments(base: DataFrame, fragments: DataFrame, ranking: DataFrame, unlisted: int = 127) -> DataFrame:
+    """What stands for each item, field_group and name once fragments are merged into a base bundle.
+
+    base: item, field_group, name, value, kind, provider, rank, locked; fragments: item, field_group, name, value, kind, provider. kind: 0 derived,
+    1 provider, 2 sidecar, 3 user, the higher wins; among providers the better rank, then the greater id, then the greater value. Blank
+    fragments never win, a locked base always does. ranking: field_group (null: default order), provider, pos from 0; a group's own order replaces the
+    default one, and who is not in it ranks ``unlisted``. The winner is a greatest struct, so fragments combine before the shuffle.
+    """
+    own = ranking.filter("field_group IS NOT NULL").select("field_group", "provider", F.col("pos").alias("own_pos"))
+    groups = own.select("field_group").distinct().withColumn("listed", F.lit(True))
+    default = ranking.filter("field_group IS NULL").select("provider", F.col("pos").alias("default_pos"))
+    rows = fragments.filter(F.col("value").rlike(r"(?U)\S")).join(F.broadcast(own), ["field_group", "provider"], "left").join(F.broadcast(groups), "field_group", "left").join(F.broadcast(default), "provider", "left")
+    pos = F.coalesce(F.when(F.col("listed"), F.col("own_pos")).otherwise(F.col("default_pos")), F.lit(unlisted))
+    rows = rows.withColumn("rank", F.when(pos > 255, unlisted).otherwise(pos)).withColumn("locked", F.lit(False))
+    columns = ["item", "field_group", "name", "value", "kind", "provider", F.col("rank").cast("int").alias("rank"), "locked"]
+    both = base.select(*columns).unionByName(rows.select(*columns))
+    ours = F.col("kind") == 1
+    order = F.struct("locked", "kind", F.when(ours, -F.col("rank")).otherwise(0).alias("r"), F.when(ours, F.col("provider")).otherwise("").alias("p"), "value")
+    best = both.groupBy("item", "field_group", "name").agg(F.max(order).alias("x"))
+    return best.select("item", "field_group", "name", "x.value", "x.kind", F.when(F.col("x.kind") == 1, F.col("x.p")).alias("provider"), "x.locked")
+
+
 def best_artwork(artwork: DataFrame) -> DataFrame:
     """One picture for each item and kind: provider rank, weighted rating to three places, width, url."""
     score = F.floor(weighted_rating(F.col("rating"), F.col("votes")) * 1000)

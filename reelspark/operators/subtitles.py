@@ -33,7 +33,7 @@ def repetition_loops(events: DataFrame, least: int) -> DataFrame:
 
 
 def nearest(cue_starts: DataFrame, speech_starts: DataFrame, window_ms: int) -> DataFrame:
-    """For each cue the nearest speech onset of its track (the earlier on a tie) within the window, and the 50 ms bucket of the
+    """For each cue the nearest speech onset of its track (the earlier on a tie) within the window, and the 50 ms bucket of the
     offset. Both sides are merged in time and carried forward and backward; no pairs are made.
     """
     merged = cue_starts.select("track", "at", "id", F.lit(None).cast("long").alias("speech")).unionByName(speech_starts.select("track", "at", F.lit(None).cast("long").alias("id"), F.col("at").alias("speech")))
@@ -44,3 +44,24 @@ def nearest(cue_starts: DataFrame, speech_starts: DataFrame, window_ms: int) ->
     back, ahead = F.col("at") - F.col("before"), F.col("after") - F.col("at")
     offset = F.when(F.col("after").isNull() | (back <= ahead), -back).otherwise(ahead)
     return rows.select("id", offset.alias("offset_ms")).filter(F.abs("offset_ms") <= window_ms).withColumn("bucket", F.floor(F.col("offset_ms") / 50))
+
+
+def estimate_offsets(cue_starts: DataFrame, speech_starts: DataFrame, window_ms: int = 600_000, bucket_ms: int = 50) -> DataFrame:
+    """The constant offset of each track (track, at on both sides): the median, by floored index, of the fullest bucket of all differences
+    within the window. Of equally full buckets the one nearest to 0 stands, then the later.
+
+    All pairs count, also where the reference samples (above 4,000,000 a track). Equal times are joined once and differences are counted, so
+    a track leaves at most one row for each millisecond of the window. Returns track, offset_ms, n_pairs (those of the bucket).
+    """
+    slot = F.floor(F.col("at") / window_ms)
+    cues = cue_starts.filter("at IS NOT NULL").groupBy("track", F.col("at").alias("cue")).agg(F.count("*").alias("n_cues"))
+    cues = cues.withColumn("slot", F.explode(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.floor(F.col("cue") / window_ms) + k)))
+    speech = speech_starts.filter("at IS NOT NULL").groupBy("track", "at").agg(F.count("*").alias("n_speech")).withColumn("slot", slot)
+    pairs = cues.join(speech, ["track", "slot"]).withColumn("diff", F.col("at") - F.col("cue")).filter(F.abs("diff") <= window_ms)
+    counts = pairs.groupBy("track", "diff").agg(F.sum(F.col("n_cues") * F.col("n_speech")).alias("n")).withColumn("bucket", F.floor(F.col("diff") / bucket_ms))
+    buckets = counts.groupBy("track", "bucket").agg(F.sum("n").alias("n_pairs"), F.array_sort(F.collect_list(F.struct("diff", "n"))).alias("diffs"))
+    best = buckets.groupBy("track").agg(F.max(F.struct("n_pairs", (-F.abs("bucket")).alias("near"), "bucket", "diffs")).alias("x")).select("track", "x.n_pairs", "x.diffs")
+    # the first difference up to which more than half of the bucket's pairs, rounded down, lie
+    upto = F.transform("diffs", lambda d: F.struct(d["diff"].alias("diff"), F.aggregate(F.filter("diffs", lambda e: e["diff"] <= d["diff"]), F.lit(0).cast("long"), lambda s, e: s + e["n"]).alias("upto")))
+    median = F.filter(upto, lambda d: d["upto"] > F.floor(F.col("n_pairs") / 2))[0]["diff"]
+    return best.select("track", median.alias("offset_ms"), "n_pairs")

@@ -131,6 +131,18 @@ def change_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.select("key", millis("cast(first as timestamp_ntz)").alias("first_ms"), millis("cast(last as timestamp_ntz)").alias("last_ms"), "n")
 
 
+def quiet_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts with an hour's debounce and an hour's quiet."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), millis("ts").alias("at_ms"))
+    return changes.debounce_quiet(events, 3_600_000, 3_600_000)
+
+
+def track_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as cues, views as speech."""
+    at = table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), millis("ts").alias("at"), "event_type")
+    return subtitles.estimate_offsets(at.filter("event_type = 'click'"), at.filter("event_type = 'view'"), 6_000_000)
+
+
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), millis("ts").alias("at_ms"), F.col("event_id").alias("id"))
     return changes.admitted(events, 2, 86_400_000)
@@ -141,7 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         library_items, duplicate_groups, library_totals, library_search, library_order, tree_totals, snapshot_reconcile, snapshot_report,
         verify_budget, cache_eviction, field_merge, artwork_choice, cue_checks, cue_readability, repetition_loops, onset_offsets,
-        stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, title_candidates, change_bursts, rate_limit,
+        stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, title_candidates, change_bursts, quiet_bursts, track_offsets, rate_limit,
     )
 }
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def stage_stats(samples: DataFrame) -> DataFrame:
-    """Of each stage (stage, at_ms, id, counter, value) its duration, counter gain (falls count as none), mean and 99th value."""
+    """Of each stage (stage, at_ms, id, counter, value) its duration, counter gain (falls count as none), mean and 99th value."""
     w = Window.partitionBy("stage").orderBy("at_ms", "id")
     by_value = Window.partitionBy("stage").orderBy("value", "id")
     rows = samples.withColumn("gain", F.greatest(F.col("counter") - F.lag("counter").over(w), F.lit(0)))
@@ -19,11 +19,59 @@ def stage_stats(samples: DataFrame) -> DataFrame:
 
 
 def calibration(events: DataFrame, flagged_above: int) -> DataFrame:
-    """For each kind the rows with a readable counter, and those above the limit."""
+    """for each kind the rows with a readable counter, and those above the limit."""
     k = F.get_json_object("props", "$.k").cast("long")
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("checkable"), F.sum((k > flagged_above).cast("long")).alias("flagged"))
 
 
+def stage_summary(samples: DataFrame, warmup_ms: int = 0) -> DataFrame:
+    """Of each stage (stage, at_ms, delayed, dropped, fps, avsync_s, render_ms, cpu_frac) its steady samples, from ``warmup_ms`` on.
+
+    Cumulative counters go from the first to the last sample (a fall counts as none); the mean frame rate is over finite positive rates; the
+    99th render time is by floored index. Where the samples last no time all but their number is 0 or null.
+    """
+    steady = F.col("at_ms") >= warmup_ms
+
+    def finite(c: str) -> Column:
+        return F.when(steady & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
+
+    rows = samples.withColumn("render", finite("render_ms"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("stage").orderBy(F.asc_nulls_last("render"))) - 1).withColumn("n", F.count("render").over(Window.partitionBy("stage")))
+    p99 = F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1), F.col("render")))
+    ends = F.struct("at_ms", "delayed", "dropped")
+    out = rows.groupBy("stage").agg(
+        F.count(F.when(steady, 1)).alias("samples"), F.min(F.when(steady, ends)).alias("a"), F.max(F.when(steady, ends)).alias("b"), F.avg(F.when(finite("fps") > 0, F.col("fps"))).alias("fps"),
+        F.max(F.abs(finite("avsync_s")) * 1000.0).alias("sync"), p99.alias("p99"), F.avg(finite("cpu_frac")).alias("cpu"),
+    )
+    seconds = (F.col("b.at_ms") - F.col("a.at_ms")) / 1000.0
+    gain = {c: F.greatest(F.col(f"b.{c}") - F.col(f"a.{c}"), F.lit(0)) for c in ("delayed", "dropped")}
+
+    def known(c: Column, otherwise: object = None) -> Column:
+        return F.when(seconds > 0, c).otherwise(F.lit(otherwise))
+
+    return out.select(
+        "stage", "samples", known(seconds, 0.0).alias("duration_s"), known(gain["delayed"], 0).alias("delayed"), known(gain["dropped"], 0).alias("dropped"), known(gain["delayed"] * 60.0 / seconds, 0.0).alias("delayed_per_min"),
+        known(F.coalesce("fps", F.lit(0.0)), 0.0).alias("mean_fps"), known(F.coalesce("sync", F.lit(0.0)), 0.0).alias("max_avsync_ms"), known(F.col("p99")).alias("p99_render_ms"), known(F.col("cpu")).alias("mean_cpu_frac"),
+    )
+
+
+def calibration_checks(log: DataFrame, above: float = 0.02, seconds: float = 2.0) -> DataFrame:
+    """How many sessions of a calibration log can be checked, and how many went as predicted or missed, for each of three checks.
+
+    log: predicted_hardware_decode, observed_hwdec, dropped_frames, seconds_played, expected_fps, predicted_audio_passthrough,
+    observed_audio_out_format. What is null cannot be checked; nor can the drop rate of a session shorter than ``seconds`` or without a
+    positive frame rate. A drop rate above the limit is a miss (a flag). Returns check, n, checkable, matched, missed.
+    """
+    hardware = F.col("predicted_hardware_decode") == ((F.col("observed_hwdec") != "") & (F.col("observed_hwdec") != "no"))
+    judged = (F.col("expected_fps") > 0) & ~F.isnan("expected_fps") & (F.col("seconds_played") >= seconds)
+    drops = F.when(judged, F.col("dropped_frames") / (F.col("expected_fps") * F.col("seconds_played")) <= above)
+    passthrough = F.col("predicted_audio_passthrough") == F.col("observed_audio_out_format").startswith("spdif-")
+    checks = {"hardware_decode": hardware, "drop_rate": drops, "audio_passthrough": passthrough}
+    out = log.agg(F.count("*").alias("n"), *(F.struct(F.count(c).alias("checkable"), F.count_if(c).alias("matched"), F.count_if(~c).alias("missed")).alias(k) for k, c in checks.items()))
+    rows = out.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("check"), f"{k}.*") for k in checks))).alias("x"))
+    return rows.select("x.check", "n", "x.checkable", "x.matched", "x.missed")
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """Labelled against all for each group, with a grand total row."""
     out = rows.rollup("grp").agg(F.count("*").alias("n"), F.count("label").alias("defined"), F.grouping("grp").alias("g"))
