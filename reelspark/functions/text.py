@@ -13,13 +13,49 @@ ARTICLES = ("the", "a", "an", "der", "die", "das", "le", "la", "les", "el", "los
 
 
 def normalize_title(c: Column) -> Column:
-    """Lower case without accents, '&' as 'and', anything but letters and digits as one space, without one article at either end."""
+    """Lower case without accents, '&' as 'and', anything but letters and digits as one space, without one article at either end.
+
+    What the queries' SQL can say; title_key is F1 in full.
+    """
     c = F.translate(F.lower(c), ACCENTED, FOLDED)
     c = F.trim(F.regexp_replace(F.regexp_replace(c, "&", " and "), "[^a-z0-9]+", " "))
     c = F.regexp_replace(c, f"^({'|'.join(ARTICLES)}) ", "")
     return F.regexp_replace(c, f" ({'|'.join(ARTICLES)})$", "")
 
 
+# Fixed values of F1: letters that fold to one letter, those that fold to two, articles, and Roman numerals up to 20 (not I).
+_FOLDS = {
+    "a": "àáâãäåāăą", "c": "çćčĉċ", "d": "ďđð", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľł", "n": "ñńņň",
+    "o": "òóôõöøōŏő", "r": "ŕŗř", "s": "śşšŝ", "t": "ţťŧ", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
+}
+_LONG_FOLDS = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "&": " and "}
+_ALL_ARTICLES = "the a an le la les l un une des der die das ein eine el los las una il lo gli uno o os as um uma de het een".split()
+_ROMAN = {r: str(n) for n, r in enumerate("ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split(), 2)}
+
+
+def title_key(c: Column) -> Column:
+    """initialisms joined (S.W.A.T. as SWAT), lower case without accents, '&' as 'and', anything but letters and digits as one space, Roman
+    numerals as digits, without one article at either end (the last word stays).
+
+    An initialism is two or more single letters, each with a dot, that begin where no letter or digit goes before.
+    """
+    c = F.translate(c, "\u0000\u0001", "  ")
+    c = F.regexp_replace(c, r"(?<![\p{L}\p{Nl}\p{No}\p{Nd}])((?:\p{L}\.){2,})", "\u0000$1\u0001")
+    # between the two marks dots go
+    c = F.array_join(F.transform(F.split(c, "\u0000"), lambda x: F.concat(F.replace(F.substring_index(F.concat(F.when(x.contains("\u0001"), x).otherwise(F.lit("\u0001"))), "\u0001", 1), F.lit("."), F.lit("")), F.when(x.contains("\u0001"), F.substring_index(x, "\u0001", -1)).otherwise(x))), "")
+    c = F.lower(F.translate(c, "İ", "I"))  # as its first lower-case letter, without the dot above
+    c = F.translate(c, "".join(_FOLDS.values()), "".join(k * len(v) for k, v in _FOLDS.items()))
+    for one, more in _LONG_FOLDS.items():
+        c = F.replace(c, F.lit(one), F.lit(more))
+    words = F.split(F.trim(F.regexp_replace(c, "[^a-z0-9]+", " ")), " ")
+    roman = F.create_map(*(F.lit(x) for pair in _ROMAN.items() for x in pair))
+    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(roman, w), w))
+    articles = F.array(*(F.lit(x) for x in _ALL_ARTICLES))
+    words = F.when((F.size(words) > 1) & F.array_contains(articles, F.element_at(words, 1)), F.slice(words, 2, F.size(words))).otherwise(words)
+    words = F.when((F.size(words) > 1) & F.array_contains(articles, F.element_at(words, -1)), F.slice(words, 1, F.size(words) - 1)).otherwise(words)
+    return F.array_join(words, " ")
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """Share of common distinct tokens of two normalized titles, 0 to 1."""
     x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
@@ -73,5 +109,18 @@ def human_size(size: Column) -> Column:
     return F.when(size >= 1 << 30, unit(3, "GiB")).when(size >= 1 << 20, unit(2, "MiB")).when(size >= 1 << 10, unit(1, "KiB")).otherwise(F.concat(size.cast("string"), F.lit(" B")))
 
 
+def human_duration(seconds: Column) -> Column:
+    """h:mm:ss or m:ss; a dash for none, nothing finite, or no time."""
+    total = F.floor(seconds)
+    h, m, s = F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60
+    text = F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
+    return F.when((seconds > 0) & ~F.isnan(seconds) & (seconds != float("inf")), text).otherwise("—")
+
+
+def ellipsize(c: Column, width: int) -> Column:
+    """at most so many characters, the last one an ellipsis if any are cut."""
+    return F.when(F.char_length(c) <= width, c).otherwise(F.concat(F.substring(c, 1, max(width - 1, 0)), F.lit("…")))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.functions.text import human_size, normalize_title, weighted_rating, year_agreement
+from reelspark.functions.text import human_size, title_key, weighted_rating, year_agreement
 from reelspark.operators import library, matching, metadata, snapshot, subtitles
 from reelspark.plans import statistics
 from reelspark.sources import catalog
@@ -109,19 +109,19 @@ def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, F11, F25, F27 on parts."""
+    """F1, F11 (sizes), F25, F27 on parts."""
     part = table(spark, sf_dir, "part")
-    return part.select("p_partkey", normalize_title(F.concat(F.lit("The "), "p_name", F.lit(" & Été"))).alias("title"), human_size(F.col("p_retailprice").cast("long") * 1000 * F.col("p_size")).alias("size"), year_agreement(F.col("p_size"), F.lit(20)).alias("agreement"), F.round(weighted_rating(F.when(F.col("p_size") > 10, F.col("p_size") / 5.0), F.col("p_size")), 6).alias("rating"))
+    return part.select("p_partkey", title_key(F.concat(F.lit("The "), "p_name", F.lit(" & Été"))).alias("title"), human_size(F.col("p_retailprice").cast("long") * 1000 * F.col("p_size")).alias("size"), year_agreement(F.col("p_size"), F.lit(20)).alias("agreement"), F.round(weighted_rating(F.when(F.col("p_size") > 10, F.col("p_size") / 5.0), F.col("p_size")), 6).alias("rating"))
 
 
 def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), normalize_title(F.col("p_name")).alias("title"), (F.col("p_retailprice").cast("long")).alias("runtime"), "p_brand", "p_size")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), title_key(F.col("p_name")).alias("title"), (F.col("p_retailprice").cast("long")).alias("runtime"), "p_brand", "p_size")
     return matching.best_candidates(part, part, ["p_brand", "p_size"])
 
 
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, F26, O4, W6 on parts, each against all others."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), normalize_title(F.col("p_name")).alias("title"), (F.col("p_size") + 1970).alias("year"), F.col("p_retailprice").cast("long").alias("runtime"), (F.col("p_partkey") % 101).cast("double").alias("popularity"), F.lit(None).cast("array<string>").alias("alternates"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), title_key(F.col("p_name")).alias("title"), (F.col("p_size") + 1970).alias("year"), F.col("p_retailprice").cast("long").alias("runtime"), (F.col("p_partkey") % 101).cast("double").alias("popularity"), F.lit(None).cast("array<string>").alias("alternates"))
     return matching.ranked_candidates(part, part, itself=False)
 
 
