@@ -122,7 +122,7 @@ def judge_urls(
             yield pd.DataFrame(out, columns=["id", "host", "path", "rule", "verdict"], dtype=object)
 
     swept = (
-        events.repartition(n, "part")
+        events.repartitionById(n, F.col("part"))
         .sortWithinPartitions("part", "key", "kind")
         .mapInPandas(sweep, f"id {id_type}, host string, path string, rule string, verdict string")
     )

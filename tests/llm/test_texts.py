@@ -13,7 +13,7 @@ from reelspark.llm import byte_bpe, fingerprint, flac, license_scan, packing, ur
 from tests.llm.data import documents, texts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ODD = [(900, "x" * 3000), (901, "it's we'll they've  \n\n 12345 --- " * 90), (902, "日本語" * 700), (903, "a" * 40 + " " * 900 + "b"), (904, "<|endoftext|> \x00 𝄞é")]
+ODD = [(900, "x" * 3000), (901, "it's we'll they've  \n\n 12345 --- " * 90), (902, "日本語" * 700), (903, "a" * 40 + " " * 900 + "b"), (904, "<|endoftext|> \x00 𝄞é"), (905, "end <|endoftext|> here one<|startoftext|>two, x<|endoftext|>. <|ENDOFTEXT|> <|endoftext|<|endoftext|>")]
 
 
 @pytest.mark.parametrize("chunk,overlap", [(16384, 512), (64, 32), (50, 50), (200, 1)])
@@ -33,7 +33,6 @@ def test_packing_holds_every_id_once(spark):
     rows = texts(30) + ODD
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x in rows)
     pieces = packing.pack(documents(spark, rows), path, ranges=3).collect()
     places, ids = defaultdict(list), defaultdict(list)
