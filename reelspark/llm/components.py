@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import materialise
+from reelspark.llm.common import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each hangs the neighbours of a node on the least of them, so after a
     few rounds every component is a star. A node's neighbours are never gathered; hot nodes are a skewed join,
-    which adaptive execution splits. Each round is written to the shared folder. The driver sees two numbers a round.
+    which adaptive execution splits. Each round is written to the shared folder, and the round before deleted. The driver sees two numbers a round.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
     edges = materialise(edges, "links")
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("high").agg(F.min("low").alias("least"))
         hung = large.join(least, "high")
         small = hung.select(F.when(F.col("low") == F.col("least"), F.col("high")).otherwise(F.col("low")).alias("high"), F.col("least").alias("low"))
-        edges = materialise(small.distinct(), "links")
+        old, edges = edges, materialise(small.distinct(), "links")
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if state == before:
             break

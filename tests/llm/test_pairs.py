@@ -62,10 +62,10 @@ def brute_components(rows, n, num, den):
     return Counter((i, len(s), min(least[g]) if least[g] else None) for (i, _), s, g in zip(rows, sets, group, strict=True))
 
 
-@pytest.mark.parametrize("n,num,den,block", [(3, 90, 100, 1024), (5, 4, 5, 1024), (3, 6, 10, 4), (1, 1, 2, 2), (2, 1, 1, 8)])
-def test_join_is_exact(spark, n, num, den, block):
+@pytest.mark.parametrize("n,num,den,block,hot", [(3, 90, 100, 512, 10_000), (5, 4, 5, 512, 3), (3, 6, 10, 2, 10_000), (1, 1, 2, 1, 4), (2, 1, 1, 8, 2)])
+def test_join_is_exact(spark, n, num, den, block, hot):
     rows = texts(90)
-    got = ngram_join.similarity_components(documents(spark, rows), n, num, den, block).collect()
+    got = ngram_join.similarity_components(documents(spark, rows), n, num, den, block, hot).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, n, num, den)
 
 
@@ -89,7 +89,10 @@ def test_linked_sets_always_meet(num, den):
             assert len(i) == bool(linked)
             if linked:
                 common = rng.permutation(pool)[: rng.integers(0, len(pool))]
-                assert np.isin(*ngram_join.prefixes([a, b], common, num, den)).any()
+                order = ngram_join.Order(common, rng.integers(1, 9, len(common)))
+                assert np.isin(*ngram_join.prefixes([a, b], order, num, den)).any()
+                x, y = ([np.array([len(s)]), np.array([k]), [ngram_join.sketch(s)]] for k, s in enumerate((a, b)))
+                assert all(m.all() for m in ngram_join.may_link(*x, *y, num, den))
 
 
 def test_components_of_paths_and_stars(spark):
