@@ -6,18 +6,22 @@ well, in the same document or another. All documents are the reference, cut into
 windows have the same anchor at the same place, so an index of anchors misses none. The block of an anchor
 is all that the windows around it can reach: ``window - anchor`` words to either side.
 
-* A document is parsed against every indexed block that shares an anchor with it. A block that stands
-  whole at more than one place is a factor; a copy is a chain of such blocks, merged into the longest factors.
-* Where blocks of one anchor differ, a factor begins or ends inside a block. There each window is checked by
-  itself; one occurrence stands for all of a block that is found whole elsewhere.
+* A document is parsed against every indexed block that shares an anchor with it. A block that stands whole at more than one place is a factor.
+* Where blocks of one anchor differ, each is parsed greedily from its first word: the longest run of words that begins there and stands
+  in another block of the anchor, at least ``window`` words, is a factor; its words are compared one by one. The parse goes on at the factor's
+  boundary, with the first window that is not inside it; where no factor begins, with the next word.
+* Overlapping factors merge into spans.
 
 No key gathers many rows. Blocks that a batch of texts has twice are factors at once and send one row for all to the shuffle;
-the blocks of an anchor that a batch has ``hot_at`` times skip the index and are checked window by window, dealt by the window's
-content instead of the anchor, and windows that a batch has twice send one row again.
+the blocks of an anchor that a batch has ``hot_at`` times, or that has more than MOST_BLOCKS in all, are cut into windows that meet by content instead of
+by anchor, and windows that a batch has twice send one row again. Both ways give the same result.
 
-Defined results: null and empty texts have no words. Rows are told apart by doc_id (null included) and text; repeated
-rows repeat each other's passages and are each cut. Documents shorter than a window keep all words. Texts without
-removals are joined by single spaces like all others. Extra columns of the input are ignored unless carried along.
+Blocks and windows count as equal whose anchors and whole contents have equal hashes of 64 bits each (for windows of hot anchors, two hashes of the content);
+texts count as equal with two equal hashes. That is 128 bits: of 10**13 windows less than one false pair is to be expected in 10**12 runs.
+
+Defined results: null and empty texts have no words. Rows are told apart by text alone, since what goes depends on nothing else; repeated
+rows repeat each other's passages and are each cut, whatever their doc_id. Documents shorter than a window keep all words. Texts without
+removals are joined by single spaces like all others. Extra columns of the input are ignored unless carried along. A text is parsed whole by one task.
 """
 
 from __future__ import annotations
@@ -31,15 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import wordhash
-from reelspark.llm.common import mark_known, materialise
+from reelspark.llm.common import discard, mark_known, materialise
 
 WINDOW, ANCHOR, HOT = 35, 8, 64
+MOST_BLOCKS = 4096
 _LAST = np.uint64(2**64 - 1)
 
 
 def _row_key() -> Column:
-    """Rows that agree in doc_id and text have the same result, so they may share a key."""
-    return F.struct(F.col("doc_id"), F.hash("text").alias("digest")).alias("row")
+    """128 bits of the text. Rows that agree in it have the same result, so they share a key."""
+    return F.struct(F.xxhash64("text").alias("low"), F.xxhash64(F.lit(7), "text").alias("high")).alias("row")
 
 
 class _Parse:
@@ -51,7 +56,8 @@ class _Parse:
         n = int(self.offsets[-1])
         self.doc = wordhash.doc_of(self.offsets)
         self.first, self.last = self.offsets[:-1][self.doc], self.offsets[1:][self.doc]
-        self.sequence = wordhash.Sequences(wordhash.hashes(self.words))
+        self.word = wordhash.hashes(self.words)
+        self.sequence = wordhash.Sequences(self.word)
         at = np.arange(n)
         self.hash = np.full(n, _LAST)
         whole = at + anchor <= self.last
@@ -147,7 +153,7 @@ def shared_blocks(docs: DataFrame, window: int, anchor: int, hot_at: int) -> Dat
             block_no = np.cumsum(new) - 1
             rows, blocks = np.bincount(group[~done], minlength=group[-1] + 1)[group], np.bincount(group, weights=new)[group]
             total = np.bincount(block_no, weights=np.where(done, 0, weight))[block_no]
-            hot = np.bincount(group, weights=weight == 0)[group] > 0
+            hot = (np.bincount(group, weights=weight == 0)[group] > 0) | (rows > MOST_BLOCKS)
             shared = (rows > 1) & ~done
             whole = shared & (weight == 1) & (total > 1)
             check = shared & (weight == 1) & (total == 1)
@@ -163,11 +169,78 @@ def shared_blocks(docs: DataFrame, window: int, anchor: int, hot_at: int) -> Dat
     return parsed.repartition("anchor").sortWithinPartitions("anchor", "block", F.desc("weight")).mapInArrow(compare, f"row {kind}, at int, ask byte, hot boolean")
 
 
-def repeated_windows(docs: DataFrame, places: DataFrame, window: int, anchor: int) -> DataFrame:
-    """row, at, aheads: of the windows that belong to the places (row, at, ask, hot), those that repeat."""
+def greedy_factors(words: np.ndarray, asked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and length of the factors of the asked rows of words (hashes, aligned by their anchor; what is no word is unlike all else).
+
+    All rows are parsed at once: those whose parse has come to a column look for others with the same window there, and the classes of
+    like rows are refined word by word until a row is alone.
+    """
+    k, width = words.shape
+    sequence, base = wordhash.Sequences(words.ravel()), np.arange(k) * width
+    at = np.where(asked, 0, width)  # where each row's parse stands
+    out: list[tuple[np.ndarray, int, np.ndarray]] = []
+
+    def classes(keys: tuple[np.ndarray, ...], active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each row, and whether its class has another row and one that is parsed here."""
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in keys])
+        number = np.cumsum(new) - 1
+        same = np.empty(len(order), np.int64)
+        same[order] = number
+        return same, (np.bincount(same)[same] > 1) & (np.bincount(same, weights=active)[same] > 0)
+
+    for column in range(width - window + 1):
+        active = at == column
+        if not active.any():
+            continue
+        same, stay = classes((sequence.of(base + column, base + column + window),), active)
+        rows, same = np.flatnonzero(stay), same[stay]
+        if len(rows):  # compare the words themselves
+            _, first, which = np.unique(same, return_index=True, return_inverse=True)
+            content = words[rows, column : column + window]
+            if (content != content[first[which]]).any():
+                same = np.unique(content, axis=0, return_inverse=True)[1].ravel()
+        at[active] = column + 1
+        length = window
+        while len(rows):
+            ends = column + length == width
+            if not ends:
+                finer, stay = classes((words[rows, column + length], same), active[rows])
+            done = active[rows] if ends else active[rows] & ~stay
+            ended = rows[done]
+            if len(ended):
+                # those alone in their class from the start are no factors
+                together = np.ones(len(ended), bool) if length > window else (np.bincount(same)[same] > 1)[done]
+                ended = ended[together]
+                out.append((ended, column, np.full(len(ended), length)))
+                at[ended] = column + length - window + 1
+            if ends:
+                break
+            rows, same, length = rows[stay], finer[stay], length + 1
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate([x[0] for x in out]), np.concatenate([np.full(len(x[0]), x[1]) for x in out]), np.concatenate([x[2] for x in out])
+
+
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of 64-bit values as binary, ``counts`` values each."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 8
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+#: What a row of the second shuffle is: an anchor's block, a window of a hot anchor, or a window that is known to repeat.
+_BLOCK, _WINDOW, _KNOWN = 0, 1, 3
+
+
+def repeated_windows(docs: DataFrame, places: DataFrame, copied: DataFrame, window: int, anchor: int) -> DataFrame:
+    """row, at, spans (array of ahead, n): the factors around the places (row, at, ask, hot), as words before the place and length.
+
+    copied: row; texts with more than one row stand for what is like them and ask nothing.
+    """
     kind = docs.schema["row"].dataType.simpleString()
-    asked = places.groupBy("row").agg(F.collect_list(F.struct("at", "ask", "hot")).alias("asked"))
-    names = ["key", "row", "at", "weight", "aheads", "contents"]
+    asked = places.groupBy("row").agg(F.collect_set(F.struct("at", "ask", "hot")).alias("asked")).join(copied.withColumn("copied", F.lit(True)).hint("shuffle_hash"), "row", "left")
+    names = ["key", "row", "at", "kind", "weight", "ahead", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,71 +250,84 @@ def repeated_windows(docs: DataFrame, places: DataFrame, window: int, anchor: in
                 rows = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
                 flat = lists.flatten()
                 at = flat.field("at").to_numpy().astype(np.int64) + p.offsets[:-1][rows]
-                ask, hot = flat.field("ask").to_numpy(), flat.field("hot").to_numpy(zero_copy_only=False)
-                last = p.before()[np.searchsorted(p.anchors, at)]
-                ahead = np.tile(np.arange(p.reach, -1, -1), (len(at), 1))  # every window an anchor can have, row by row
-                begin = at[:, None] - ahead
-                own = (begin > last[:, None]) & (begin >= p.first[at][:, None]) & (begin + window <= p.last[at][:, None])
-                own &= p.least[np.maximum(begin, 0)] == p.hash[at][:, None]
-                which, begin, ahead = np.nonzero(own)[0], begin[own], ahead[own].astype(np.uint8)
+                known_text = pc.fill_null(part.column("copied"), False).to_numpy(zero_copy_only=False)[rows]
+                weight = np.where(known_text | (flat.field("ask").to_numpy() == 2), 2, 1).astype(np.int8)
+                hot = flat.field("hot").to_numpy(zero_copy_only=False)
+                row = part.column("row")
+
+                def of(some: np.ndarray, key: np.ndarray, what: int, heavy: np.ndarray, ahead: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+                    place = (at - p.first[at])[some].astype(np.int32)  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), row.take(pa.array(rows[some])), pa.array(place), pa.array(np.full(len(some), what, np.int8)), pa.array(heavy), pa.array(ahead.astype(np.int32)), words], names)  # noqa: B023
+
+                # whole blocks, to be parsed against the others of the anchor
+                some = np.flatnonzero(~hot)
+                a, b = p.blocks(at[some])
+                edges = np.cumsum(b - a)
+                index = np.arange(edges[-1] if len(edges) else 0) + np.repeat(a - edges + (b - a), b - a)
+                yield of(some, p.hash[at[some]], _BLOCK, weight[some], at[some] - a, _binary(p.word[index], b - a))
+
+                # hot anchors: their windows by content; those that this batch has twice are known, and one of them stands for all
+                some = np.flatnonzero(hot)
+                last = p.before()[np.searchsorted(p.anchors, at[some])]
+                ahead = np.tile(np.arange(p.reach, -1, -1), (len(some), 1))  # every window an anchor can have, row by row
+                begin = at[some][:, None] - ahead
+                own = (begin > last[:, None]) & (begin >= p.first[at[some]][:, None]) & (begin + window <= p.last[at[some]][:, None])
+                own &= p.least[np.maximum(begin, 0)] == p.hash[at[some]][:, None]
+                w, begin, ahead = some[np.nonzero(own)[0]], begin[own], ahead[own]
                 content = p.sequence.of(begin, begin + window)
-                # hot anchors: windows that this batch has twice are known; one of them stands for all
-                h = hot[which]
-                times, first = _repeats(content[h], np.zeros(h.sum(), np.int8))
-                weight = np.where(ask[which[h]] == 2, 2, 1)
-                twice = (times > 1) & (weight == 1)
+                again = wordhash.Sequences(wordhash.mix(p.word ^ np.uint64(0xA5A5A5A55A5A5A5A))).of(begin, begin + window) if len(w) else content
+                times, first = _repeats(content, again)
+                twice = (times > 1) & (weight[w] == 1)
                 send = np.flatnonzero(~twice | first)
-                w, a, c = which[h], ahead[h], content[h]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[send].view(np.int64)), part.column("row").take(pa.array(rows[w[send]])), pa.array((at - p.first[at])[w[send]].astype(np.int32)), pa.array(np.where(twice[send], 2, weight[send]).astype(np.int8)), pa.array([x.tobytes() for x in a[send]], pa.binary()), pa.array([x.tobytes() for x in c[send]], pa.binary())],
-                    names,
-                )
+                yield of(w[send], content[send], _WINDOW, np.where(twice[send], 2, weight[w[send]]).astype(np.int8), ahead[send], _binary(again[send], np.ones(len(send), np.int64)))
                 known = np.flatnonzero(twice)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(wordhash.mix(c[known] + known.astype(np.uint64)).view(np.int64)), part.column("row").take(pa.array(rows[w[known]])), pa.array((at - p.first[at])[w[known]].astype(np.int32)), pa.array(np.full(len(known), 3, np.int8)), pa.array([x.tobytes() for x in a[known]], pa.binary()), pa.array([b""] * len(known), pa.binary())],
-                    names,
-                )
-                # the others: all windows of an anchor in one row
-                w, a, c = which[~h], ahead[~h], content[~h]
-                edges = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-                ends = np.append(edges[1:], len(w))[: len(edges)]
-                place = w[edges]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(p.hash[at[place]].view(np.int64)),
-                        part.column("row").take(pa.array(rows[place])),
-                        pa.array((at - p.first[at])[place].astype(np.int32)),
-                        pa.array(np.where(ask[place] == 2, 2, 1).astype(np.int8)),
-                        pa.array([a[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
-                        pa.array([c[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
-                    ],
-                    names,
-                )
+                yield of(w[known], wordhash.mix(content[known] + known.astype(np.uint64)), _KNOWN, np.ones(len(known), np.int8), ahead[known], _binary(again[:0], np.zeros(len(known), np.int64)))
+
+    reach, width = window - anchor, 2 * window - anchor
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "key"):
-            weight = batch.column("weight").to_numpy()
-            contents, aheads = batch.column("contents").to_pylist(), batch.column("aheads").to_pylist()
-            each = np.array([len(x) for x in aheads])
-            ahead = np.frombuffer(b"".join(aheads), np.uint8)
-            found = np.repeat(weight == 3, each)
-            held = np.repeat(weight != 3, each)
-            _, at = np.unique(np.frombuffer(b"".join(contents), np.uint64), return_inverse=True)
-            found[held] = np.bincount(at, weights=np.repeat(weight, each)[held])[at] > 1 if len(at) else False
-            found &= np.repeat(weight != 2, each)
-            left = np.concatenate([[0], np.cumsum(found)])[np.concatenate([[0], np.cumsum(each)])]
-            lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(ahead[found].astype(np.int32)))
-            out = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), lists], ["row", "at", "aheads"])
-            yield out.filter(pa.array(np.diff(left) > 0))
-
-    lent = docs.select("row", "text").join(asked.hint("shuffle_hash"), "row").select("row", "text", "asked")
-    cuts = lent.mapInArrow(cut, f"key long, row {kind}, at int, weight byte, aheads binary, contents binary")
-    return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(meet, f"row {kind}, at int, aheads array<int>")
+            what, weight, lead = (batch.column(c).to_numpy() for c in ("kind", "weight", "ahead"))
+            hit, ahead, length = [np.flatnonzero(what == _KNOWN)], [lead[what == _KNOWN]], [np.full((what == _KNOWN).sum(), window)]
+            some = np.flatnonzero(what == _WINDOW)
+            if len(some):
+                contents = np.frombuffer(b"".join(batch.column("words").take(pa.array(some)).to_pylist()), np.uint64)
+                key = batch.column("key").to_numpy()[some]
+                order = np.lexsort((contents, key))
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order[1:]] != key[order[:-1]]) | (contents[order[1:]] != contents[order[:-1]])
+                group = np.empty(len(order), np.int64)
+                group[order] = np.cumsum(new) - 1
+                found = some[(np.bincount(group, weights=weight[some])[group] > 1) & (weight[some] == 1)]
+                hit, ahead, length = [*hit, found], [*ahead, lead[found]], [*length, np.full(len(found), window)]
+            some = np.flatnonzero(what == _BLOCK)
+            if len(some):
+                blocks = batch.column("words").take(pa.array(some))
+                counts = pc.binary_length(blocks).to_numpy() // 8
+                table = wordhash.mix(np.arange(len(some) * width, dtype=np.uint64) + np.uint64(0x0DDBA11)).reshape(len(some), width)
+                inside = (np.arange(width) >= (reach - lead[some])[:, None]) & (np.arange(width) < (reach - lead[some] + counts)[:, None])
+                table[inside] = np.frombuffer(b"".join(blocks.to_pylist()), np.uint64)
+                row, column, n = greedy_factors(table, weight[some] == 1, window)
+                hit, ahead, length = [*hit, some[row]], [*ahead, reach - column], [*length, n]
+            index, ahead, length = np.concatenate(hit), np.concatenate(ahead), np.concatenate(length)
+            order = np.argsort(index, kind="stable")
+            index, ahead, length = index[order], ahead[order], length[order]
+            edges = np.searchsorted(index, np.append(np.unique(index), len(what))).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(ahead.astype(np.int32)), pa.array(length.astype(np.int32))], ["ahead", "n"])
+            out = batch.select(["row", "at"]).take(pa.array(np.unique(index)))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.ListArray.from_arrays(pa.array(edges), spans)], ["row", "at", "spans"])
+
+    lent = docs.select("row", "text").dropDuplicates(["row"]).join(asked.hint("shuffle_hash"), "row").select("row", "text", "asked", "copied")
+    cuts = lent.mapInArrow(cut, f"key long, row {kind}, at int, kind byte, weight byte, ahead int, words binary")
+    return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(meet, f"row {kind}, at int, {_SPANS}")
+
+
+_SPANS = "spans array<struct<ahead: int, n: int>>"
 
 
 def _cut(docs: DataFrame, found: DataFrame | None, window: int, anchor: int, carry: tuple[str, ...]) -> DataFrame:
-    """Merge factors and checked windows (row, at, aheads) into spans, and leave their words out. found None: there are none."""
-    none = F.lit(None).cast("array<struct<at: int, aheads: array<int>>>").alias("found")
+    """Merge factors (row, at, spans; null for a whole block, and the whole text for a negative place) into spans, and leave their words out. found None: there are none."""
+    none = F.lit(None).cast("array<struct<at: int, spans: array<struct<ahead: int, n: int>>>>").alias("found")
     own = ["doc_id", *carry]
     spans_type = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())]))
 
@@ -252,13 +338,14 @@ def _cut(docs: DataFrame, found: DataFrame | None, window: int, anchor: int, car
                 n, lists = int(offsets[-1]), pc.fill_null(pc.list_value_length(part.column("found")), 0).to_numpy()
                 rows, flat = np.repeat(np.arange(part.num_rows), lists), part.column("found").flatten()
                 base, end = offsets[:-1][rows], offsets[1:][rows]
-                at = flat.field("at").to_numpy().astype(np.int64) + base
-                aheads = flat.field("aheads")
-                whole = pc.is_null(aheads).to_numpy(zero_copy_only=False)
-                each = pc.fill_null(pc.list_value_length(aheads), 0).to_numpy()
-                begin = np.repeat(at, each) - aheads.flatten().to_numpy()
-                starts = np.concatenate([np.maximum(base[whole], at[whole] - (window - anchor)), begin])
-                ends = np.concatenate([np.minimum(end[whole], at[whole] + window), begin + window])
+                place = flat.field("at").to_numpy().astype(np.int64)
+                at, factors = place + base, flat.field("spans")
+                none = pc.is_null(factors).to_numpy(zero_copy_only=False)
+                whole, text = none & (place >= 0), none & (place < 0) & (end - base >= window)
+                each, factors = pc.fill_null(pc.list_value_length(factors), 0).to_numpy(), factors.flatten()
+                begin = np.repeat(at, each) - factors.field("ahead").to_numpy()
+                starts = np.concatenate([np.maximum(base[whole], at[whole] - (window - anchor)), base[text], begin])
+                ends = np.concatenate([np.minimum(end[whole], at[whole] + window), end[text], begin + factors.field("n").to_numpy()])
                 depth = np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n]
                 gone = depth > 0
                 doc = wordhash.doc_of(offsets)
@@ -282,7 +369,7 @@ def _cut(docs: DataFrame, found: DataFrame | None, window: int, anchor: int, car
     if found is None:
         joined = docs.select(*own, "text", none)
     else:
-        marks = found.groupBy("row").agg(F.collect_list(F.struct("at", "aheads")).alias("found"))
+        marks = found.groupBy("row").agg(F.collect_set(F.struct("at", "spans")).alias("found"))
         joined = docs.join(marks.hint("shuffle_hash"), "row", "left").select(*own, "text", "found")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
     return joined.mapInArrow(run, f"{schema}, kept string, n_words long, n_removed long, spans array<struct<first_word: int, n_words: int>>")
@@ -298,9 +385,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         raise ValueError("a column to carry has the name of one of the result's")
     keyed = docs.select(_row_key(), "doc_id", "text", *carry)
     shared = materialise(shared_blocks(keyed, window, anchor, hot_at), "blocks")
+    copied = keyed.select("row").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
     differing = shared.filter("ask > 0")
-    checked = repeated_windows(mark_known(keyed, differing, "row").filter("known"), differing, window, anchor)
-    factors = shared.filter("ask = 0").select("row", "at", F.lit(None).cast("array<int>").alias("aheads"))
-    found = materialise(factors.unionByName(checked), "factors")
+    checked = repeated_windows(mark_known(keyed, differing, "row").filter("known"), differing, copied, window, anchor)
+    unspecified = F.lit(None).cast("array<struct<ahead: int, n: int>>").alias("spans")
+    factors = shared.filter("ask = 0").select("row", "at", unspecified)
+    found = materialise(factors.unionByName(copied.select("row", F.lit(-1).alias("at"), unspecified)).unionByName(checked), "factors")
+    discard(shared)
     marked = mark_known(keyed, found, "row")
     return _cut(marked.filter("known"), found, window, anchor, carry).unionByName(_cut(marked.filter("not known"), None, window, anchor, carry))

@@ -35,6 +35,38 @@ def test_dedup_is_exact(spark, window, anchor, hot):
     assert all(sum(s["n_words"] for s in r["spans"]) == r["n_removed"] for r in got)
 
 
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    long = " ".join(f"pw{k}" for k in range(60))
+    rows = [(None, "tiny b110646"), (None, f"{long} a101472"), (1, f"{long} other end"), (7, long), (7, "x " + long), (7, None), (7, "")]
+    got = substring_dedup.remove_repeats(documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_dedup(rows, 35)
+
+
+def test_repeated_rows_by_the_thousand(spark):
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(k % 3, text) for k in range(6000)] + [(9, text[:900] + " new"), (10, "alone " * 3)]
+    got = substring_dedup.remove_repeats(documents(spark, rows).repartition(6)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_dedup(rows, 35)
+
+
+def test_factors_are_the_longest():
+    """Against a plain greedy parse."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        width, window = 14, 5
+        words = rng.integers(0, 3, (rng.integers(2, 9), width)).astype(np.uint64)
+        asked = rng.random(len(words)) < 0.8
+        want = set()
+        for i in np.flatnonzero(asked):
+            at = 0
+            while at + window <= width:
+                n = max(next((m for m in range(width - at) if words[i, at + m] != words[j, at + m]), width - at) for j in range(len(words)) if j != i)
+                if n >= window:
+                    want.add((i, at, n))
+                at = at + n - window + 1 if n >= window else at + 1
+        assert set(zip(*(x.tolist() for x in substring_dedup.greedy_factors(words, asked, window)), strict=True)) == want
+
+
 def test_dedup_of_nothing(spark):
     assert substring_dedup.remove_repeats(documents(spark, [])).collect() == []
     with pytest.raises(ValueError):
