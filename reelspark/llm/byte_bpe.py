@@ -5,8 +5,8 @@ its first *sure* boundary: a space between two characters that are not white spa
 pattern can span such a place and none looks behind it, so boundaries found from there on are those of
 the whole text. Two neighbouring chunks are stitched at the first boundary in their overlap that both
 have; where they have none in common (a run of thousands of letters, say) the chunks are joined and
-encoded as one. The pieces between stitches are then encoded independently. Texts of one chunk need no
-stitching and no shuffle. Decoding concatenates the bytes of the ids.
+encoded as one. The pieces between stitches are then encoded independently, each cut again at its own sure boundaries,
+about every ``PIECE`` characters. A text of one chunk is one piece and needs no stitching and no shuffle. Decoding concatenates the bytes of the ids.
 
 Defined results: a null text is empty and has no ids; equal rows are encoded each by itself; ids,
 doc_id and order of chunks decide the result, never the number of partitions.
@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP, PIECE = 16_384, 512, 1_024
 #: A boundary this near to a chunk's end could be changed by what follows ('re, 've, 'll).
 _UNSURE = 3
 
@@ -54,8 +54,15 @@ class Codec:
         return cls._loaded[path, pattern]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        """Ids as little-endian unsigned 32-bit integers; the text is cut where a pre-token is sure to begin."""
+        ids: list[int] = []
+        at = 0
+        while at < len(text):
+            cut = _SURE.search(text, at + PIECE)
+            end = cut.start() if cut else len(text)
+            ids += self.encoding.encode_ordinary(text[at:end])
+            at = end
+        return np.array(ids, "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

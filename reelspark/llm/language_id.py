@@ -2,15 +2,20 @@
 
 A text is a vector of hashed character bigrams and trigrams of its lower-cased letters (anything else parts words), weighted
 (1 + log count) * idf and scaled to length one. idf counts every document that may be learned from. The labelled rows of
-each language, at most about ``per_language`` of them, are clustered into ``clusters`` centroids by spherical k-means. A text gets
-the language of the centroid with the highest cosine; that cosine is its score.
+each language are clustered into ``clusters`` centroids by spherical k-means. A text gets the language of the centroid with the highest
+cosine; that cosine is its score.
+
+The centroids are fitted on a bounded sample: of each language at most ``per_language`` different rows of at most LONGEST characters, drawn by a hash, and at
+most MOST_ROWS of all. With more than MOST_LANGUAGES languages fitting raises an error.
 
 Distance-based rejection: texts of about the same number of n-grams are compared. A text whose cosine is below ``slack`` times
-the least cosine that the labelled texts of its length class reach to their own language is rejected (accepted = false).
+a low quantile (LOW) of the cosines that the labelled texts of its length class reach to their own language is rejected (accepted = false). A longer text is
+never held to less than a shorter one; a class with fewer than FEW labelled texts is held to what the next shorter one is.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, not accepted; so is every text where no row can
 be learned from. Equal cosines go to the language that sorts first. Repeated rows are scored each by itself; null and repeated doc_id
-do no harm; extra columns are ignored. The driver holds the bounded sample, ``buckets`` counts and one row a language.
+do no harm. Extra columns are ignored by ``identify`` and kept by ``predict``, but for those named like a result, which the result replaces. The driver holds the
+bounded sample, ``buckets`` counts and one row a language.
 """
 
 from __future__ import annotations
@@ -21,18 +26,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm import wordhash
 
 BUCKETS, CLUSTERS, PER_LANGUAGE, ROUNDS, SLACK = 4096, 3, 1200, 8, 0.6
+MOST_ROWS, MOST_LANGUAGES, LONGEST = 20_000, 1_000, 32_768
+LOW, FEW = 0.01, 30
+#: Rows of dense counts at a time.
+ROWS = 512
 _letters: list[np.ndarray] = []
 
 
 def _is_letter() -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x30000)]))
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _letters[0]
 
 
@@ -41,15 +50,17 @@ def counts(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.utf8_lower(pc.fill_null(texts, ""))
     lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_py() or ""
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    # a text's characters and the line feed behind it
-    owner = np.repeat(np.arange(len(texts)), lengths + (np.arange(len(texts)) < len(texts) - 1))
-    letter = _is_letter()[np.minimum(code, 0x2FFFF)]
+    # a line feed before each text and behind the last: nothing of a text depends on its neighbours
+    code = np.frombuffer(f"\n{joined}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.append(np.repeat(np.arange(len(texts)), lengths + 1), len(texts) - 1)
+    first = np.zeros(len(code), bool)
+    first[np.cumsum(lengths + 1) - lengths - 1] = True  # each text's own line feed
+    letter = _is_letter()[code]
     letters = np.bincount(owner[letter], minlength=len(texts))
     c = np.where(letter, code, np.uint32(0))
     pair = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
     shift = np.uint32(32 - int(buckets).bit_length() + 1)
-    some = letter[:-1] | letter[1:]
+    some = (letter[:-1] | letter[1:]) & ~first[:-1]
     out = np.bincount(owner[:-1][some] * buckets + ((pair * np.uint32(0xC2B2AE3D)) >> shift)[some], minlength=len(texts) * buckets)
     middle = letter[1:-1]
     triple = pair[:-1] * np.uint32(0x27D4EB2F) + c[2:] * np.uint32(0x165667B1)
@@ -100,7 +111,7 @@ def fit(learn: DataFrame, buckets: int = BUCKETS, clusters: int = CLUSTERS, per_
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets + 1, np.int64)
         for batch in batches:
-            for part in wordhash.slices(batch, "text"):
+            for part in wordhash.slices(batch, "text", rows=ROWS):
                 found, letters = counts(part.column("text"), buckets)
                 total[:buckets] += (found > 0).sum(axis=0)
                 total[buckets] += (letters > 0).sum()
@@ -111,18 +122,24 @@ def fit(learn: DataFrame, buckets: int = BUCKETS, clusters: int = CLUSTERS, per_
     for r in learn.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r["bucket"]] = r["n"]
     sizes = learn.groupBy("lang").count()  # one row a language
+    names = sizes.limit(MOST_LANGUAGES + 1).count()
+    if names > MOST_LANGUAGES:
+        raise ValueError("there are more than MOST_LANGUAGES languages")
+    most = max(1, min(per_language, MOST_ROWS // max(names, 1)))
     # doc_id only spreads the draw, so that a large group of copies is drawn in its share
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = learn.withColumn("place", place).join(F.broadcast(sizes), "lang").filter(F.col("place") * F.col("count") < per_language).select("lang", "text")
+    drawn = learn.filter(F.length("text") <= LONGEST).withColumn("place", place).join(F.broadcast(sizes), "lang").filter(F.col("place") * F.col("count") < most)
+    order = Window.partitionBy("lang").orderBy("place")
+    chosen = drawn.dropDuplicates(["lang", "place"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("lang", "text")
     sample = chosen.toArrow().combine_chunks()
     model = Model(np.log((1 + df[buckets]) / (1 + df[:buckets])).astype(np.float32) + np.float32(1), [], np.zeros((0, buckets), np.float32), np.zeros(0, int), np.zeros(32))
     lang, texts = np.array(sample.column("lang").to_pylist(), dtype=object), sample.column("text")
     texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.string())
-    lowest = np.full(32, np.inf)
+    reached: list[tuple[np.ndarray, np.ndarray]] = []
     for name in sorted(set(lang)):
-        rows = np.flatnonzero(lang == name)[: 2 * per_language]
+        rows = np.flatnonzero(lang == name)
         kept = []
-        for part in wordhash.slices(pa.RecordBatch.from_arrays([texts.take(pa.array(rows))], ["text"]), "text"):
+        for part in wordhash.slices(pa.RecordBatch.from_arrays([texts.take(pa.array(rows))], ["text"]), "text", rows=ROWS):
             found, letters = counts(part.column("text"), buckets)
             found = found[letters > 0]
             kept.append((model.vectors(found), _length_class(found)))
@@ -130,22 +147,25 @@ def fit(learn: DataFrame, buckets: int = BUCKETS, clusters: int = CLUSTERS, per_
         if not len(x):
             continue
         own = _kmeans(x, clusters, rounds)
-        np.minimum.at(lowest, np.concatenate([k[1] for k in kept]), (x @ own.T).max(axis=1))
+        reached.append((np.concatenate([k[1] for k in kept]), (x @ own.T).max(axis=1)))
         model.centroids = np.concatenate([model.centroids, own.astype(np.float32)])
         model.language_of = np.concatenate([model.language_of, np.full(len(own), len(model.languages))])
         model.languages.append(name)
-    # a longer text is never held to less than a shorter one; a class without a sample takes the next shorter one's
-    model.floor = slack * np.maximum.accumulate(np.where(np.isinf(lowest), 0, np.minimum.accumulate(lowest[::-1])[::-1]))
+    if reached:
+        length, cosine = (np.concatenate(x) for x in zip(*reached, strict=True))
+        low = np.array([np.quantile(cosine[length == k], LOW) if (length == k).sum() >= FEW else 0.0 for k in range(32)])
+        model.floor = slack * np.maximum.accumulate(low)
     return model if model.languages else None
 
 
 def predict(docs: DataFrame, model: Model | None, buckets: int = BUCKETS) -> DataFrame:
-    """docs: text and any other columns, which stay. Adds lang_pred, score, accepted."""
+    """docs: text and any other columns, which stay. Adds lang_pred, score, accepted in place of any columns of these names."""
+    docs = docs.drop("lang_pred", "score", "accepted")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in wordhash.slices(batch, "text"):
+            for part in wordhash.slices(batch, "text", rows=ROWS):
                 found, letters = counts(part.column("text"), buckets)
                 seen = letters > 0
                 if model is None:

@@ -7,12 +7,12 @@ offending spans are runs of words with a marginal of ``span_at`` or more, as cha
 
 Labelled tokens come from labelled documents: features found mostly in toxic documents mark words of toxic documents T; all words of
 the others are O. The model is fitted on at most about ``per_label`` labelled documents of each label (weighted back to their true
-share), drawn by a hash; the driver holds
-these alone. Every text is then scored whole.
+share) of at most LONGEST characters, drawn by a hash; the driver holds these alone. Every text is then scored whole.
 
-Defined results: null and empty texts have no words and get the score of a document without toxic words. Rows with a null or no label teach
-nothing; of several labels of one doc_id the greatest counts. Without any toxic or any harmless label all scores are 0. Repeated rows are
-scored each by itself; null doc_id has no label; extra columns are ignored.
+Defined results: null and empty texts have no words and get the score of a document without toxic words. Labels other than 0 and 1 (null included) teach
+nothing; of several labels of one doc_id the greatest counts, and of several texts of one doc_id the first by hash teaches. Without any toxic or any
+harmless label all scores are 0. Repeated rows are scored each by itself; null doc_id has no label. Extra columns are ignored by ``score_documents`` and
+kept by ``tag``, but for those named like a result, which the result replaces. One text's words are held whole by a task.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm import wordhash
 
 PER_LABEL, SPAN_AT, PREDICT_AT = 1500, 0.5, 0.3
+LONGEST = 200_000
 SLOTS = 1 << 17
-TOGETHER = 6_000_000
+TOGETHER = 3_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
@@ -183,14 +184,16 @@ def _train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     """docs: doc_id, text; labels: doc_id, toxic. Only rows of both that may be learned from."""
-    label = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).dropna()
+    label = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).dropna()
     sizes = {r["toxic"]: r["count"] for r in label.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
         return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(float(per_label)) / F.when(F.col("toxic") == 1, sizes[1]).otherwise(sizes[0])
     chosen = label.filter(place < share).limit(4 * per_label)  # about 2 * per_label rows, so small enough to broadcast
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").toArrow().combine_chunks()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    drawn = docs.filter(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = drawn.withColumn("n", F.row_number().over(first)).filter("n = 1").select("text", "toxic").toArrow().combine_chunks()
     toxic = sample.column("toxic").to_numpy().astype(bool)
     if not toxic.any() or toxic.all():
         return None
@@ -199,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 
 
 def tag(docs: DataFrame, model: Model | None, span_at: float = SPAN_AT) -> DataFrame:
-    """docs: text and any other columns, which stay. Adds score, n_toxic (expected) and spans (start, end, marginal)."""
+    """docs: text and any other columns, which stay. Adds score, n_toxic (expected) and spans (start, end, marginal) in place of any columns of these names."""
+    docs = docs.drop("score", "n_toxic", "spans")
     names = docs.columns
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 

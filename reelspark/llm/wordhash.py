@@ -23,12 +23,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str, together: int = TOGETHER) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``together`` bytes of text."""
+def slices(batch: pa.RecordBatch, column: str, together: int = TOGETHER, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with about ``together`` bytes of text, and at most ``rows`` rows if given."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // together
+    if rows:
+        group = group * batch.num_rows + np.arange(batch.num_rows) // rows
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         yield batch.slice(a, b - a)

@@ -41,6 +41,70 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(docs.filter("false"), held_out()).collect() == []
 
 
+def test_letters_of_all_planes_and_unknown_languages(spark):
+    rows = [(k, " ".join(["der hund und die katze", "le chien et les chats", "the dog and the cats"][k % 3] for _ in range(1 + k % 7))) for k in range(300)]
+    rows += [(301, chr(0x30000) * 3), (302, "zażółć gęślą jaźń " * 9), (303, "съешь ещё этих мягких булок " * 9)]
+    docs = documents(spark, rows).drop("lang").selectExpr("*", "if(doc_id < 300, element_at(array('de', 'fr', 'en'), int(doc_id % 3) + 1), null) AS lang", "'mine' AS score")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, held_out()).collect()}
+    assert got[301]["lang_pred"] != "und" and not any(got[k]["accepted"] for k in (302, 303))
+    assert all(got[k]["accepted"] and got[k]["lang_pred"] == ["de", "fr", "en"][k % 3] for k in range(300))
+    again = language_id.predict(docs, language_id.fit(docs)).collect()
+    assert all(isinstance(r["score"], float) for r in again)
+
+
+def brute_cosine(rows, model):
+    """Nearest centroid of each text, from n-grams counted one by one."""
+    out = []
+    for t in rows:
+        found = np.zeros((1, language_id.BUCKETS), np.int64)
+        low = "".join(c if c.isalpha() else "\0" for c in t.lower())
+        code = [0, *(ord(c) * (c != "\0") for c in low), 0]
+        for i in range(1, len(code) - 1):
+            a, b, c = code[i - 1 : i + 2]
+            if b or c:
+                found[0, (b * 0x9E3779B1 + c * 0x85EBCA77) % 2**32 * 0xC2B2AE3D % 2**32 >> (33 - language_id.BUCKETS.bit_length())] += 1
+            if b:
+                found[0, ((a * 0x9E3779B1 + b * 0x85EBCA77) % 2**32 * 0x27D4EB2F + c * 0x165667B1) % 2**32 * 0x9E3779B1 % 2**32 >> (33 - language_id.BUCKETS.bit_length())] += 1
+        weights = np.array([(1 + np.log(x)) * w if x else 0 for x, w in zip(found[0], model.idf, strict=True)])
+        cosine = model.centroids @ (weights / (np.linalg.norm(weights) or 1))
+        out.append((model.languages[model.language_of[int(cosine.argmax())]], float(cosine.max())))
+    return out
+
+
+def test_language_is_the_nearest_centroid_s(spark):
+    rows = [(k, f"{'abc xyz' if k % 2 else 'mno pqr'} {'ü' * (k % 3)} {k} tail") for k in range(80)]
+    docs = documents(spark, rows).drop("lang").selectExpr("*", "if(doc_id % 2 = 0, 'aa', 'bb') AS lang")
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for (i, _), (lang, cosine) in zip(rows, brute_cosine([t for _, t in rows], model), strict=True):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - min(cosine, 1)) < 1e-5
+
+
+def test_toxicity_scores_like_plain_chains(spark):
+    """A document's score from its words one by one."""
+    import xxhash
+
+    rows = [(k, f"some {'VILEWORD, vileword' if k % 3 == 0 else 'quiet'} stands here {k}" if k else "") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(1, 200)] + [(1, 7), (2, None)], "doc_id long, toxic int")
+    docs = documents(spark, rows).withColumnRenamed("node", "score")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.tag(docs, model).collect()}
+    slot = lambda x: 1 + xxhash.xxh3_64_intdigest(x) % (toxicity.SLOTS - 1)
+    for i, t in rows:
+        words = [w.lower().strip(",") for w in t.split()]
+        odds = [np.exp(model.bias + sum(model.weights[slot(x)] for x in ["=" + w, *(w[:n] for n in range(3, 8) if len(w) >= n)])) for w in words]
+        back, ahead = [np.ones(2)], []
+        for k, o in enumerate(odds):
+            e = np.array([1.0, o])
+            ahead.append(e if not k else e * (ahead[-1] @ model.stay))
+            ahead[-1] = ahead[-1] / ahead[-1].sum()
+        for o in odds[:0:-1]:
+            back.append(model.stay @ (np.array([1.0, o]) * back[-1]))
+        p = [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, back[::-1], strict=True)] if words else []
+        evidence = [max(p, default=0), np.log1p(sum(p)), np.log1p(100 * sum(p) / max(len(p), 1)), 1]
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-np.dot(evidence, model.aggregate)))) < 1e-6
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = documents(spark, texts(20))
     empty = spark.createDataFrame([], "doc_id long, toxic int")
