@@ -8,12 +8,13 @@ documents, as repeats within runs of ``RUN`` n-grams; the ``COMMON`` most freque
 2. *Meeting.* Sets of a similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Nodes that share such an n-gram meet there and
    form a star about one of them, if their sizes follow each other closely enough; stars about the same node are one. N-grams known to be hot are
    stars themselves, so their nodes need not come together in one task.
-3. *First traversal.* Each node sends its text once, to the largest of its stars. Stars are cut into blocks of at most about ``block`` nodes or as many
-   n-grams as 1024 times that, and one node of the star, its representative, goes to every block. A block's sets, cut into ranges of hashes, form a trie whose
+3. *First traversal.* Each node goes to the largest of its stars. Stars are cut into blocks of at most about ``block`` nodes or as many n-grams as
+   1024 times that, and one node of the star, its representative, goes to every block. Nodes come as sketches first (n-grams counted by range, which
+   bound an overlap); those that may link with another of their block send their text, once. A block's sets, cut into ranges of hashes, form a trie whose
    edges are range contents; it is traversed with itself from range to range. A pair of subtrees carries the overlap of its two prefixes,
    counted once for all pairs of sets below, and is pruned when that overlap and all that remains cannot reach what the smallest sets below need.
 4. *Second traversal.* Where a star still holds nodes of several components, those outside its largest component are compared with all of the star's other
-   components: first by sketches (n-grams counted by range, a bound of the overlap), and what the sketches leave by the tries of the two sides.
+   components in the same way: by sketches, and what the sketches leave by the tries of the two sides.
 5. Links are thinned to a spanning forest in each unit of work, and components are found over all units.
 
 Near copies by the thousand thus never become rows of pairs, and their texts are sent once; a unit of work holds at most two blocks.
@@ -353,42 +354,18 @@ def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: in
         if sides[0] and len(sides[0]) + len(sides[1]) > 1:
             yield of(sides)
 
-    # First traversal: each node in the largest of its stars, with the star's representative.
-    per_star = stars.groupBy("star").agg(F.count("*").alias("n"))
-    choice = stars.join(per_star, "star").groupBy("node").agg(F.max(F.struct("n", "star")).alias("x")).select("node", "x.star")
-    chosen = choice.join(met.drop("sketch"), "node")
-    cut = chosen.groupBy("star").agg(F.count("*").alias("n"), units_of(F.sum(weight)).alias("blocks"), F.min(F.struct("size", "node", "text_key")).alias("one")).filter("n > 1")
-    rows = chosen.join(cut.select("star", "blocks"), "star").select("star", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "text_key")
-    ones = cut.filter("blocks > 1").select("star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "one.node", "one.text_key")
-    units = _lend(texts, rows.unionByName(ones)).withColumn("side", F.lit(0)).repartition("star", "block").sortWithinPartitions("star", "block", "node")
-    near = materialise(units.mapInArrow(lambda batches: links(batches, ("star", "block")), "a long, b long"), "near")
-    groups = components(near)
-
-    # Second traversal: what lies outside a star's largest component against its other components.
-    labelled = stars.join(groups, "node", "left").select("star", "node", F.coalesce("component", "node").alias("own"))
-    mixed = labelled.groupBy("star").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low != high").select("star")
-    held = materialise(labelled.join(mixed, "star").join(met, "node"), "held")
-    largest = held.groupBy("star", "own").agg(F.count("*").alias("n")).groupBy("star").agg(F.max_by("own", F.struct("n", "own")).alias("largest"))
-    minor = F.col("own") != F.col("largest")
-    sizes = held.join(largest, "star").groupBy("star").agg(F.first("largest").alias("largest"), units_of(F.sum(F.when(minor, weight))).alias("few"), units_of(F.sum(weight)).alias("all"))
-    rows = held.join(sizes, "star").withColumn("at", F.xxhash64("node"))
-
-    def sides(side: int, own: str, other: str) -> DataFrame:
-        some = rows.filter(minor) if side == 0 else rows
-        place = F.pmod("at", F.col(own)).cast("int")
-        everywhere = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        x, y = (place, everywhere) if side == 0 else (everywhere, place)
-        return some.select("star", x.alias("x"), y.alias("y"), F.lit(side).alias("side"), "node", "own", "size", "text_key", "sketch")
-
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a unit that may link with one of its other side."""
+        """The rows of a unit that may link with one of its other side, or of the same side if there is no other."""
 
         def left(rows: pa.RecordBatch) -> pa.RecordBatch:
             side = rows.column("side").to_numpy()
             of_side = [rows.filter(pa.array(side == k)) for k in (0, 1)]
             sizes = [[x.column("size").to_numpy(), x.column("own").to_numpy(), x.column("sketch").to_pylist()] for x in of_side]
             stay = np.zeros(len(side), bool)
-            stay[side == 0], stay[side == 1] = may_link(*sizes[0], *sizes[1], num, den)
+            if side.any():
+                stay[side == 0], stay[side == 1] = may_link(*sizes[0], *sizes[1], num, den)
+            else:
+                stay |= may_link(*sizes[0], *sizes[0], num, den)[0]
             return rows.filter(pa.array(stay)).select(["star", "x", "y", "side", "node", "text_key"])
 
         rest = None
@@ -404,10 +381,44 @@ def similarity_components(docs: DataFrame, n: int, num: int, den: int, block: in
         if rest is not None:
             yield left(rest)
 
-    both = sides(0, "few", "all").unionByName(sides(1, "all", "few")).repartition("star", "x", "y").sortWithinPartitions("star", "x", "y", "side", "node")
-    kept = materialise(both.mapInArrow(narrow, "star long, x int, y int, side int, node long, text_key long"), "kept")
-    units = _lend(texts, kept).repartition("star", "x", "y").sortWithinPartitions("star", "x", "y", "side", "node")
-    found = units.mapInArrow(lambda batches: links(batches, ("star", "x", "y")), "a long, b long")
+    def traverse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What the sketches leave of rows (star, x, y, side, node, own, size, text_key, sketch), and its links."""
+        dealt = rows.repartition("star", "x", "y").sortWithinPartitions("star", "x", "y", "side", "node")
+        kept = materialise(dealt.mapInArrow(narrow, "star long, x int, y int, side int, node long, text_key long"), "kept")
+        units = _lend(texts, kept).repartition("star", "x", "y").sortWithinPartitions("star", "x", "y", "side", "node")
+        return kept, units.mapInArrow(lambda batches: links(batches, ("star", "x", "y")), "a long, b long")
+
+    # First traversal: each node in the largest of its stars, with the star's representative.
+    per_star = stars.groupBy("star").agg(F.count("*").alias("n"))
+    choice = stars.join(per_star, "star").groupBy("node").agg(F.max(F.struct("n", "star")).alias("x")).select("node", "x.star")
+    chosen = materialise(choice.join(met, "node"), "chosen")
+    cut = chosen.groupBy("star").agg(F.count("*").alias("n"), units_of(F.sum(weight)).alias("blocks"), F.min(F.struct("size", "node")).alias("one")).filter("n > 1")
+    rows = chosen.join(cut.select("star", "blocks"), "star").withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    ones = cut.filter("blocks > 1").select("star", "blocks", "one.node").join(met, "node").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ones = ones.filter(F.col("x") != F.pmod(F.xxhash64("node"), F.col("blocks")))
+    first = ["star", "x", F.lit(0).alias("y"), F.lit(0).alias("side"), "node", F.col("node").alias("own"), "size", "text_key", "sketch"]
+    sent, near = traverse(rows.select(*first).unionByName(ones.select(*first)))
+    near = materialise(near, "near")
+    discard(chosen, sent)
+    groups = components(near)
+
+    # Second traversal: what lies outside a star's largest component against its other components.
+    labelled = stars.join(groups, "node", "left").select("star", "node", F.coalesce("component", "node").alias("own"))
+    mixed = labelled.groupBy("star").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low != high").select("star")
+    held = materialise(labelled.join(mixed, "star").join(met, "node"), "held")
+    largest = held.groupBy("star", "own").agg(F.count("*").alias("n")).groupBy("star").agg(F.max_by("own", F.struct("n", "own")).alias("largest"))
+    minor = F.col("own") != F.col("largest")
+    sizes = held.join(largest, "star").groupBy("star").agg(F.first("largest").alias("largest"), units_of(F.sum(F.when(minor, weight))).alias("few"), units_of(F.sum(weight)).alias("all"))
+    rows = held.join(sizes, "star").withColumn("at", F.xxhash64("node"))
+
+    def sides(side: int, own: str, other: str) -> DataFrame:
+        some = rows.filter(minor) if side == 0 else rows
+        place = F.pmod("at", F.col(own)).cast("int")
+        everywhere = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        x, y = (place, everywhere) if side == 0 else (everywhere, place)
+        return some.select("star", x.alias("x"), y.alias("y"), F.lit(side).alias("side"), "node", "own", "size", "text_key", "sketch")
+
+    kept, found = traverse(sides(0, "few", "all").unionByName(sides(1, "all", "few")))
     label = groups.select("node", "component")
     a, b = (label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_")) for c in ("a", "b"))
     between = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))

@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from reelspark.llm import wordhash
 
 PER_LABEL, SPAN_AT, PREDICT_AT = 1500, 0.5, 0.3
-LONGEST = 200_000
+LONGEST = 20_000
 SLOTS = 1 << 17
-TOGETHER = 3_000_000
+TOGETHER = 6_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
@@ -40,7 +40,7 @@ _BEGINNINGS = (3, 4, 5, 6, 7)
 
 def features(words: list[str]) -> np.ndarray:
     """Feature slots of distinct words, one row each; slot 0 stands for none."""
-    out = np.zeros((len(words), 1 + len(_BEGINNINGS)), np.int64)
+    out = np.zeros((len(words), 1 + len(_BEGINNINGS)), np.int32)
     for i, w in enumerate(words):
         w = _EDGE.sub("", w.lower())
         if w:
@@ -63,7 +63,7 @@ class Chains:
         self.active = np.searchsorted(-lengths[order], -np.arange(steps), "left")
         self.starts = np.concatenate([[0], np.cumsum(self.active)])
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        self.place = self.starts[np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], lengths)] + rank[doc]
+        self.place = (self.starts[np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], lengths)] + rank[doc]).astype(np.int32)
 
     def marginals(self, odds: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """odds: exp(weight of T less that of O) of each word; stay: exp of the transition weights, [from][to].
@@ -84,8 +84,9 @@ class Chains:
         for t in range(len(a) - 2, -1, -1):
             x = e[s[t + 1] : s[t + 2]] * behind[s[t + 1] : s[t + 2]]
             behind[s[t] : s[t] + a[t + 1]] = (to + tt * x) / (oo + ot * x)
+        ahead, behind = ahead[self.place], behind[self.place]
         both = ahead * behind
-        return (both / (1 + both))[self.place], ahead[self.place], behind[self.place]
+        return both / (1 + both), ahead, behind
 
 
 @dataclass
@@ -129,17 +130,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def _train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int = 60) -> Model:
     offsets, coded = wordhash.split(texts)
     slots = features(coded.dictionary.to_pylist())
-    word = coded.indices.to_numpy().astype(np.int64)
+    word = coded.indices.to_numpy()
     doc = wordhash.doc_of(offsets)
     # Which features mark toxic documents? Counted once a document; the columns in turn, to hold little at a time.
     hits, others = np.zeros(SLOTS), np.zeros(SLOTS)
-    seen_in = np.unique(doc * len(slots) + word)
-    d, w = seen_in // len(slots), seen_in % len(slots)
-    for column in slots.T:
-        pairs = np.unique(d * SLOTS + column[w])
-        bad = toxic[pairs // SLOTS]
-        hits += np.bincount(pairs[bad] % SLOTS, minlength=SLOTS)
-        others += np.bincount(pairs[~bad] % SLOTS, minlength=SLOTS)
+    for a in range(0, len(toxic), 256):  # some documents at a time
+        b = min(a + 256, len(toxic))
+        own = slice(offsets[a], offsets[b])
+        seen_in = np.unique((doc[own] - a) * len(slots) + word[own])
+        d, w = seen_in // len(slots), seen_in % len(slots)
+        for column in slots.T:
+            pairs = np.unique(d * SLOTS + column[w])
+            bad = toxic[a + pairs // SLOTS]
+            hits += np.bincount(pairs[bad] % SLOTS, minlength=SLOTS)
+            others += np.bincount(pairs[~bad] % SLOTS, minlength=SLOTS)
     hits[0] = 0
     lift = np.log((hits + 0.25) / (toxic.sum() + 1)) - np.log((others + 0.25) / ((~toxic).sum() + 1))
     marks = (hits >= min(5, max(2, toxic.sum() / 100))) & (lift > 2.3)
@@ -149,7 +153,8 @@ def _train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int =
     chains = Chains(cuts)
     first = np.zeros(len(word), bool)
     first[cuts[:-1][np.diff(cuts) > 0]] = True
-    inner = np.flatnonzero(~first)
+    inner = np.flatnonzero(~first).astype(np.int32)
+    del doc, first
     weights, stay = np.zeros(SLOTS), np.zeros((2, 2))
     bias = -3.0
     speed, speed_stay, speed_bias = np.full(SLOTS, 1e-8), np.full((2, 2), 1e-8), 1e-8
@@ -160,16 +165,16 @@ def _train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int =
         odds = np.exp(np.clip(weights[slots].sum(axis=1) + bias, -30, 30))[word]
         p, ahead, behind = chains.marginals(odds, np.exp(stay))
         gap = label - p
-        by_word = np.bincount(word, weights=gap, minlength=n_words)
-        g = np.bincount(slots.ravel(), weights=np.repeat(by_word, slots.shape[1]), minlength=SLOTS) - 0.02 * weights
+        by_word, g_bias = np.bincount(word, weights=gap, minlength=n_words), gap.sum()
+        g = sum(np.bincount(column, weights=by_word, minlength=SLOTS) for column in slots.T) - 0.02 * weights
         g[0] = 0
         # expected transitions from the odds on both sides
         r, x = ahead[inner - 1], odds[inner] * behind[inner]
         w = np.exp(stay)
+        del p, ahead, behind, gap, odds
         all_ = 1 / (w[0, 0] + w[0, 1] * x + w[1, 0] * r + w[1, 1] * r * x)
         expected = w * np.array([[all_.sum(), (x * all_).sum()], [(r * all_).sum(), (r * x * all_).sum()]])
         g_stay = seen - expected - 0.02 * stay
-        g_bias = gap.sum()
         speed += g * g
         speed_stay += g_stay * g_stay
         speed_bias += g_bias * g_bias
@@ -177,7 +182,8 @@ def _train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int =
         stay += 0.1 * g_stay / np.sqrt(speed_stay)
         bias += 0.3 * g_bias / np.sqrt(speed_bias)
     model = Model(weights, bias, np.exp(stay), np.zeros(4))
-    p, _, _ = Chains(offsets).marginals(model.word_odds(coded.dictionary.to_pylist())[word], model.stay)
+    del chains, inner, label
+    p, _, _ = Chains(offsets).marginals(np.exp(np.clip(weights[slots].sum(axis=1) + bias, -30, 30))[word], model.stay)
     model.aggregate = _logistic(_evidence(p, offsets), toxic.astype(float), weight)
     return model
 

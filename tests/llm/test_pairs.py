@@ -101,6 +101,14 @@ def test_join_is_exact(spark, n, num, den, block, hot):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, n, num, den)
 
 
+def test_thousands_of_near_copies_are_one_component(spark):
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join([*base[:40], f"x{k}", *base[41:]])) for k in range(1500)]
+    rows += [(3000 + k, " ".join(["far", *base[1:60], f"y{k % 7}", f"z{k}"])) for k in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(documents(spark, rows), 3, 9, 10, block=100, hot=500).collect()}
+    assert {got[k] for k in range(1500)} == {0} and got == {i: c for i, _, c in brute_components(rows[:3] + rows[1500:], 3, 9, 10)} | {k: 0 for k in range(1500)}
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.similarity_components(documents(spark, []), 3, 9, 10).collect() == []
 
