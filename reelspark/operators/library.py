@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.text import ascii_lower, human_size
+from reelspark.operators.ranges import numbered
 
 
 def logical_items(files: DataFrame) -> DataFrame:
@@ -26,29 +27,20 @@ def totals(files: DataFrame) -> DataFrame:
 
 
 def search(files: DataFrame, wanted: str) -> DataFrame:
-    """P5: ASCII-case-insensitive substring of title, path or text; an empty query finds all."""
+    """P5: ASCII-case-insensitive substring of title or path; an empty query finds all."""
     if not wanted:
         return files
     wanted = "".join(c.lower() if c.isascii() else c for c in wanted)
     hit = F.lit(False)
-    for c in ("title", "path", "text"):
+    for c in ("title", "path"):
         hit = hit | F.coalesce(ascii_lower(F.col(c)).contains(wanted), F.lit(False))
     return files.filter(hit)
 
 
-def name_order(files: DataFrame, width: int = 4096) -> DataFrame:
-    """O1: number all files by path for paging, without one global window.
-
-    Files are counted by directory; the running count of directories (few against files) gives each its offset, and
-    files are numbered inside theirs.
-    """
-    from pyspark.sql import Window
-
-    placed = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "/"))
-    sizes = placed.groupBy("folder").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("folder")) - F.col("n")).drop("n")
-    inside = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
-    return placed.join(before, "folder").withColumn("position", F.col("before") + inside).drop("folder", "before")
+def name_order(files: DataFrame, ranges: int | None = None) -> DataFrame:
+    """O1: number all files by path for paging, component by component, range by range. Equal paths must not repeat."""
+    placed = files.withColumn("parts_", F.replace("path", F.lit("/"), F.lit("\u0000")))  # below every other character, so components decide
+    return numbered(placed, ["parts_"], "position", ranges).drop("parts_")
 
 
 def page(files: DataFrame, start: int, count: int) -> DataFrame:

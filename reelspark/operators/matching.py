@@ -95,5 +95,5 @@ def best_candidates(queries: DataFrame, candidates: DataFrame, block: list[str],
     top = scored.withColumn("place", F.row_number().over(w)).filter("place <= 2")
     both = top.groupBy("query").agg(F.max(F.when(F.col("place") == 1, F.struct("candidate", "score"))).alias("one"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
     gap = F.round(F.col("one.score") - F.coalesce("second", F.lit(0.0)), 6)
-    verdict = F.when((F.col("one.score") >= sure) & (gap >= margin), "matched").otherwise("ambiguous")
+    verdict = F.when((F.col("one.score") >= sure) & (F.col("second").isNull() | (gap > margin)), "matched").otherwise("ambiguous")
     return both.select("query", "one.candidate", "one.score", gap.alias("margin"), verdict.alias("verdict"))

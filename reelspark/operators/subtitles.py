@@ -25,9 +25,10 @@ def readability(cues: DataFrame, most_cps: float = 17.0) -> DataFrame:
 
 
 def repetition_loops(events: DataFrame, least: int) -> DataFrame:
-    """Runs of at least so many equal values in order (track, at, value): track, first, n, value."""
+    """Runs of at least so many equal values in order (track, at, id, value): track, first, n, value. Null and blank values form no runs."""
     w = Window.partitionBy("track").orderBy("at", "id")
-    rows = events.withColumn("new", F.when(F.col("value").eqNullSafe(F.lag("value").over(w)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    same = (F.col("value") == F.lag("value").over(w)) & (F.trim("value") != "")
+    rows = events.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     runs = rows.groupBy("track", "run").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min("value").alias("value"))
     return runs.filter(F.col("n") >= least).select("track", "first", "n", "value")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import human_size, title_key, weighted_rating, year_agreement
 from reelspark.operators import library, matching, metadata, snapshot, subtitles
-from reelspark.plans import statistics
+from reelspark.plans import playback, statistics
 from reelspark.sources import catalog
 from reelspark.sources.catalog import millis, table
 from reelspark.streaming import changes
@@ -30,7 +30,7 @@ def library_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.search(catalog.files(spark, sf_dir), "Licensed UNDER").select("doc_id", "path")
+    return library.search(catalog.files(spark, sf_dir), "Src3/").select("doc_id", "path")
 
 
 def library_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verify_budget, cache_eviction, field_merge, artwork_choice, cue_checks, cue_readability, repetition_loops, onset_offsets,
         stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, title_candidates, change_bursts, quiet_bursts, track_offsets, rate_limit,
     )
-}
+} | playback.QUERIES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id AS path, source AS title, lang AS kind, n_chars AS size, md5(text) AS sketch, text FROM documents)"
@@ -176,8 +176,8 @@ ORACLES: dict[str, str] = {
     "library_items": f"WITH {_FILES} SELECT {_LOWER.format('title')} AS item, kind, arg_min(title, path) AS title, count(*) AS n_files, sum(size)::BIGINT AS bytes, min(path) AS first_path FROM files GROUP BY 1, 2",
     "duplicate_groups": f"WITH {_FILES} SELECT sketch, count(*) AS n_files, min(path) AS first_path, (count(*) - 1) * max(size) AS recoverable FROM files GROUP BY sketch HAVING count(*) > 1",
     "library_totals": f"WITH {_FILES}, t AS (SELECT coalesce(kind, 'unidentified') AS kind, count(*) AS n_files, count(DISTINCT {_LOWER.format('title')}) AS n_items, sum(size)::BIGINT AS bytes FROM files GROUP BY 1) SELECT *, {_HUMAN.format('bytes')} AS label FROM t",
-    "library_search": f"WITH {_FILES} SELECT doc_id, path FROM files WHERE contains({_LOWER.format('title')}, 'licensed under') OR contains({_LOWER.format('path')}, 'licensed under') OR contains({_LOWER.format('text')}, 'licensed under')",
-    "library_order": f"WITH {_FILES} SELECT path, row_number() OVER (ORDER BY regexp_replace(path, '/[^/]*$', '/'), path) AS position FROM files",
+    "library_search": f"WITH {_FILES} SELECT doc_id, path FROM files WHERE contains({_LOWER.format('title')}, 'src3/') OR contains({_LOWER.format('path')}, 'src3/')",
+    "library_order": f"WITH {_FILES} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM files",
     "tree_totals": "SELECT concat_ws('/', 'root', r_name, n_name) AS node, (2 - grouping(r_name) - grouping(n_name))::INTEGER AS depth, count(*) AS n_leaves, round(sum(c_acctbal), 2) AS size FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "snapshot_reconcile": f"WITH {_RECONCILE} SELECT path, verdict, from_path FROM verdicts",
     "snapshot_report": f"WITH {_RECONCILE} SELECT verdict, count(*) AS n FROM verdicts GROUP BY verdict",
@@ -187,9 +187,9 @@ ORACLES: dict[str, str] = {
     "artwork_choice": "WITH a AS (SELECT l_partkey AS item, l_returnflag AS kind, l_linenumber % 3 AS p, CASE WHEN l_quantity % 10 <> 0 THEN round(l_discount * 100, 0) END AS rating, l_quantity::BIGINT AS votes, l_suppkey % 5 * 400 + 400 AS width, 'art-' || l_orderkey || '-' || l_linenumber AS url FROM lineitem), s AS (SELECT *, floor((coalesce(rating, 5.0) * votes + 50.0) / (votes + 10) * 1000)::BIGINT AS score FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY item, kind ORDER BY p, score DESC, width DESC, url) AS n FROM s) SELECT item, kind, url, width, score FROM r WHERE n = 1",
     "cue_checks": f"WITH {_CUES}, r AS (SELECT *, lag(start_ms) OVER w AS bs, lag(end_ms) OVER w AS be FROM cues WINDOW w AS (PARTITION BY track ORDER BY tm)), i AS (SELECT track, tm AS cue, CASE WHEN start_ms < bs THEN 'out_of_order' WHEN start_ms < be THEN 'overlap' WHEN start_ms - be < 80 THEN 'gap' END AS issue FROM r) SELECT * FROM i WHERE issue IS NOT NULL",
     "cue_readability": f"WITH {_CUES}, c AS (SELECT track, round(length(regexp_replace(text, '<[^>]*>', '', 'g')) * 1000.0::DOUBLE / (end_ms - start_ms), 6) AS cps FROM cues WHERE end_ms > start_ms), r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY cps) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM c) SELECT track, round(avg(cps), 4) AS mean_cps, max(CASE WHEN i = least(n * 95 // 100, n - 1) THEN cps END) AS p95_cps, round(avg((cps > 17.0)::INTEGER::DOUBLE), 4) AS issue_rate FROM r GROUP BY track",
-    "repetition_loops": f"WITH {_EVENTS}, a AS (SELECT user_id AS track, tm, event_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY tm, event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY track ORDER BY tm, event_id) AS run FROM a) SELECT track, min(tm) AS first, count(*) AS n, min(event_type) AS value FROM b GROUP BY track, run HAVING count(*) >= 3",
+    "repetition_loops": f"WITH {_EVENTS}, a AS (SELECT user_id AS track, tm, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w AND trim(event_type) <> '' THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY tm, event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY track ORDER BY tm, event_id) AS run FROM a) SELECT track, min(tm) AS first, count(*) AS n, min(event_type) AS value FROM b GROUP BY track, run HAVING count(*) >= 3",
     "onset_offsets": f"WITH {_EVENTS}, p AS (SELECT c.event_id AS id, v.tm - c.tm AS d FROM ev c JOIN ev v USING (user_id) WHERE c.event_type = 'click' AND v.event_type = 'view'), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(d), d) AS n FROM p) SELECT id, d AS offset_ms, floor(d / 50.0)::BIGINT AS bucket FROM r WHERE n = 1 AND abs(d) <= 6000000",
-    "stage_stats": f"WITH {_EVENTS}, g AS (SELECT user_id AS stage, tm, value, greatest(k - lag(k) OVER (PARTITION BY user_id ORDER BY tm, event_id), 0) AS gain, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, lag(k) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS b FROM ev) SELECT stage, max(tm) - min(tm) AS duration_ms, sum(CASE WHEN b IS NULL THEN 0 ELSE gain END)::BIGINT AS gain, floor(sum(round(value * 100)::BIGINT)::DOUBLE * 100.0 / count(value)) / 10000.0::DOUBLE AS mean_value, max(CASE WHEN i = least(n * 99 // 100, n - 1) THEN value END) AS p99_value FROM g GROUP BY stage",
+    "stage_stats": f"WITH {_EVENTS}, g AS (SELECT user_id AS stage, tm, value, greatest(k - lag(k) OVER (PARTITION BY user_id ORDER BY tm, event_id), 0) AS gain, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, lag(k) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS b FROM ev) SELECT stage, max(tm) - min(tm) AS duration_ms, sum(CASE WHEN b IS NULL THEN 0 ELSE gain END)::BIGINT AS gain, round(sum(value::DECIMAL(28,12))::DOUBLE / count(value), 6) AS mean_value, max(CASE WHEN i = least(n * 99 // 100, n - 1) THEN value END) AS p99_value FROM g GROUP BY stage",
     "calibration_summary": f"WITH {_EVENTS} SELECT event_type, count(*) AS n, count(k) AS checkable, sum((k > 50)::BIGINT)::BIGINT AS flagged FROM ev GROUP BY event_type",
     "coverage_rollup": "SELECT CASE WHEN grouping(lang) = 1 THEN 'total' ELSE lang END AS grp, count(*) AS n, count(quality) AS defined, round(count(quality) * 100.0::DOUBLE / count(*), 4) AS percent FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)",
     "title_keys": f"SELECT p_partkey, {_TITLE.format(chr(39) + 'The ' + chr(39) + ' || p_name || ' + chr(39) + ' & Été' + chr(39))} AS title, {_HUMAN.format('(trunc(p_retailprice)::BIGINT * 1000 * p_size)')} AS size, CASE abs(p_size - 20) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.3 ELSE 0.0 END::DOUBLE AS agreement, round((coalesce(CASE WHEN p_size > 10 THEN p_size / 5.0::DOUBLE END, 5.0) * p_size + 50.0) / (p_size + 10), 6) AS rating FROM part",
@@ -200,6 +200,14 @@ s AS (SELECT query, candidate, round(0.7::DOUBLE * CASE WHEN a = '' OR b = '' TH
   + 0.3::DOUBLE * coalesce(CASE WHEN off <= 0.02::DOUBLE THEN 1.0 WHEN off >= 0.25::DOUBLE THEN 0.0 ELSE (0.25::DOUBLE - off) / 0.23::DOUBLE END, 0.0), 6) AS score FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS n FROM s WHERE score >= 0.45),
 t AS (SELECT query, max(CASE WHEN n = 1 THEN candidate END) AS candidate, max(CASE WHEN n = 1 THEN score END) AS score, max(CASE WHEN n = 2 THEN score END) AS second FROM r WHERE n <= 2 GROUP BY query)
-SELECT query, candidate, score, round(score - coalesce(second, 0.0), 6) AS margin, CASE WHEN score >= 0.8 AND round(score - coalesce(second, 0.0), 6) >= 0.08 THEN 'matched' ELSE 'ambiguous' END AS verdict FROM t""",
+SELECT query, candidate, score, round(score - coalesce(second, 0.0), 6) AS margin, CASE WHEN score >= 0.8 AND (second IS NULL OR round(score - coalesce(second, 0.0), 6) > 0.08) THEN 'matched' ELSE 'ambiguous' END AS verdict FROM t""",
     "change_bursts": f"WITH {_EVENTS}, a AS (SELECT user_id AS key, tm, CASE WHEN tm - lag(tm) OVER w <= 3600000 THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY tm)), b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY tm RANGE UNBOUNDED PRECEDING) AS run FROM a) SELECT key, min(tm) AS first_ms, max(tm) AS last_ms, count(*) AS n FROM b GROUP BY key, run",
 }
+
+ORACLES |= playback.ORACLES | {
+    # a sliding log, attempt by attempt: the last admitted times of a key, the latest first
+    "rate_limit": f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT user_id AS key, tm AS at_ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS i FROM ev),
+walk AS (SELECT key, at_ms, id, i, true AS admitted, at_ms AS one, NULL::BIGINT AS two FROM n WHERE i = 1
+  UNION ALL SELECT n.key, n.at_ms, n.id, n.i, two IS NULL OR n.at_ms - two >= 86400000, CASE WHEN two IS NULL OR n.at_ms - two >= 86400000 THEN n.at_ms ELSE one END, CASE WHEN two IS NULL OR n.at_ms - two >= 86400000 THEN one ELSE two END FROM walk JOIN n ON n.key = walk.key AND n.i = walk.i + 1)
+SELECT key, at_ms, id, admitted FROM walk""",
+}

@@ -13,8 +13,8 @@ def stage_stats(samples: DataFrame) -> DataFrame:
     rows = samples.withColumn("gain", F.greatest(F.col("counter") - F.lag("counter").over(w), F.lit(0)))
     rows = rows.withColumn("i", F.row_number().over(by_value) - 1).withColumn("n", F.count("*").over(Window.partitionBy("stage")))
     p99 = F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * F.lit(99) / 100), F.col("n") - 1), F.col("value")))
-    # summed in hundredths, so that the order of rows cannot change the mean
-    mean = F.floor(F.sum(F.round(F.col("value") * 100).cast("long")) * 100.0 / F.count("value")) / 10000.0
+    # summed as decimals, so that the order of rows cannot change the mean
+    mean = F.round((F.sum(F.col("value").cast("decimal(28,12)")).cast("double") / F.count("value")), 6)
     return rows.groupBy("stage").agg((F.max("at_ms") - F.min("at_ms")).alias("duration_ms"), F.sum(F.coalesce("gain", F.lit(0))).cast("long").alias("gain"), mean.alias("mean_value"), p99.alias("p99_value"))
 
 

@@ -1,4 +1,4 @@
-"""Titles as normalize.rs has them; durations and cut texts as report.rs."""
+"""Titles, durations and cut texts."""
 
 from pyspark.sql import functions as F
 
