@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from reelspark.llm import wordhash
 
 PER_LABEL, SPAN_AT, PREDICT_AT = 1500, 0.5, 0.3
-LONGEST = 20_000
+LONGEST = 200_000
 SLOTS = 1 << 17
 TOGETHER = 6_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
