@@ -7,7 +7,7 @@ offending spans are runs of words with a marginal of ``span_at`` or more, as cha
 
 Labelled tokens come from labelled documents: features found mostly in toxic documents mark words of toxic documents T; all words of
 the others are O. The model is fitted on at most about ``per_label`` labelled documents of each label (weighted back to their true
-share) of at most LONGEST characters, drawn by a hash; the driver holds these alone. Every text is then scored whole.
+share) of at most LONGEST characters, drawn by a hash; one task holds these alone and sends the weights to the driver. Every text is then scored whole.
 
 Defined results: null and empty texts have no words and get the score of a document without toxic words. Labels other than 0 and 1 (null included) teach
 nothing; of several labels of one doc_id the greatest counts, and of several texts of one doc_id the first by hash teaches. Without any toxic or any
@@ -36,6 +36,7 @@ TOGETHER = 6_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
+_SAMPLE = pa.schema([("text", pa.string()), ("toxic", pa.int32())])
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -99,6 +100,14 @@ class Model:
     def word_odds(self, words: list[str]) -> np.ndarray:
         return np.exp(np.clip(self.weights[features(words)].sum(axis=1) + self.bias, -30, 30))
 
+    def packed(self) -> bytes:
+        return np.concatenate([self.weights, [self.bias], self.stay.ravel(), self.aggregate]).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Model:
+        weights, bias, stay, aggregate = np.split(np.frombuffer(data), [SLOTS, SLOTS + 1, SLOTS + 5])
+        return cls(weights, float(bias[0]), stay.reshape(2, 2), aggregate)
+
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.aggregate[:-1] + self.aggregate[-1], -30, 30)))
 
@@ -199,12 +208,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     chosen = label.filter(place < share).limit(4 * per_label)  # about 2 * per_label rows, so small enough to broadcast
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     drawn = docs.filter(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = drawn.withColumn("n", F.row_number().over(first)).filter("n = 1").select("text", "toxic").toArrow().combine_chunks()
-    toxic = sample.column("toxic").to_numpy().astype(bool)
-    if not toxic.any() or toxic.all():
-        return None
-    weight = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
-    return _train(sample.column("text").chunk(0), toxic, weight * len(toxic) / weight.sum())
+    sample = drawn.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc_id", "text", "toxic")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, _SAMPLE).combine_chunks()
+        toxic = rows.column("toxic").to_numpy().astype(bool)
+        if toxic.any() and not toxic.all():
+            weight = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
+            model = _train(rows.column("text").chunk(0), toxic, weight * len(toxic) / weight.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
+
+    # In a fixed order, since sums of floats depend on it.
+    fitted = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(train, "model binary").head()
+    return Model.unpacked(fitted["model"]) if fitted else None
 
 
 def tag(docs: DataFrame, model: Model | None, span_at: float = SPAN_AT) -> DataFrame:
