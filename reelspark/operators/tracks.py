@@ -23,10 +23,10 @@ def resolve_language(available: DataFrame, wanted: list[str], original: str | No
     return best.select("item", "x.pos", "x.tag", language.match_name(F.col("x.step"), len(wanted)).alias("match"))
 
 
-def rank_tracks(tracks: DataFrame, wanted: list[str], audio_understood: bool, prefer_sdh: bool) -> DataFrame:
+def rank_tracks(tracks: DataFrame, wanted: list[str], audio_understood: bool, prefer_sdh: bool, keep: list[str] | None = None) -> DataFrame:
     """Usable tracks of each item by score, then by index: tracks in a wanted language, forced ones only if the audio is understood.
 
-    tracks: item, idx, tag, forced, sdh, fidelity (0 to 100), bitmap. Returns item, place, idx, score.
+    tracks: item, idx, tag, forced, sdh, fidelity (0 to 100), bitmap. Returns item, place, idx, score, and the columns to keep.
     """
     own = language.tag(F.col("tag"))
     exact, dialect = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -40,8 +40,8 @@ def rank_tracks(tracks: DataFrame, wanted: list[str], audio_understood: bool, pr
         return c.cast("long")
 
     score = (F.lit(len(wanted)) - pos) * 1_000_000 + F.when(exact.isNotNull(), 2).otherwise(1) * 100_000 + one(F.col("forced") == audio_understood) * 50_000 + one(F.col("sdh") == prefer_sdh) * 20_000 + F.col("fidelity") * 100 + one(~F.col("bitmap")) * 10
-    rows = tracks.filter(usable).select("item", "idx", score.cast("long").alias("score"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "idx"))).select("item", "place", "idx", "score")
+    rows = tracks.filter(usable).select("item", "idx", score.cast("long").alias("score"), *(keep or []))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "idx"))).select("item", "place", "idx", "score", *(keep or []))
 
 
 def visible(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import human_size, title_key, weighted_rating, year_agreement
 from reelspark.operators import library, matching, metadata, snapshot, subtitles
-from reelspark.plans import ladders, playback, statistics
+from reelspark.plans import ladders, playback, recovery, statistics
 from reelspark.sources import catalog
 from reelspark.sources.catalog import millis, table
 from reelspark.streaming import changes
@@ -155,7 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verify_budget, cache_eviction, field_merge, artwork_choice, cue_checks, cue_readability, repetition_loops, onset_offsets,
         stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, title_candidates, change_bursts, quiet_bursts, track_offsets, rate_limit,
     )
-} | playback.QUERIES | ladders.QUERIES
+} | playback.QUERIES | ladders.QUERIES | recovery.QUERIES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id AS path, source AS title, lang AS kind, n_chars AS size, md5(text) AS sketch, text FROM documents)"
@@ -204,7 +204,7 @@ SELECT query, candidate, score, round(score - coalesce(second, 0.0), 6) AS margi
     "change_bursts": f"WITH {_EVENTS}, a AS (SELECT user_id AS key, tm, CASE WHEN tm - lag(tm) OVER w <= 3600000 THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY tm)), b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY tm RANGE UNBOUNDED PRECEDING) AS run FROM a) SELECT key, min(tm) AS first_ms, max(tm) AS last_ms, count(*) AS n FROM b GROUP BY key, run",
 }
 
-ORACLES |= playback.ORACLES | ladders.ORACLES | {
+ORACLES |= playback.ORACLES | ladders.ORACLES | recovery.ORACLES | {
     # a sliding log, attempt by attempt: the last admitted times of a key, the latest first
     "rate_limit": f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT user_id AS key, tm AS at_ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS i FROM ev),
 walk AS (SELECT key, at_ms, id, i, true AS admitted, at_ms AS one, NULL::BIGINT AS two FROM n WHERE i = 1
