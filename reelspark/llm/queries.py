@@ -85,6 +85,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # doc_id tells documents apart
+    "op2_substring_dedup": r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts
+), windows AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER w AS content, count(*) OVER w AS n
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), repeated AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY content) AS times FROM windows WHERE n = 35) WHERE times > 1
+), covered AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM repeated, (SELECT unnest(generate_series(0, 34)) AS k)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+""",
     "op3_url_filters": r"""
 WITH split AS (
   SELECT page_id,
