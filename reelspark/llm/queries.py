@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import byte_bpe, fingerprint, flac, language_id, license_scan, ngram_join, packing, substring_dedup, toxicity, url_rules
+from reelspark.llm import byte_bpe, fingerprint, flac, language_id, license_scan, ngram_join, packing, periodic_runs, substring_dedup, toxicity, url_rules
 from reelspark.llm.common import held_out, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -71,6 +71,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,9 +86,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
+    # pairs of equal windows of 16 words, q apart, in one text; islands of them are runs of period q or of a divisor of q
+    "op13_periodic_runs": r"""
+WITH RECURSIVE crc_steps(byte, crc, step) AS (
+  SELECT range, range::UBIGINT, 0 FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384::UBIGINT) ELSE crc // 2 END, step + 1 FROM crc_steps WHERE step < 8
+), crc_table AS (
+  SELECT list(crc ORDER BY byte) AS crcs FROM crc_steps WHERE step = 8
+), hashed AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), lambda x, y: xor(x // 256, crcs[(xor(x, y) % 256 + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS h
+  FROM documents, crc_table
+), texts AS (
+  SELECT doc_id, h, h // 10 AS g, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM hashed
+), placed AS (
+  SELECT *, len(words) AS n, CASE WHEN len(words) > 0 THEN g % len(words) END AS a FROM texts
+), periods AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed
+), planted AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE words END AS words FROM periods
+), listed AS (
+  SELECT doc_id, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM planted
+), windows AS (
+  SELECT doc_id, n, pos, md5(string_agg(word, ' ') OVER w) AS content, count(*) OVER w AS size
+  FROM listed WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)
+), pairs AS (
+  SELECT x.doc_id, x.pos, y.pos - x.pos AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.content = y.content AND x.pos < y.pos
+  WHERE x.size = 16 AND y.size = 16 AND 3 * (y.pos - x.pos) <= x.n
+), islands AS (
+  SELECT doc_id, q, pos, pos - row_number() OVER (PARTITION BY doc_id, q ORDER BY pos) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, q, min(pos) AS start, count(*) + 15 + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)
+), runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)
+), listing AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY doc_id
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / q DESC, start, q) AS place FROM runs
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS pos FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words FROM listed ANTI JOIN dropped USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT planted.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period,
+       (1000 * length // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
+FROM planted LEFT JOIN listing USING (doc_id) LEFT JOIN best ON best.doc_id = planted.doc_id AND place = 1 LEFT JOIN kept ON kept.doc_id = planted.doc_id
+""",
     # doc_id tells documents apart
     "op4_ngram_join": r"""
 WITH RECURSIVE texts AS (
