@@ -49,11 +49,11 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(place, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, options: dict[str, int] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back

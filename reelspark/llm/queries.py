@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import byte_bpe, fingerprint, flac, language_id, license_scan, ngram_join, packing, periodic_runs, substring_dedup, toxicity, url_rules, warc
+from reelspark.llm import alignment, byte_bpe, fingerprint, flac, language_id, license_scan, ngram_join, packing, periodic_runs, substring_dedup, toxicity, url_rules, warc
 from reelspark.llm.common import held_out, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -71,6 +71,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_alignment": op11_alignment,
     "op12_warc": op12_warc,
     "op13_periodic_runs": op13_periodic_runs,
 }
