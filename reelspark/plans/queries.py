@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import human_size, title_key, weighted_rating, year_agreement
 from reelspark.operators import library, matching, metadata, snapshot, subtitles
-from reelspark.plans import ladders, playback, recovery, statistics
+from reelspark.plans import ladders, live, playback, recovery, statistics
 from reelspark.sources import catalog
 from reelspark.sources.catalog import millis, table
 from reelspark.streaming import changes
@@ -155,7 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verify_budget, cache_eviction, field_merge, artwork_choice, cue_checks, cue_readability, repetition_loops, onset_offsets,
         stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, title_candidates, change_bursts, quiet_bursts, track_offsets, rate_limit,
     )
-} | playback.QUERIES | ladders.QUERIES | recovery.QUERIES
+} | playback.QUERIES | ladders.QUERIES | recovery.QUERIES | live.QUERIES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id AS path, source AS title, lang AS kind, n_chars AS size, md5(text) AS sketch, text FROM documents)"
@@ -211,3 +211,4 @@ walk AS (SELECT key, at_ms, id, i, true AS admitted, at_ms AS one, NULL::BIGINT
   UNION ALL SELECT n.key, n.at_ms, n.id, n.i, two IS NULL OR n.at_ms - two >= 86400000, CASE WHEN two IS NULL OR n.at_ms - two >= 86400000 THEN n.at_ms ELSE one END, CASE WHEN two IS NULL OR n.at_ms - two >= 86400000 THEN one ELSE two END FROM walk JOIN n ON n.key = walk.key AND n.i = walk.i + 1)
 SELECT key, at_ms, id, admitted FROM walk""",
 }
+ORACLES |= {"quiet_bursts": live.BURSTS, "live_bursts": live.BURSTS, "live_rate_limit": ORACLES["rate_limit"]}
