@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.operators.ranges import at_share, lagged
+
 
 def cue_checks(cues: DataFrame, gap_ms: int = 80) -> DataFrame:
-    """What is wrong between a cue and the one before it: out of order, else overlap, else too small a gap."""
-    w = Window.partitionBy("track").orderBy("at")
-    rows = cues.withColumn("before_start", F.lag("start_ms").over(w)).withColumn("before_end", F.lag("end_ms").over(w))
+    """What is wrong between a cue and the one before it: out of order, else overlap, else too small a gap. A long track spans ranges."""
+    rows = lagged(cues.select("track", "at", "start_ms", "end_ms"), "track", ["at"], ["start_ms", "end_ms"]).withColumnsRenamed({"before_start_ms": "before_start", "before_end_ms": "before_end"})
     issue = F.when(F.col("start_ms") < F.col("before_start"), "out_of_order").when(F.col("start_ms") < F.col("before_end"), "overlap").when(F.col("start_ms") - F.col("before_end") < gap_ms, "gap")
     return rows.select("track", F.col("at").alias("cue"), issue.alias("issue")).filter("issue IS NOT NULL")
 
@@ -18,10 +19,9 @@ def readability(cues: DataFrame, most_cps: float = 17.0) -> DataFrame:
     """Characters a second of each track: mean, 95th by floored index, share of cues above the limit."""
     cps = F.round(F.length(F.regexp_replace("text", "<[^>]*>", "")) * 1000.0 / (F.col("end_ms") - F.col("start_ms")), 6)
     rows = cues.filter("end_ms > start_ms").select("track", cps.alias("cps"))
-    w = Window.partitionBy("track").orderBy("cps")
-    rows = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("track")))
-    at = F.col("i") == F.least(F.floor(F.col("n") * F.lit(95) / 100), F.col("n") - 1)
-    return rows.groupBy("track").agg(F.round(F.avg("cps"), 4).alias("mean_cps"), F.max(F.when(at, F.col("cps"))).alias("p95_cps"), F.round(F.avg((F.col("cps") > most_cps).cast("double")), 4).alias("issue_rate"))
+    p95 = at_share(rows, "track", "cps", "p95_cps", 95, 100).withColumnRenamed("track", "track_")
+    sums = rows.groupBy("track").agg(F.round(F.avg("cps"), 4).alias("mean_cps"), F.round(F.avg((F.col("cps") > most_cps).cast("double")), 4).alias("issue_rate"))
+    return sums.join(p95, F.col("track").eqNullSafe(F.col("track_"))).select("track", "mean_cps", "p95_cps", "issue_rate")
 
 
 def repetition_loops(events: DataFrame, least: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import language
+from reelspark.operators.ranges import lagged
 
 # Fixed values of the gate: least confidence of a cue and of a track, cues of a loop, longest text against its source, share of hallucinations.
 CUE_FLOOR, TRACK_FLOOR, LOOP, RUNAWAY, HALLUCINATIONS = 0.45, 0.60, 4, 3.0, 0.05
@@ -60,9 +61,8 @@ def cue_issues(cues: DataFrame, max_cps: float = 17.0, line_chars: int = 42, max
 
     A cue without visible text or time is malformed and has no other issue. A null text is empty.
     """
-    w = Window.partitionBy("track").orderBy("at")
-    rows = cues.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n", F.length(F.regexp_replace(visible(F.col("text")), r"\p{Cc}", ""))).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
-    rows = rows.withColumn("before_start", F.lag("start_ms").over(w)).withColumn("before_end", F.lag("end_ms").over(w))
+    rows = lagged(cues.select("track", "at", "start_ms", "end_ms", "text"), "track", ["at"], ["start_ms", "end_ms"])
+    rows = rows.withColumnsRenamed({"before_start_ms": "before_start", "before_end_ms": "before_end"}).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n", F.length(F.regexp_replace(visible(F.col("text")), r"\p{Cc}", ""))).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")
     gap = F.col("start_ms") - F.col("before_end")
     rules = [

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators.ranges import at_share, lagged
+
 
 def stage_stats(samples: DataFrame) -> DataFrame:
     """Of each stage (stage, at_ms, id, counter, value) its duration, counter gain (falls count as none), mean and 99th value."""
-    w = Window.partitionBy("stage").orderBy("at_ms", "id")
-    by_value = Window.partitionBy("stage").orderBy("value", "id")
-    rows = samples.withColumn("gain", F.greatest(F.col("counter") - F.lag("counter").over(w), F.lit(0)))
-    rows = rows.withColumn("i", F.row_number().over(by_value) - 1).withColumn("n", F.count("*").over(Window.partitionBy("stage")))
-    p99 = F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * F.lit(99) / 100), F.col("n") - 1), F.col("value")))
+    rows = lagged(samples.select("stage", "at_ms", "id", "counter", "value"), "stage", ["at_ms", "id"], ["counter"])
+    rows = rows.withColumn("gain", F.greatest(F.col("counter") - F.col("before_counter"), F.lit(0)))
+    p99 = at_share(samples, "stage", "value", "p99_value", 99, 100).withColumnRenamed("stage", "stage_")
     # summed as decimals, so that the order of rows cannot change the mean
     mean = F.round((F.sum(F.col("value").cast("decimal(28,12)")).cast("double") / F.count("value")), 6)
-    return rows.groupBy("stage").agg((F.max("at_ms") - F.min("at_ms")).alias("duration_ms"), F.sum(F.coalesce("gain", F.lit(0))).cast("long").alias("gain"), mean.alias("mean_value"), p99.alias("p99_value"))
+    sums = rows.groupBy("stage").agg((F.max("at_ms") - F.min("at_ms")).alias("duration_ms"), F.sum(F.coalesce("gain", F.lit(0))).cast("long").alias("gain"), mean.alias("mean_value"))
+    return sums.join(p99, F.col("stage").eqNullSafe(F.col("stage_"))).select("stage", "duration_ms", "gain", "mean_value", "p99_value")
 
 
 def calibration(events: DataFrame, flagged_above: int) -> DataFrame:
@@ -36,13 +37,13 @@ def stage_summary(samples: DataFrame, warmup_ms: int = 0) -> DataFrame:
         return F.when(steady & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
 
     rows = samples.withColumn("render", finite("render_ms"))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("stage").orderBy(F.asc_nulls_last("render"))) - 1).withColumn("n", F.count("render").over(Window.partitionBy("stage")))
-    p99 = F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1), F.col("render")))
+    p99 = at_share(rows.filter("render IS NOT NULL"), "stage", "render", "p99", 99, 100).withColumnRenamed("stage", "stage_")
     ends = F.struct("at_ms", "delayed", "dropped")
     out = rows.groupBy("stage").agg(
         F.count(F.when(steady, 1)).alias("samples"), F.min(F.when(steady, ends)).alias("a"), F.max(F.when(steady, ends)).alias("b"), F.avg(F.when(finite("fps") > 0, F.col("fps"))).alias("fps"),
-        F.max(F.abs(finite("avsync_s")) * 1000.0).alias("sync"), p99.alias("p99"), F.avg(finite("cpu_frac")).alias("cpu"),
+        F.max(F.abs(finite("avsync_s")) * 1000.0).alias("sync"), F.avg(finite("cpu_frac")).alias("cpu"),
     )
+    out = out.join(p99, F.col("stage").eqNullSafe(F.col("stage_")), "left").drop("stage_")
     seconds = (F.col("b.at_ms") - F.col("a.at_ms")) / 1000.0
     gain = {c: F.greatest(F.col(f"b.{c}") - F.col(f"a.{c}"), F.lit(0)) for c in ("delayed", "dropped")}
 
