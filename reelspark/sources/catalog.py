@@ -17,8 +17,13 @@ def millis(ts: str) -> Column:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, title, kind, size, sketch: one media file for each document; equal texts have equal sketches."""
+    return as_files(table(spark, sf_dir, "documents"))
+
+
+def as_files(documents: DataFrame) -> DataFrame:
+    """Documents, a table or a stream, as files."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id")))
-    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.col("source").alias("title"), F.col("lang").alias("kind"), F.col("n_chars").alias("size"), F.md5("text").alias("sketch"), "text")
+    return documents.select("doc_id", path.alias("path"), F.col("source").alias("title"), F.col("lang").alias("kind"), F.col("n_chars").alias("size"), F.md5("text").alias("sketch"), "text")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
