@@ -30,7 +30,7 @@ from reelspark.llm.common import discard, materialise
 from reelspark.llm.wordhash import slices
 
 #: Bytes of text in a block; a text is never cut, a longer one is a block of its own.
-BLOCK = 6_000_000
+BLOCK = 2_000_000
 #: Pairs of ids whose counts are broadcast; more are joined by shuffle.
 MOST_PAIRS = 2_000_000
 
