@@ -7,7 +7,8 @@ number of distinct shingles are estimated from sketches alone. While a text has
 shingles, every estimate is exact.
 
 Defined results: a null text is empty. Two empty fingerprints resemble each other fully (1.0), an empty
-and a filled one not at all (0.0). Equal texts have equal fingerprints; repeated rows are kept.
+and a filled one not at all (0.0). Equal texts have equal fingerprints; repeated rows and rows without a
+doc_id are kept; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

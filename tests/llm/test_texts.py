@@ -141,3 +141,40 @@ def test_licenses_are_found(spark):
 
 def test_license_bands_keep_their_promise():
     assert 1 - (1 - 0.4) ** license_scan.bands_for(0.4, 0.9999) >= 0.9999
+
+
+def _shingles(text):
+    words = [w.decode() for w in (text or "").encode().split()]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def test_fingerprints_against_whole_sets(spark):
+    rows = sorted({i: t for i, t in texts(60) if i is not None}.items())
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(documents(spark, rows)).collect()}
+    exact = 0
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, cut = t or "", len(t or "") // 4
+        own = _shingles(t)
+        for name, other in (("near_edited", _shingles(t[: len(t) - cut] + (after or "")[:cut])), ("near_next", _shingles(after))):
+            union = own | other
+            want = len(own & other) / len(union) if union else 1.0
+            if len(union) <= fingerprint.K:
+                assert got[i][name] == pytest.approx(want, abs=1e-12), (i, name)
+                exact += 1
+            else:
+                assert got[i][name] == pytest.approx(want, abs=0.2), (i, name)
+        if len(own) < fingerprint.K:
+            assert got[i]["distinct_shingles"] == len(own) and len(got[i]["fingerprint"]) == 16 * len(own)
+        else:
+            assert got[i]["distinct_shingles"] == pytest.approx(len(own), rel=0.4)
+    assert exact > 60
+
+
+def test_fingerprints_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here are these six"), (2, None), (2, ""), (None, "x y z"), (None, None), (900, "far away")]
+    got = fingerprint.fingerprint_documents(documents(spark, rows)).collect()
+    lengths = Counter((r["doc_id"], r["n_chars"]) for r in got)
+    assert lengths == Counter((i, len(t or "")) for i, t in rows)
+    prints = {r["fingerprint"] for r in got if (r["doc_id"], r["n_chars"]) == (1, 11)}
+    assert len(prints) == 1
+    assert fingerprint.fingerprint_documents(documents(spark, [])).collect() == []
