@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.operators.ranges import at_share, lagged
@@ -66,3 +66,39 @@ def estimate_offsets(cue_starts: DataFrame, speech_starts: DataFrame, window_ms:
     upto = F.transform("diffs", lambda d: F.struct(d["diff"].alias("diff"), F.aggregate(F.filter("diffs", lambda e: e["diff"] <= d["diff"]), F.lit(0).cast("long"), lambda s, e: s + e["n"]).alias("upto")))
     median = F.filter(upto, lambda d: d["upto"] > F.floor(F.col("n_pairs") / 2))[0]["diff"]
     return best.select("track", median.alias("offset_ms"), "n_pairs")
+
+
+#: What ends a clause (fixed values of F13).
+CLAUSE_ENDS = (",", ".", "!", "?", ";", ":", "—")
+
+
+def wrapped(text: Column, width: int = 42, most_lines: int = 2) -> Column:
+    """a cue's text in lines of at most ``width`` characters, about equally long, broken at a clause's end where a line has reached its share.
+
+    White space of any kind is one blank. A text that fits is one line; a longer word has a line of its own; lines after the last allowed one are cut off. A null text is null. The fold
+    over the words keeps the lines done and the one begun, so a long text costs its length once.
+    """
+
+    def fold(words: Column) -> Column:
+        flat = F.array_join(words, " ")
+        total = F.char_length(flat)
+        target = F.ceil(total / F.greatest(F.ceil(total / F.lit(width)), F.lit(1)))
+        start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+
+        def add(state: Column, word: Column) -> Column:
+            line, lines = state["line"], state["lines"]
+            longer = F.char_length(line) + 1 + F.char_length(word) > width
+            clause = (F.char_length(line) >= target) & F.right(line, F.lit(1)).isin(*CLAUSE_ENDS)
+            full = F.size(lines) >= most_lines  # nothing more is kept
+            breaks = (line != "") & (longer | clause)
+            return F.when(full, state).when(breaks, F.struct(F.concat(lines, F.array(line)).alias("lines"), word.alias("line"))).otherwise(
+                F.struct(lines.alias("lines"), F.when(line == "", word).otherwise(F.concat(line, F.lit(" "), word)).alias("line"))
+            )
+
+        def finish(state: Column) -> Column:
+            return F.array_join(F.slice(F.when(state["line"] == "", state["lines"]).otherwise(F.concat(state["lines"], F.array(state["line"]))), 1, most_lines), "\n")
+
+        return F.when(total <= width, flat).otherwise(F.aggregate(words, start, add, finish))
+
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    return F.get(F.transform(F.array(words), fold), F.lit(0))

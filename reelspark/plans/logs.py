@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.operators import library, metadata
+from reelspark.operators import library, metadata, subtitles
 from reelspark.plans import statistics
 from reelspark.sources import catalog, logs
 from reelspark.sources.catalog import millis, table
@@ -70,7 +70,12 @@ def bundle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.merge_fragments(base, rows.filter("i % 10 != 0"), ranking)
 
 
-QUERIES = {f.__name__: f for f in (calibration_report, stage_report, library_page, bundle_merge)}
+def cue_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every turn of the conversations as a cue, in at most three lines."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", subtitles.wrapped(F.col("text"), 42, 3).alias("wrapped"))
+
+
+QUERIES = {f.__name__: f for f in (calibration_report, stage_report, library_page, bundle_merge, cue_wrap)}
 
 _LOGGED = """ev AS (
   SELECT event_id AS i, user_id, epoch_us(ts) // 1000 AS tm, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 23 <> 0
@@ -125,6 +130,22 @@ SELECT * FROM o WHERE position > 100 AND position <= 150""",
   SELECT *, row_number() OVER (PARTITION BY item, field_group, name ORDER BY locked DESC, kind DESC, CASE WHEN kind = 1 THEN -rank ELSE 0 END DESC, CASE WHEN kind = 1 THEN provider ELSE '' END DESC, value DESC) AS place FROM ranked
 )
 SELECT item, field_group, name, value, kind, CASE WHEN kind = 1 THEN provider END AS provider, locked FROM placed WHERE place = 1""",
+    # word by word: the lines done, how many, and the one begun
+    "cue_wrap": r"""WITH RECURSIVE w AS (
+  SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM conversations
+), t AS (
+  SELECT *, length(array_to_string(words, ' ')) AS total FROM w
+), walk(conv_id, turn, i, done, n, line) AS (
+  SELECT conv_id, turn, 0::BIGINT, '', 0, '' FROM t
+  UNION ALL SELECT s.conv_id, s.turn, s.i + 1, CASE WHEN b THEN CASE WHEN n > 0 THEN done || chr(10) ELSE '' END || line ELSE done END, CASE WHEN b THEN n + 1 ELSE n END, CASE WHEN b OR line = '' THEN word ELSE line || ' ' || word END
+  FROM (SELECT walk.*, words[i + 1] AS word, line <> '' AND (length(line) + 1 + length(words[i + 1]) > 42
+      OR length(line) >= ceil(total / greatest(ceil(total / 42.0::DOUBLE), 1.0)) AND right(line, 1) IN (',', '.', '!', '?', ';', ':', '—')) AS b
+    FROM walk JOIN t USING (conv_id, turn) WHERE i < len(words) AND n < 3 AND total > 42) s
+), ends AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i DESC) AS place FROM walk
+)
+SELECT conv_id, turn, CASE WHEN words IS NULL THEN NULL WHEN total <= 42 THEN array_to_string(words, ' ') WHEN n >= 3 OR line = '' THEN done WHEN n > 0 THEN done || chr(10) || line ELSE line END AS wrapped
+FROM ends JOIN t USING (conv_id, turn) WHERE place = 1""",
     # all differences within the window, the fullest bucket of 50 ms, and its median by floored index
     "track_offsets": """WITH ev AS (
   SELECT user_id AS track, epoch_us(ts) // 1000 AS tm, event_type FROM events
