@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.text import runtime_agreement, similarity, title_similarity, year_agreement
+from reelspark.operators.ranges import written
 
 # Fixed values of F26 and W6: the weights of the signals, the least score of a candidate, that of a sure one, and what it must lead by.
 TITLE, RUNTIME, YEAR, POPULARITY = 1.00, 0.45, 0.35, 0.05
@@ -34,50 +37,155 @@ def _keys(title: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), title)), words, pairs, letters))
 
 
+#: Runtimes are compared slot by slot, of 4 % each; _ANY stands for all slots.
+_STEP, _ANY = math.log(1.04), -1_000_000
+#: Scores are rounded to six places, so bounds leave room for that.
+_ROOM = 1e-5
+_WEIGHT_OF_GAP = {0: YEAR, 1: YEAR * 0.7, 2: YEAR * 0.3}
+
+
+def _slot(log_runtime: Column) -> Column:
+    return F.floor(log_runtime / F.lit(_STEP)).cast("long")
+
+
+def _short_lists(c: DataFrame) -> DataFrame:
+    """Of candidates equal in names, year and runtime those that can be among the best six of a query: of equal popularity the least ids, then
+    the most popular ones. A sixth that is more popular by 0.005 of 100 leads in every rounded score."""
+    alike = ["names", "c_year", "c_runtime"]
+    c = c.withColumn("liked", F.least(F.greatest(F.coalesce(F.col("popularity") / 100.0, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy(*alike, "liked").orderBy("candidate"))).filter(F.col("n") <= MOST + 1)
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy(*alike).orderBy(F.desc("liked"), "candidate")))
+    sixth = F.max(F.when(F.col("n") == MOST + 1, F.col("liked"))).over(Window.partitionBy(*alike))
+    return c.withColumn("sixth", sixth).filter(F.col("sixth").isNull() | (F.col("liked") >= F.col("sixth") - 5e-5)).drop("n", "liked", "sixth")
+
+
+def _shelves(c: DataFrame) -> DataFrame:
+    """Each candidate by its own year and all years, its own slot and all slots: what _probes asks for."""
+    has_year, timed = F.col("c_year").isNotNull(), F.col("c_runtime") > 0
+    years = F.when(has_year, F.array(F.struct(F.lit(True).alias("near"), F.col("c_year").cast("long").alias("at_year")), F.struct(F.lit(False).alias("near"), F.lit(0).cast("long").alias("at_year"))))
+    years = F.coalesce(years, F.array(F.struct(F.lit(False).alias("near"), F.lit(0).cast("long").alias("at_year"))))
+    slots = F.when(timed, F.array(_slot(F.log(F.col("c_runtime"))), F.lit(_ANY).cast("long"))).otherwise(F.array(F.lit(_ANY).cast("long")))
+    c = c.withColumn("has_year", has_year).withColumn("has_runtime", F.col("c_runtime").isNotNull())
+    return c.withColumn("at", F.explode(years)).withColumn("slot", F.explode(slots)).select("*", "at.near", "at.at_year").drop("at")
+
+
+_SHELF = ["names", "has_year", "has_runtime", "near", "at_year", "slot"]
+
+
+def _probes(least: Column) -> Column:
+    """Shelves where a query with the titles' similarity ``similar`` can find a score of ``least``: the missing signals lower the sum that is
+    needed; what the year gives, by its gap, bounds what the runtime must give, and so its slots."""
+    found = []
+    for has_year in (True, False):
+        for has_runtime in (True, False):
+            years = F.col("q_year").isNotNull() & F.lit(has_year)
+            runtimes = F.col("q_runtime").isNotNull() & F.lit(has_runtime)
+            whole = TITLE + POPULARITY + F.when(years, YEAR).otherwise(0.0) + F.when(runtimes, RUNTIME).otherwise(0.0)
+            need = least * whole - TITLE * F.col("similar") - POPULARITY - _ROOM
+            for gap in (None, 0, 1, -1, 2, -2) if has_year else (None,):
+                left = need - (0.0 if gap is None else _WEIGHT_OF_GAP[abs(gap)])
+                share = left / RUNTIME
+                wide = F.log(1.0 + F.greatest(0.25 - 0.23 * share, F.lit(0.02))) + 1e-9
+                at = F.log(F.when(F.col("q_runtime") > 0, F.col("q_runtime")))
+                slots = F.when(left <= 0, F.array(F.lit(_ANY).cast("long"))).when(runtimes & (share <= 1) & at.isNotNull(), F.sequence(_slot(at - wide), _slot(at + wide)))
+                if gap is not None:
+                    slots = F.when(years, slots)
+                found.append(F.struct(F.lit(has_year).alias("has_year"), F.lit(has_runtime).alias("has_runtime"), F.lit(gap is not None).alias("near"),
+                                      (F.lit(0) if gap is None else F.coalesce(F.col("q_year") + gap, F.lit(0))).cast("long").alias("at_year"), slots.alias("slots")))
+    return F.filter(F.array(*found), lambda x: x["slots"].isNotNull())
+
+
+def _scores(probed: DataFrame, shelves: DataFrame) -> DataFrame:
+    """Scored pairs of keys and candidates that meet on a shelf; on one for all years only those further apart than two have not met by year."""
+    pairs = probed.join(shelves, _SHELF).filter(F.col("near") | F.coalesce(F.abs(F.col("q_year") - F.col("c_year")) > 2, F.lit(True)))
+    return pairs.withColumn("score", weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity")))
+
+
+def _best_six(scored: DataFrame) -> DataFrame:
+    w = Window.partitionBy("key").orderBy(F.desc("score"), "candidate")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= MOST + 1)
+
+
+def _bounds(keys: DataFrame, near: DataFrame, shelves: DataFrame) -> DataFrame:
+    """keys with ``least``, a score that six candidates of the key reach, or LEAST.
+
+    Looked for among the three most similar titles: first in the same year and about the same runtime, then in all years, then everywhere,
+    each for the keys that have fewer than six so far, so that no step meets many candidates for many keys.
+    """
+    closest = near.withColumn("n", F.row_number().over(Window.partitionBy("q_title").orderBy(F.desc("similar"), "names"))).filter("n <= 3").drop("n")
+    at = F.log(F.when(F.col("q_runtime") > 0, F.col("q_runtime")))
+    around = F.sequence(_slot(at) - 1, _slot(at) + 1)
+    yes, no, any_slot = F.lit(True), F.lit(False), F.array(F.lit(_ANY).cast("long"))
+
+    def shelf(has_year: Column, has_runtime: Column, by_year: bool, slots: Column) -> Column:
+        year = (F.coalesce("q_year", F.lit(0)) if by_year else F.lit(0)).cast("long")
+        return F.struct(has_year.alias("has_year"), has_runtime.alias("has_runtime"), F.lit(by_year).alias("near"), year.alias("at_year"), slots.alias("slots"))
+
+    everywhere = [shelf(F.lit(y), F.lit(t), False, any_slot) for y in (True, False) for t in (True, False)]
+    steps = [("q_year IS NOT NULL AND q_runtime > 0", F.array(shelf(yes, yes, True, around))), ("q_runtime > 0", F.array(shelf(yes, yes, False, around), shelf(no, yes, False, around))), ("true", F.array(*everywhere))]
+    done, open_keys = None, keys
+    for where, shelves_of in steps:
+        probed = open_keys.filter(where).join(closest, "q_title").withColumn("at", F.explode(shelves_of)).select("key", "q_year", "q_runtime", "similar", "names", "at.*")
+        pairs = probed.withColumn("slot", F.explode("slots")).drop("slots").join(shelves, _SHELF)
+        score = weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity"))
+        six = _best_six(pairs.select("key", "candidate", score.alias("score"))).groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        known = written(open_keys.join(six.filter(F.col("n") > MOST).drop("n"), "key", "left"))
+        found = known.filter("least IS NOT NULL")
+        done = found if done is None else done.unionByName(found)
+        open_keys = known.filter("least IS NULL").drop("least")
+    return done.unionByName(open_keys.withColumn("least", F.lit(LEAST))).withColumn("least", F.greatest("least", F.lit(LEAST)))
+
+
 def ranked_candidates(queries: DataFrame, candidates: DataFrame, itself: bool = True) -> DataFrame:
     """The best five candidates of each query among all that score 0.45, and whether the first is clearly the best.
 
     queries: id, title (normalized), year, runtime; candidates also popularity and alternates (array of normalized titles, may be null).
-    Years, runtimes and popularity may be null; rows without a title match nothing. With itself = False a query is no candidate of
-    its own (equal ids). Returns query, place, candidate, score, margin, verdict.
-
-    Similarities are taken once for each two distinct titles that share a key (see _keys; no other two are similar). Titles that are not
-    similar reach 0.45 only by equal years, runtimes within 3 % and a popularity of 65: 0.35 + 0.45 r + 0.05 p >= 0.45 * 1.85. Those pairs
-    meet by year and runtime. Of candidates that score alike for every query (equal titles, year, runtime and popularity) the first six
-    ids are kept, which is enough for five others; scored pairs are cut to five a query before they are shuffled.
+    Years, runtimes and popularity may be null (a runtime below 0 counts as null); rows without a title match nothing. Ids of candidates are
+    distinct. With itself = False a query is no candidate of its own (equal ids). Returns query, place, candidate, score, margin, verdict.
+
+    Queries of one title, year and runtime are one key. Similarities are taken once for each two distinct titles that share a key of letters
+    (see _keys; no other two are similar). Of candidates equal in all but popularity and id a few stay (_short_lists). A first look gives every
+    key a score that six candidates reach (_bounds); then it meets only those titles, years and runtimes that can reach it (_probes), so the
+    pairs grow with the distinct years and runtimes around a key and not with the rows of a title. Six are kept a key, as one may be the
+    query itself. Titles that are not similar reach 0.45 only by equal years, runtimes within 3 % and a popularity of 65:
+    0.35 + 0.45 r + 0.05 p >= 0.45 * 1.85. Those pairs meet by year and runtime, for keys without six better ones.
     """
-    q = queries.filter("title IS NOT NULL").select(F.col("id").alias("query"), F.col("title").alias("q_title"), F.col("year").alias("q_year"), F.col("runtime").alias("q_runtime"))
+    runtime = F.when(F.col("runtime") >= 0, F.col("runtime"))
+    q = queries.filter("title IS NOT NULL").select(F.col("id").alias("query"), F.col("title").alias("q_title"), F.col("year").alias("q_year"), runtime.alias("q_runtime"))
+    q = q.withColumn("key", F.struct("q_title", "q_year", "q_runtime"))
     names = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("title"), F.coalesce("alternates", F.array().cast("array<string>"))), lambda x: x.isNotNull())))
-    c = candidates.select(F.col("id").alias("candidate"), names.alias("names"), F.col("year").alias("c_year"), F.col("runtime").alias("c_runtime"), "popularity").filter(F.size("names") > 0)
-    alike = Window.partitionBy("names", "c_year", "c_runtime", "popularity").orderBy("candidate")
-    c = c.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= MOST + 1).drop("n")
+    c = candidates.select(F.col("id").alias("candidate"), names.alias("names"), F.col("year").alias("c_year"), runtime.alias("c_runtime"), F.col("popularity").cast("double").alias("popularity"))
+    c = written(_short_lists(c.filter(F.size("names") > 0)))
+    keys = q.select("key", "q_title", "q_year", "q_runtime").distinct()
 
     best = F.array_max(F.transform("names", lambda x: title_similarity(F.col("q_title"), x)))
-    left = q.select("q_title").distinct().withColumn("key", F.explode(_keys(F.col("q_title"))))
-    right = c.select("names").distinct().withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform("names", _keys)))))
-    similar = left.join(right, "key").select("q_title", "names").distinct().withColumn("similar", best).filter("similar > 0")
-    near = q.join(similar, "q_title").join(c, "names")
-
-    step = F.lit(1.03)
-    by_runtime = q.filter("q_runtime > 0 AND q_year IS NOT NULL").withColumn("slot", F.floor(F.log(F.col("q_runtime")) / F.log(step)))
-    liked = c.filter("c_runtime > 0 AND popularity >= 64.9").withColumn("own", F.floor(F.log(F.col("c_runtime")) / F.log(step)))
+    left = q.select("q_title").distinct().withColumn("token", F.explode(_keys(F.col("q_title"))))
+    right = c.select("names").distinct().withColumn("token", F.explode(F.array_distinct(F.flatten(F.transform("names", _keys)))))
+    near = written(left.join(right, "token").select("q_title", "names").distinct().withColumn("similar", best).filter("similar > 0"))
+
+    shelves = _shelves(c)
+    keys = written(_bounds(keys, near, shelves))
+    probed = keys.join(near, "q_title").withColumn("at", F.explode(_probes(F.col("least")))).select("key", "q_year", "q_runtime", "least", "similar", "names", "at.*")
+    alike = _scores(probed.withColumn("slot", F.explode("slots")).drop("slots"), shelves)
+
+    width = F.lit(math.log(1.03))
+    by_runtime = keys.filter("q_runtime > 0 AND q_year IS NOT NULL AND least < 0.46").withColumn("slot", F.floor(F.log(F.col("q_runtime")) / width))
+    liked = c.filter("c_runtime > 0 AND popularity >= 64.9").withColumn("own", F.floor(F.log(F.col("c_runtime")) / width))
     liked = liked.withColumn("slot", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
-    far = by_runtime.join(liked, (by_runtime["slot"] == liked["slot"]) & (F.col("q_year") == F.col("c_year"))).drop("slot")
+    far = by_runtime.join(liked, (by_runtime["slot"] == liked["slot"]) & (F.col("q_year") == F.col("c_year")))
     far = far.filter(F.abs(F.col("q_runtime") - F.col("c_runtime")) <= 0.03 * F.least("q_runtime", "c_runtime")).withColumn("similar", best).filter("similar = 0")
+    far = far.withColumn("score", weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity")))
 
-    pairs = near.unionByName(far)
-    if not itself:
-        pairs = pairs.filter("query != candidate")
-    score = weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity"))
-    scored = pairs.select("query", "candidate", score.alias("score")).filter(F.col("score") >= LEAST)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    top = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= MOST)
-    lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "candidate", "score"))).alias("list"))
+    columns = ("key", "candidate", "score")
+    scored = alike.filter(F.col("score") >= F.col("least")).select(*columns).unionByName(far.filter(F.col("score") >= F.col("least")).select(*columns))
+    lists = _best_six(scored).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "candidate", "score"))).alias("six"))
+    others = F.col("six") if itself else F.filter("six", lambda x: x["candidate"] != F.col("query"))
+    rows = q.select("query", "key").join(lists, "key").withColumn("list", F.slice(others, 1, MOST)).filter(F.size("list") > 0)
     first, second = F.col("list")[0]["score"], F.try_element_at("list", F.lit(2))["score"]
     gap = F.round(first - F.coalesce(second, F.lit(0.0)), 6)
     sure = (first >= SURE) & (second.isNull() | (gap > MARGIN))
-    rows = lists.select("query", F.explode("list").alias("x"), gap.alias("margin"), F.when(sure, "matched").otherwise("ambiguous").alias("verdict"))
-    return rows.select("query", "x.place", "x.candidate", "x.score", "margin", "verdict")
+    rows = rows.select("query", F.posexplode("list").alias("n", "x"), gap.alias("margin"), F.when(sure, "matched").otherwise("ambiguous").alias("verdict"))
+    return rows.select("query", (F.col("n") + 1).alias("place"), "x.candidate", "x.score", "margin", "verdict")
 
 
 def best_candidates(queries: DataFrame, candidates: DataFrame, block: list[str], least: float = 0.45, sure: float = 0.8, margin: float = 0.08) -> DataFrame:

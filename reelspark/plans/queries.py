@@ -201,6 +201,22 @@ s AS (SELECT query, candidate, round(0.7::DOUBLE * CASE WHEN a = '' OR b = '' TH
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS n FROM s WHERE score >= 0.45),
 t AS (SELECT query, max(CASE WHEN n = 1 THEN candidate END) AS candidate, max(CASE WHEN n = 1 THEN score END) AS score, max(CASE WHEN n = 2 THEN score END) AS second FROM r WHERE n <= 2 GROUP BY query)
 SELECT query, candidate, score, round(score - coalesce(second, 0.0), 6) AS margin, CASE WHEN score >= 0.8 AND (second IS NULL OR round(score - coalesce(second, 0.0), 6) > 0.08) THEN 'matched' ELSE 'ambiguous' END AS verdict FROM t""",
+    # every pair of parts; similarities once for each two titles
+    "title_candidates": f"""WITH p AS (SELECT p_partkey AS id, {_TITLE.format('p_name')} AS title, p_size + 1970 AS year, trunc(p_retailprice)::BIGINT AS runtime, (p_partkey % 101)::DOUBLE AS popularity FROM part),
+w AS (SELECT title, length(title) AS n, string_split(title, ' ') AS words FROM (SELECT DISTINCT title FROM p)),
+v AS (SELECT title, n, words, list_transform(range(1, len(words) + 1), lambda i: words[i] || ' ' || len(list_filter(words[1:i], lambda y: y = words[i]))) AS marked FROM w),
+like_ AS (SELECT a.title AS q_title, b.title AS c_title, CASE WHEN a.title = b.title THEN 1.0::DOUBLE WHEN a.title = '' OR b.title = '' THEN 0.0::DOUBLE ELSE
+  greatest(2.0::DOUBLE * len(list_intersect(a.marked, b.marked)) / (len(a.marked) + len(b.marked)),
+    CASE WHEN levenshtein(a.title, b.title) <= greatest(a.n, b.n) * 2 // 5 THEN 1.0::DOUBLE - levenshtein(a.title, b.title) / greatest(a.n, b.n)::DOUBLE ELSE 0.0::DOUBLE END) END AS sim FROM v a, v b),
+pairs AS (SELECT q.id AS query, c.id AS candidate, sim, abs(q.year - c.year) AS gap, abs(q.runtime - c.runtime) / nullif(least(q.runtime, c.runtime)::DOUBLE, 0) AS off, c.popularity
+  FROM p q JOIN p c ON q.id <> c.id JOIN like_ ON q_title = q.title AND c_title = c.title),
+s AS (SELECT query, candidate, round((sim + 0.35::DOUBLE * CASE gap WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE WHEN 2 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
+  + 0.45::DOUBLE * coalesce(CASE WHEN off <= 0.02::DOUBLE THEN 1.0::DOUBLE WHEN off >= 0.25::DOUBLE THEN 0.0::DOUBLE ELSE (0.25::DOUBLE - off) / 0.23::DOUBLE END, 0.0::DOUBLE)
+  + 0.05::DOUBLE * least(popularity / 100.0::DOUBLE, 1.0::DOUBLE)) / 1.85::DOUBLE, 6) AS score FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate)::INTEGER AS place FROM s WHERE score >= 0.45 QUALIFY place <= 5),
+t AS (SELECT *, max(CASE WHEN place = 1 THEN score END) OVER q AS first, max(CASE WHEN place = 2 THEN score END) OVER q AS second FROM r WINDOW q AS (PARTITION BY query))
+SELECT query, place, candidate, score, round(first - coalesce(second, 0.0::DOUBLE), 6) AS margin,
+  CASE WHEN first >= 0.8 AND (second IS NULL OR round(first - coalesce(second, 0.0::DOUBLE), 6) > 0.08) THEN 'matched' ELSE 'ambiguous' END AS verdict FROM t""",
     "change_bursts": f"WITH {_EVENTS}, a AS (SELECT user_id AS key, tm, CASE WHEN tm - lag(tm) OVER w <= 3600000 THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY tm)), b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY tm RANGE UNBOUNDED PRECEDING) AS run FROM a) SELECT key, min(tm) AS first_ms, max(tm) AS last_ms, count(*) AS n FROM b GROUP BY key, run",
 }
 

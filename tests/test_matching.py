@@ -53,12 +53,28 @@ def test_candidates_like_a_loop(spark, seed):
         return " ".join(r.choice(words) for _ in range(r.choice([0, 1, 1, 2, 2, 3])))
 
     rows = [(k, name(), r.choice([None, 1990, 1991, 1992, 2000]), r.choice([None, 0, 100, 101, 103, 120, 500]), r.choice([None, 0.0, 70.0, 100.0, 400.0]), r.choice([None, None, [], [name()]])) for k in range(70)]
+    check(spark, rows, loop(rows))
+
+
+def test_candidates_of_a_hot_title_like_a_loop(spark):
+    r = random.Random(9)
+    titles = ["blue moon"] * 12 + ["blue moons", "blue river", "the blue moon rises", "golden river"]
+    rows = [(k, r.choice(titles), r.choice([None, *range(1990, 1996)]), r.choice([None, 0, *range(5000, 6500, 40)]), float(r.randrange(100)), None) for k in range(400)]
+    rows += [(1000 + k, "blue moon", 1991, 5200, r.choice([70.0, 70.001, 70.0001, 50.0]), None) for k in range(40)]
+    check(spark, rows, loop(rows))
+
+
+def loop(rows):
     want = {}
     for q in rows:
         best = sorted((-s, c[0]) for c in rows if c[0] != q[0] and (s := score(q, c)) >= 0.45)[:5]
         for place, (s, c) in enumerate(best, 1):
             margin = round(-best[0][0] + (best[1][0] if len(best) > 1 else 0), 6)
             want[q[0], place] = (c, -s, margin, "matched" if -best[0][0] >= 0.8 and (len(best) == 1 or margin > 0.08) else "ambiguous")
+    return want
+
+
+def check(spark, rows, want):
     frame = spark.createDataFrame(rows, COLUMNS)
     got = {(x["query"], x["place"]): (x["candidate"], x["score"], x["margin"], x["verdict"]) for x in matching.ranked_candidates(frame, frame, itself=False).collect()}
     assert set(got) == set(want)
