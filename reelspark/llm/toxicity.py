@@ -7,7 +7,8 @@ offending spans are runs of words with a marginal of ``span_at`` or more, as cha
 
 Labelled tokens come from labelled documents: features found mostly in toxic documents mark words of toxic documents T; all words of
 the others are O. The model is fitted on at most about ``per_label`` labelled documents of each label (weighted back to their true
-share) of at most LONGEST characters, drawn by a hash; one task holds these alone and sends the weights to the driver. Every text is then scored whole.
+share) of at most LONGEST characters and MOST_BYTES in all, drawn by a hash; one task holds these alone, in about 500 MB, and sends the weights to the
+driver. Every text is then scored whole.
 
 Defined results: null and empty texts have no words and get the score of a document without toxic words. Labels other than 0 and 1 (null included) teach
 nothing; of several labels of one doc_id the greatest counts, and of several texts of one doc_id the first by hash teaches. Without any toxic or any
@@ -31,6 +32,8 @@ from reelspark.llm import wordhash
 
 PER_LABEL, SPAN_AT, PREDICT_AT = 1500, 0.5, 0.3
 LONGEST = 200_000
+#: Of the fit's texts, half for each label; the fit takes about 20 bytes of memory for each byte of text.
+MOST_BYTES = 24_000_000
 SLOTS = 1 << 17
 TOGETHER = 6_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -206,8 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(float(per_label)) / F.when(F.col("toxic") == 1, sizes[1]).otherwise(sizes[0])
     chosen = label.filter(place < share).limit(4 * per_label)  # about 2 * per_label rows, so small enough to broadcast
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    drawn = docs.filter(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Lengths are drawn first, so that no more texts than the bound allows are moved; of repeated rows one goes to the shuffle for each task.
+    short = docs.filter(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    of_label = Window.partitionBy("toxic").orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = short.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), F.octet_length("text").cast("long").alias("size"))).alias("one"))
+    within = one.withColumn("so_far", F.sum("one.size").over(of_label)).filter(F.col("so_far") <= MOST_BYTES // 2).select("doc_id", F.col("one.digest").alias("digest"))
+    first = Window.partitionBy("doc_id").orderBy("text")
+    drawn = short.withColumn("digest", F.xxhash64("text")).join(F.broadcast(within), ["doc_id", "digest"])
     sample = drawn.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc_id", "text", "toxic")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
