@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import human_size, title_key, weighted_rating, year_agreement
 from reelspark.operators import library, matching, metadata, snapshot, subtitles
-from reelspark.plans import index, ladders, live, logs, playback, recovery, statistics, tree
+from reelspark.plans import index, ladders, live, logs, playback, recovery, scan, statistics, tree
 from reelspark.sources import catalog
 from reelspark.sources.catalog import millis, table
 from reelspark.streaming import changes
@@ -155,7 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verify_budget, cache_eviction, field_merge, artwork_choice, cue_checks, cue_readability, repetition_loops, onset_offsets,
         stage_stats, calibration_summary, coverage_rollup, title_keys, title_matches, title_candidates, change_bursts, quiet_bursts, track_offsets, rate_limit,
     )
-} | playback.QUERIES | ladders.QUERIES | recovery.QUERIES | live.QUERIES | tree.QUERIES | index.QUERIES | logs.QUERIES
+} | playback.QUERIES | ladders.QUERIES | recovery.QUERIES | live.QUERIES | tree.QUERIES | index.QUERIES | logs.QUERIES | scan.QUERIES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id AS path, source AS title, lang AS kind, n_chars AS size, md5(text) AS sketch, text FROM documents)"
@@ -231,3 +231,4 @@ ORACLES |= {"quiet_bursts": live.BURSTS, "live_bursts": live.BURSTS, "live_rate_
 ORACLES |= tree.ORACLES
 ORACLES |= index.ORACLES
 ORACLES |= logs.ORACLES
+ORACLES |= scan.ORACLES
