@@ -78,7 +78,7 @@ def classified(files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, max_depth: int | None = None, samples: bool = False) -> DataFrame:
-    """A library's items: path, size, extension, kind, container, confidence, mismatch, unidentified, notes.
+    """S2, S4, S5, P2, P3, and S1 without roots that are files and without a cap: a library's items: path, size, extension, kind, container, confidence, mismatch, unidentified, notes.
 
     files: path, size, link, head (binary), sample (boolean), title. Sizes below a disc folder are summed, partly before the shuffle, into one
     video item at the folder that holds the disc's (two discs of one folder are two items); an empty disc is not seen. Others are classified

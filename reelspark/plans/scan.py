@@ -33,7 +33,7 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that a scan keeps, at most four folders deep, and what is odd about them."""
+    """The items that a scan keeps, at most four folders deep, and what is odd about them."""
     return scan.scan(_listing(spark, sf_dir), max_depth=4).withColumn("notes", F.array_join("notes", "; "))
 
 
