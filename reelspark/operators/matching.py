@@ -97,7 +97,7 @@ def _probes(least: Column) -> Column:
 
 def _scores(probed: DataFrame, shelves: DataFrame) -> DataFrame:
     """Scored pairs of keys and candidates that meet on a shelf; on one for all years only those further apart than two have not met by year."""
-    pairs = probed.join(shelves, _SHELF).filter(F.col("near") | F.coalesce(F.abs(F.col("q_year") - F.col("c_year")) > 2, F.lit(True)))
+    pairs = probed.join(shelves.hint("merge"), _SHELF).filter(F.col("near") | F.coalesce(F.abs(F.col("q_year") - F.col("c_year")) > 2, F.lit(True)))
     return pairs.withColumn("score", weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity")))
 
 
@@ -126,7 +126,7 @@ def _bounds(keys: DataFrame, near: DataFrame, shelves: DataFrame) -> DataFrame:
     done, open_keys = None, keys
     for where, shelves_of in steps:
         probed = open_keys.filter(where).join(closest, "q_title").withColumn("at", F.explode(shelves_of)).select("key", "q_year", "q_runtime", "similar", "names", "at.*")
-        pairs = probed.withColumn("slot", F.explode("slots")).drop("slots").join(shelves, _SHELF)
+        pairs = probed.withColumn("slot", F.explode("slots")).drop("slots").join(shelves.hint("merge"), _SHELF)
         score = weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity"))
         six = _best_six(pairs.select("key", "candidate", score.alias("score"))).groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         known = written(open_keys.join(six.filter(F.col("n") > MOST).drop("n"), "key", "left"))
@@ -149,6 +149,9 @@ def ranked_candidates(queries: DataFrame, candidates: DataFrame, itself: bool =
     pairs grow with the distinct years and runtimes around a key and not with the rows of a title. Six are kept a key, as one may be the
     query itself. Titles that are not similar reach 0.45 only by equal years, runtimes within 3 % and a popularity of 65:
     0.35 + 0.45 r + 0.05 p >= 0.45 * 1.85. Those pairs meet by year and runtime, for keys without six better ones.
+
+    What grows with the candidates is joined by merging: the planner does not count what explode adds, so it would take exploded rows of a
+    small file for a small table and send them whole through the driver.
     """
     runtime = F.when(F.col("runtime") >= 0, F.col("runtime"))
     q = queries.filter("title IS NOT NULL").select(F.col("id").alias("query"), F.col("title").alias("q_title"), F.col("year").alias("q_year"), runtime.alias("q_runtime"))
@@ -161,7 +164,7 @@ def ranked_candidates(queries: DataFrame, candidates: DataFrame, itself: bool =
     best = F.array_max(F.transform("names", lambda x: title_similarity(F.col("q_title"), x)))
     left = q.select("q_title").distinct().withColumn("token", F.explode(_keys(F.col("q_title"))))
     right = c.select("names").distinct().withColumn("token", F.explode(F.array_distinct(F.flatten(F.transform("names", _keys)))))
-    near = written(left.join(right, "token").select("q_title", "names").distinct().withColumn("similar", best).filter("similar > 0"))
+    near = written(left.join(right.hint("merge"), "token").select("q_title", "names").distinct().withColumn("similar", best).filter("similar > 0"))
 
     shelves = _shelves(c)
     keys = written(_bounds(keys, near, shelves))
@@ -172,7 +175,7 @@ def ranked_candidates(queries: DataFrame, candidates: DataFrame, itself: bool =
     by_runtime = keys.filter("q_runtime > 0 AND q_year IS NOT NULL AND least < 0.46").withColumn("slot", F.floor(F.log(F.col("q_runtime")) / width))
     liked = c.filter("c_runtime > 0 AND popularity >= 64.9").withColumn("own", F.floor(F.log(F.col("c_runtime")) / width))
     liked = liked.withColumn("slot", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
-    far = by_runtime.join(liked, (by_runtime["slot"] == liked["slot"]) & (F.col("q_year") == F.col("c_year")))
+    far = by_runtime.join(liked.hint("merge"), (by_runtime["slot"] == liked["slot"]) & (F.col("q_year") == F.col("c_year")))
     far = far.filter(F.abs(F.col("q_runtime") - F.col("c_runtime")) <= 0.03 * F.least("q_runtime", "c_runtime")).withColumn("similar", best).filter("similar = 0")
     far = far.withColumn("score", weighted_score(F.col("similar"), F.col("q_year"), F.col("c_year"), F.col("q_runtime"), F.col("c_runtime"), F.col("popularity")))
 
@@ -180,7 +183,7 @@ def ranked_candidates(queries: DataFrame, candidates: DataFrame, itself: bool =
     scored = alike.filter(F.col("score") >= F.col("least")).select(*columns).unionByName(far.filter(F.col("score") >= F.col("least")).select(*columns))
     lists = _best_six(scored).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "candidate", "score"))).alias("six"))
     others = F.col("six") if itself else F.filter("six", lambda x: x["candidate"] != F.col("query"))
-    rows = q.select("query", "key").join(lists, "key").withColumn("list", F.slice(others, 1, MOST)).filter(F.size("list") > 0)
+    rows = q.select("query", "key").join(lists.hint("merge"), "key").withColumn("list", F.slice(others, 1, MOST)).filter(F.size("list") > 0)
     first, second = F.col("list")[0]["score"], F.try_element_at("list", F.lit(2))["score"]
     gap = F.round(first - F.coalesce(second, F.lit(0.0)), 6)
     sure = (first >= SURE) & (second.isNull() | (gap > MARGIN))

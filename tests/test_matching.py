@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.operators import matching
 
@@ -87,3 +88,12 @@ def test_whole_candidates_of_other_blocks_and_without_runtime(spark):
     frame = spark.createDataFrame(rows, COLUMNS)
     got = {(x["query"], x["candidate"]): (x["score"], x["verdict"]) for x in matching.ranked_candidates(frame, frame, itself=False).collect()}
     assert got == {(1, 4): (0.952381, "matched"), (4, 1): (0.952381, "matched"), (6, 5): (0.459459, "ambiguous")}
+
+
+def test_shelves_are_not_sent_whole_through_the_driver(spark):
+    rows = [(k, "blue moon", 1990 + k, 100 + k, float(k), ["blue moon"]) for k in range(9)]
+    c = spark.createDataFrame(rows, "candidate long, title string, c_year int, c_runtime long, popularity double, names array<string>").drop("title")
+    shelves = matching._shelves(c)
+    probed = shelves.select(F.col("candidate").alias("key"), F.col("c_year").alias("q_year"), F.col("c_runtime").alias("q_runtime"), F.lit(1.0).alias("similar"), *matching._SHELF)
+    pairs = matching._scores(probed, shelves)
+    assert pairs.count() > 0 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
