@@ -1,6 +1,7 @@
 """Ranked candidates against every pair scored by a loop."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,50 @@ def test_shelves_are_not_sent_whole_through_the_driver(spark):
     probed = shelves.select(F.col("candidate").alias("key"), F.col("c_year").alias("q_year"), F.col("c_runtime").alias("q_runtime"), F.lit(1.0).alias("similar"), *matching._SHELF)
     pairs = matching._scores(probed, shelves)
     assert pairs.count() > 0 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_best_of_a_block_like_a_loop_and_without_all_pairs(spark, seed):
+    r = random.Random(seed)
+    titles = ["old bolt", "cold bolt", "old ring", "old old ring", "bolt", "ring of", "", "hot", "hut", None]
+    rows = [(k, r.choice(titles), r.choice([None, 0, -5, 7, *range(900, 1000, 3), 1200]), r.choice([1, 1, 2, None])) for k in range(400)] + [(900 + k, "old bolt", 950, 1) for k in range(9)]
+    rows += [(950, "old ring", 950, 2), (950, "old ring", 950, 2), (None, "old ring", 950, 2)]
+
+    def like(a, b):
+        if not a or not b:
+            return 0.0
+        x, y, longest, d = set(a.split()), set(b.split()), max(len(a), len(b)), distance(a, b)
+        return 1.0 if a == b else max(2 * len(x & y) / (len(x) + len(y)), 1 - d / longest if d <= longest * 2 // 5 else 0.0)
+
+    def agree(a, b):
+        if a is None or b is None or not min(a, b):
+            return 0.0
+        off = abs(a - b) / min(a, b)
+        return 1 if off <= 0.02 else 0 if off >= 0.25 else (0.25 - off) / 0.23
+
+    similar_ = {(a, b): like(a, b) for a in titles for b in titles}
+    pairs = {}
+    for q in rows:
+        for c in rows:
+            if None not in (q[0], c[0], q[1], c[1], q[3]) and q[3] == c[3] and q[0] != c[0] and (s := round(0.7 * similar_[q[1], c[1]] + 0.3 * agree(q[2], c[2]), 6)) >= 0.45:
+                pairs.setdefault(q[0], []).append((-s, c[0]))
+    want = {}
+    for q, found in pairs.items():
+        found.sort()
+        gap = round(-found[0][0] + (found[1][0] if len(found) > 1 else 0), 6)
+        want[q] = (found[0][1], -found[0][0], gap, "matched" if -found[0][0] >= 0.8 and (len(found) == 1 or gap > 0.08) else "ambiguous")
+    frame = spark.createDataFrame(rows, "id long, title string, runtime long, block int")
+    out = matching.best_candidates(frame, frame, ["block"])
+    got = {x["query"]: tuple(x)[1:] for x in out.collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][1:3] == pytest.approx(want[k][1:3], abs=2e-6) and (got[k][0], got[k][3]) == (want[k][0], want[k][3])
+
+
+def test_equal_rows_of_a_block_are_not_paired(spark):
+    """20,000 rows of one block, title and runtime would be 400 million pairs."""
+    frame = spark.range(20_000).select("id", F.lit("old bolt").alias("title"), F.lit(950).alias("runtime"), F.lit(1).alias("block"))
+    out = matching.best_candidates(frame, frame, ["block"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Join \[block#\d+\]", plan) == [] and "c_title" in plan
+    assert out.groupBy("candidate", "score").count().orderBy("candidate").collect() == [(0, 1.0, 19_999), (1, 1.0, 1)]
