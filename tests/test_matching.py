@@ -92,8 +92,8 @@ def test_whole_candidates_of_other_blocks_and_without_runtime(spark):
 
 
 def test_shelves_are_not_sent_whole_through_the_driver(spark):
-    rows = [(k, "blue moon", 1990 + k, 100 + k, float(k), ["blue moon"]) for k in range(9)]
-    c = spark.createDataFrame(rows, "candidate long, title string, c_year int, c_runtime long, popularity double, names array<string>").drop("title")
+    # a range has a known small size, as a small file has
+    c = spark.range(9).selectExpr("id AS candidate", "CAST(1990 + id AS INT) AS c_year", "100 + id AS c_runtime", "CAST(id AS DOUBLE) AS popularity", "array('blue moon') AS names")
     shelves = matching._shelves(c)
     probed = shelves.select(F.col("candidate").alias("key"), F.col("c_year").alias("q_year"), F.col("c_runtime").alias("q_runtime"), F.lit(1.0).alias("similar"), *matching._SHELF)
     pairs = matching._scores(probed, shelves)
