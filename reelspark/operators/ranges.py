@@ -41,7 +41,7 @@ def with_range(rows: DataFrame, order: list[str], ranges: int | None = None) ->
     step = max(1, len(found) // n)
     borders = [r["k"] for r in found[step::step]]
     if not borders:
-        return rows.withColumn("range_", F.lit(0))
+        return rows.withColumn("range_", F.pmod(F.hash(*order), F.lit(1)))  # 0; a literal would leave windows by range without a partition
     fields = rows.select(key.alias("k")).schema["k"].dataType.fields
     literal = [F.struct(*(F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(b, fields, strict=True))) for b in borders]
     # chunks of borders, so that a row is compared with about 2 * sqrt(n) of them
