@@ -41,6 +41,14 @@ def _carries(container: Column, codec: Column, table: dict[str, str]) -> Column:
     return out.otherwise(False)
 
 
+def carriers(codec: str | None, table: dict[str, str]) -> list[str]:
+    """The containers of a table, and Matroska, that carry a codec ("other" for one without a name); all of them for None."""
+    def listed(text: str) -> bool:
+        return (codec in text.removeprefix("- ").split()) != text.startswith("-")
+
+    return ["matroska", *(name for name, text in table.items() if codec is None or listed(text))]
+
+
 def carries_video(container: Column, codec: Column) -> Column:
     """P12. A null codec (no such stream) fits everywhere."""
     return codec.isNull() | _carries(container, F.when(codec.isin(*VIDEO), codec).otherwise("other"), CARRIES_VIDEO)

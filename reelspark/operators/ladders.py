@@ -1,7 +1,8 @@
 """How a client would play a source: tracks to take, what to copy or convert, the tier that is left, and why.
 
 Requests are rows of (source_id, client). Clients are a small dimension (at most MOST_CLIENTS rows, checked), so it is broadcast, and after the choice
-of tracks all decisions are expressions on one row: no shuffle, no Python.
+of tracks all decisions are expressions on one row: no shuffle, no Python. What depends on the client alone (its decoders by codec, which of its containers
+carry a codec) is worked out once a client, before the broadcast, so that a row only looks it up.
 """
 
 from __future__ import annotations
@@ -12,7 +13,13 @@ from pyspark.sql import functions as F
 from reelspark.functions import codecs, language
 
 MOST_CLIENTS = 10_000
+#: Bytes of a method that HotSpot still compiles.
+JIT_LIMIT = 8000
+#: Requests for each task that chooses tracks, so that a task's memory does not grow with the table.
+REQUESTS_A_TASK = 250_000
 TARGETS = ("av1", "hevc", "h264")
+#: What sound is converted to.
+INTO = ("eac3", "ac3", "aac", "opus")
 
 DECODER = "struct<codec: string, profiles: array<string>, max_level: int, max_bit_depth: int, max_chroma: string, max_width: int, max_height: int, max_bitrate_bps: bigint, hardware: boolean>"
 CLIENT = (
@@ -54,47 +61,99 @@ def select_tracks(
     language. A forced subtitle index that a source lacks gives none. Null flags are false, null channels two, null languages undetermined. A request with a null source_id has no tracks. Repeated requests each get
     the same tracks.
     """
-    caps = _small(clients.select("client", "encodings", "max_channels"))
-    asked = requests.select("source_id", "client").distinct()
+    caps = _small(clients.select("client", "encodings", "max_channels", F.lit(True).alias("known")))
+    n = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), requests.select("client").count() // REQUESTS_A_TASK + 1)
+    asked = requests.select("source_id", "client").filter("source_id IS NOT NULL").repartition(n, "source_id").distinct()
     tag, channels = language.tag(F.col("language")), F.coalesce("channels", F.lit(2))
-    usable = _yes(F.array_contains("encodings", F.col("codec"))) | (channels <= F.col("max_channels"))
-    score = [
-        F.lit(False) if forced_audio is None else F.col("idx") == forced_audio, ~(_yes(F.col("commentary")) | _yes(F.col("visual_impaired"))), _points(tag, wanted_audio), F.lit(prefer_original) & _yes(F.col("original")),
-        _yes(F.col("codec").isin(*codecs.LOSSLESS) & usable), _yes(F.col("is_default")), F.least(channels, "max_channels"), F.floor(F.coalesce("bitrate_bps", F.lit(0)) / 1000),
-    ]
-    track = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(score)), "idx", "codec", channels.alias("channels"), "sample_rate", _yes(F.col("has_objects")).alias("has_objects"), tag.alias("language"))
-    heard = asked.join(audio, "source_id").join(caps, "client").groupBy("source_id", "client").agg(F.max(track).alias("t"))
-    heard = asked.join(heard, ["source_id", "client"], "left").select("source_id", "client", F.when(F.col("t").isNotNull(), F.struct(*(F.col(f"t.{x}").alias(x) for x in ("idx", "codec", "channels", "sample_rate", "has_objects", "language")))).alias("audio"))
-    own = F.coalesce("audio.language", F.lit("und"))
-    forced = _yes(F.col("forced"))
+    # all that a track scores without a client, once a track
+    audio = audio.select("source_id", "idx", "codec", "sample_rate", channels.alias("channels"), _yes(F.col("has_objects")).alias("has_objects"), tag.alias("language"), *(c.alias(k) for k, c in {
+        "asked_for": F.lit(False) if forced_audio is None else F.col("idx") == forced_audio, "plain": ~(_yes(F.col("commentary")) | _yes(F.col("visual_impaired"))), "points": _points(tag, wanted_audio),
+        "first_made": F.lit(prefer_original) & _yes(F.col("original")), "lossless": _yes(F.col("codec").isin(*codecs.LOSSLESS)), "is_default": _yes(F.col("is_default")), "kbps": F.floor(F.coalesce("bitrate_bps", F.lit(0)) / 1000), "there": F.lit(True),
+    }.items()))
+    usable = _yes(F.array_contains("encodings", F.col("codec"))) | (F.col("channels") <= F.col("max_channels"))
+    score = [F.col("asked_for"), F.col("plain"), F.col("points"), F.col("first_made"), _yes(F.col("lossless") & usable), F.col("is_default"), F.least("channels", "max_channels"), F.col("kbps")]
+    kept = ("idx", "codec", "channels", "sample_rate", "has_objects", "language")
+    track = F.when(F.col("there") & F.col("known"), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(score)), *kept))
+    heard = asked.join(audio.hint("merge"), "source_id", "left").join(caps, "client", "left").groupBy("source_id", "client").agg(F.max(track).alias("t"))
+    heard = heard.select("source_id", "client", F.when(F.col("t").isNotNull(), F.struct(*(F.col(f"t.{x}").alias(x) for x in kept))).alias("audio"))
+    # a source's subtitles depend on the client by the audio's language alone: the best forced one of each wanted language, and the best of the others
+    bases = list(dict.fromkeys(w.split("-")[0] for w in wanted_subtitles if w != "und"))
+    texts = subtitles.select("source_id", "idx", "codec", tag.alias("tag"), _points(tag, wanted_subtitles).alias("points"), *(_yes(F.col(x)).alias(x) for x in ("forced", "hearing_impaired", "is_default", "external")))
+    score = [F.col("points"), F.col("hearing_impaired") == F.lit(prefer_sdh), ~F.col("codec").isin(*codecs.BITMAP), F.col("is_default")]
+    line = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(score)), "idx", "codec", "external")
     if forced_subtitle is not None:
-        eligible = F.col("idx") == forced_subtitle
+        ways = {"other": F.col("idx") == forced_subtitle}
     else:
-        same = (tag != "und") & (language.base(tag) == language.base(own))
-        eligible = F.when((_points(own, wanted_subtitles) > 0) & F.lit(not always_show), forced & same).otherwise(~forced & (_points(tag, wanted_subtitles) > 0))
-    score = [_points(tag, wanted_subtitles), _yes(F.col("hearing_impaired")) == F.lit(prefer_sdh), ~F.col("codec").isin(*codecs.BITMAP), _yes(F.col("is_default"))]
-    line = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(score)), "idx", "codec", _yes(F.col("external")).alias("external"))
-    read = heard.join(subtitles, "source_id").filter(eligible).groupBy("source_id", "client").agg(F.max(line).alias("t"))
-    read = read.select("source_id", "client", F.struct(*(F.col(f"t.{x}").alias(x) for x in ("idx", "codec", "external"))).alias("subtitle"))
-    return requests.drop("audio", "subtitle").join(heard, ["source_id", "client"], "left").join(read, ["source_id", "client"], "left")
+        ways = {"other": ~F.col("forced") & (F.col("points") > 0)}
+        if not always_show:
+            ways |= {f"forced{i}": F.col("forced") & (F.col("tag") != "und") & (language.base(F.col("tag")) == w) for i, w in enumerate(bases)}
+    read = texts.groupBy("source_id").agg(*(F.max(F.when(c, line)).alias(k) for k, c in ways.items()))
+    chosen, own = F.col("other"), language.base(F.coalesce("audio.language", F.lit("und")))
+    for i, w in reversed(list(enumerate(bases))):
+        if f"forced{i}" in ways:
+            chosen = F.when(own == w, F.col(f"forced{i}")).otherwise(chosen)
+    both = heard.join(read.hint("merge"), "source_id", "left").select("source_id", "client", "audio", chosen.alias("t"))
+    both = both.select("source_id", "client", "audio", F.when(F.col("t").isNotNull(), F.struct(*(F.col(f"t.{x}").alias(x) for x in ("idx", "codec", "external")))).alias("subtitle"))
+    return requests.drop("audio", "subtitle").repartition(n, "source_id", "client").join(both.hint("merge"), ["source_id", "client"], "left")
 
 
 def _reason(tier: int, name: str, when: Column) -> Column:
-    return F.when(when, F.struct(F.lit(tier).alias("tier"), F.lit(name).alias("reason")))
+    """A list of the reason, or an empty one."""
+    return F.when(when, F.array(F.struct(F.lit(tier).alias("tier"), F.lit(name).alias("reason")))).otherwise(F.array().cast("array<struct<tier: int, reason: string>>"))
+
 
+def _decoder(codec: Column) -> Column:
+    return F.try_element_at("by_codec", codec)
 
-def _reasons(*found: Column) -> Column:
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
+def _prepared(clients: DataFrame) -> DataFrame:
+    """The clients with what their rows alone decide.
 
-def _decoder(codec: Column) -> Column:
-    return F.get(F.filter("decoders", lambda d: d["codec"] == codec), F.lit(0))
+    by_codec: the first decoder of each codec, profiles in lower case; target: the first of TARGETS they decode; able<i>, width<i> and height<i>: whether they decode TARGETS[i], and up to which size; ranked: their
+    containers in order of preference, each known one once and the first unknown one; every: a bit for each of these; video_bits and audio_bits: by codec, a bit for each of these that carries it; target<i> and
+    <codec>_bits: the same for TARGETS (0 if not decoded) and for the codecs that sound is converted to.
+    """
+    first = F.filter("decoders", lambda d, i: d["codec"].isNotNull() & (F.array_position(F.col("decoders.codec"), d["codec"]) == i + 1))
+    by_codec = F.map_from_entries(F.transform(first, lambda d: F.struct(d["codec"], d.withField("profiles", F.transform(d["profiles"], F.lower)))))
+    known = codecs.carriers(None, codecs.CARRIES_VIDEO)
+    unknown = F.array_position(F.transform("containers", lambda c: ~_yes(c.isin(*known))), True)
+    once = F.filter("containers", lambda c, i: F.when(_yes(c.isin(*known)), F.array_position("containers", c)).otherwise(unknown) == i + 1)
+    ranked = F.transform(F.array_sort(F.transform(once, lambda c, i: F.struct(codecs.remux_rank(c).alias("rank"), i.alias("place"), c.alias("container")))), lambda x: x["container"])
+    clients = clients.withColumns({"by_codec": by_codec, "ranked": ranked}).drop("decoders")
+    clients = clients.withColumn("able", F.filter(F.array(*(F.lit(c) for c in TARGETS)), lambda c: _decoder(c).isNotNull()))
+
+    def bits(names: list[str], table: dict[str, str]) -> Column:
+        carried = F.create_map(*(x for v in [*names, "other"] for x in (F.lit(v), F.array(*(F.lit(c) for c in codecs.carriers(v if v in names else "other", table))))))
+        return F.transform_values(carried, lambda _, some: F.aggregate(F.reverse("ranked"), F.lit(0), lambda m, c: m * 2 + _yes(F.array_contains(some, c)).cast("int")))
+
+    clients = clients.withColumns({"every": F.aggregate("ranked", F.lit(0), lambda m, c: m * 2 + 1), "video_bits": bits(codecs.VIDEO, codecs.CARRIES_VIDEO), "audio_bits": bits(codecs.AUDIO, codecs.CARRIES_AUDIO)})
+    clients = clients.withColumns({f"{a}_bits": F.element_at("audio_bits", F.lit(a)) for a in INTO} | {"target": F.get("able", F.lit(0))})
+    for i, c in enumerate(TARGETS):
+        aim = _decoder(F.lit(c))
+        clients = clients.withColumns({f"able{i}": _yes(F.array_contains("able", c)), f"width{i}": aim["max_width"], f"height{i}": aim["max_height"], f"target{i}": F.when(F.array_contains("able", c), F.element_at("video_bits", F.lit(c))).otherwise(0)})
+    return clients.drop("able")
+
+
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """All that needs a client's lists and maps, in one go, so that later steps carry numbers instead of them."""
+    codec, core, drawn = F.col("audio.codec"), codecs.core_of(F.col("audio.codec")), F.col("subtitle.codec")
+
+    def bits(table: str, codec: Column) -> Column:
+        return F.when(codec.isNull(), F.col("every")).otherwise(F.coalesce(F.try_element_at(table, codec), F.element_at(table, F.lit("other"))))
+
+    rows = rows.withColumns({
+        "decoder": _decoder(F.col("codec")), "hdr": F.coalesce("hdr", F.lit("sdr")), "shown": codecs.shows_hdr(F.col("hdr_formats"), F.coalesce("hdr", F.lit("sdr"))), "codec_bits": bits("video_bits", F.col("codec")),
+        "sound_bits": bits("audio_bits", codec), "core_bits": bits("audio_bits", core), "whole": _yes(F.array_contains("encodings", codec)), "core_fits": _yes(F.array_contains("encodings", core)),
+        "takes_eac3": F.array_contains("encodings", "eac3"), "takes_ac3": F.array_contains("encodings", "ac3"), "rate_ok": _yes(F.array_contains("rates", F.col("audio.sample_rate").cast("int"))),
+        "accepted": _yes(F.array_contains("containers", F.col("container"))), "drawn": _yes(F.array_contains("renderable", drawn)),
+        "text": F.when(F.array_contains("renderable", "webvtt"), "webvtt").when(F.array_contains("renderable", "subrip"), "subrip"),
+    })
+    return rows.drop("by_codec", "hdr_formats", "video_bits", "audio_bits", "encodings", "containers", "renderable")
 
 
-def _target(container: Column | None = None) -> Column:
-    """The first codec to convert to that the client decodes (and the container carries)."""
-    able = [F.when(_decoder(F.lit(c)).isNotNull() & (F.lit(True) if container is None else codecs.carries_video(container, F.lit(c))), F.lit(c)) for c in TARGETS]
-    return F.coalesce(*able)
+def _aim(side: str, codec: Column) -> Column:
+    """Up to which width or height the client decodes one of TARGETS."""
+    return F.coalesce(*(F.when(codec == c, F.col(f"{side}{i}")) for i, c in enumerate(TARGETS)))
 
 
 def _path(kind: Column | str, codec: Column, width: Column, height: Column, bitrate: Column, tone_map: Column, deinterlace: Column, burn_in: Column) -> Column:
@@ -116,11 +175,11 @@ def _sound(kind: str, codec: Column | None = None, channels: Column | None = Non
 def decide_video(rows: DataFrame) -> DataFrame:
     """L2: adds ``video_path`` and ``reasons``; copied unless a rule forbids it, dropped without anything to convert to."""
     have = F.col("codec").isNotNull()
-    rows = rows.withColumns({"decoder": _decoder(F.col("codec")), "hdr": F.coalesce("hdr", F.lit("sdr")), "target": _target(), "ceiling": F.least(F.floor(F.col("network_bps") * 8 / 10), F.col("bitrate_bps"))})
+    rows = rows.withColumn("ceiling", F.least(F.floor(F.col("network_bps") * 8 / 10), F.col("bitrate_bps")))
     d = F.col("decoder")
     profile = F.lower("profile")
-    shown, wide = codecs.shows_hdr(F.col("hdr_formats"), F.col("hdr")), codecs.gamut_rank(F.col("gamut")) <= codecs.gamut_rank(F.col("display_gamut"))
-    listed = F.exists(d["profiles"], lambda x: F.lower(x) == profile)
+    shown, wide = F.col("shown"), codecs.gamut_rank(F.col("gamut")) <= codecs.gamut_rank(F.col("display_gamut"))
+    listed = F.array_contains(d["profiles"], profile)
     rules = [
         (1, "VideoCodecUnsupported", d.isNull()), (1, "VideoCodecUnsupported", (F.size(d["profiles"]) > 0) & ~listed), (1, "VideoCodecUnsupported", F.col("level") > d["max_level"]),
         (1, "BitDepthUnsupported", F.col("bit_depth") > d["max_bit_depth"]), (1, "ChromaSubsamplingUnsupported", F.col("chroma") > d["max_chroma"]), (1, "VideoTooLarge", _yes(F.col("width") > d["max_width"]) | _yes(F.col("height") > d["max_height"])),
@@ -134,11 +193,10 @@ def decide_video(rows: DataFrame) -> DataFrame:
             must = must | (_yes(when) & (no_map if name in ("HdrUnsupportedByDisplay", "GamutUnsupportedByDisplay") else F.lit(True)))
     must = have & must
     found = [_reason(tier, name, have & _yes(when)) for tier, name, when in rules]
-    rows = rows.withColumns({"must": must, "tone_map": have & ~_yes(shown), "aim": _decoder(F.col("target"))})
-    aim = F.col("aim")
-    convert = _path("transcode", F.col("target"), F.least(aim["max_width"], F.greatest("width", F.lit(1))), F.least(aim["max_height"], F.greatest("height", F.lit(1))), F.col("ceiling"), F.col("tone_map"), _yes(F.col("interlaced")), F.lit(False))
+    rows = rows.withColumns({"must": must, "tone_map": have & ~_yes(shown)})
+    convert = _path("transcode", F.col("target"), F.least(_aim("width", F.col("target")), F.greatest("width", F.lit(1))), F.least(_aim("height", F.col("target")), F.greatest("height", F.lit(1))), F.col("ceiling"), F.col("tone_map"), _yes(F.col("interlaced")), F.lit(False))
     path = F.when(~F.col("must"), _plain("copy")).when(F.col("target").isNotNull(), convert).otherwise(_plain("drop"))
-    return rows.withColumns({"video_path": path, "reasons": _reasons(*found, _reason(3, "VideoCodecUnsupported", F.col("must") & F.col("target").isNull()))})
+    return rows.withColumns({"video_path": path, "reasons": F.concat(*found, _reason(3, "VideoCodecUnsupported", F.col("must") & F.col("target").isNull()))})
 
 
 def _rate(rates: Column, source: Column) -> Column:
@@ -155,61 +213,78 @@ def _rate(rates: Column, source: Column) -> Column:
 def decide_audio(rows: DataFrame) -> DataFrame:
     """L3: adds ``audio_path`` and reasons: passed through, bit-perfect, decoded, its core, or converted."""
     codec, channels, rate, objects = F.col("audio.codec"), F.col("audio.channels"), F.col("audio.sample_rate").cast("int"), _yes(F.col("audio.has_objects"))
-    have, whole = F.col("audio").isNotNull(), _yes(F.array_contains("encodings", codec))
-    fit, rate_ok = _yes(channels <= F.col("max_channels")), _yes(F.array_contains("rates", rate))
+    have, whole = F.col("audio").isNotNull(), F.col("whole")
+    fit, rate_ok = _yes(channels <= F.col("max_channels")), F.col("rate_ok")
     core, arrive = codecs.core_of(codec), F.least(channels, "max_channels")
-    into = F.when((arrive > 2) & F.array_contains("encodings", "eac3"), "eac3").when((arrive > 2) & F.array_contains("encodings", "ac3"), "ac3").otherwise("aac")
+    into = F.when((arrive > 2) & F.col("takes_eac3"), "eac3").when((arrive > 2) & F.col("takes_ac3"), "ac3").otherwise("aac")
     path = F.when(~have, _sound("none")).when(whole, _sound("passthrough")).when(fit & rate_ok & _yes(codec.isin(*codecs.LOSSLESS)) & ~objects & _yes(F.col("exclusive")), _sound("bit_perfect"))
     path = path.when(fit, _sound("lpcm", None, channels, F.when(rate_ok, rate).otherwise(_rate(F.col("rates"), rate)), ~rate_ok, objects))
-    path = path.when(_yes(F.array_contains("encodings", core)), _sound("core", core)).otherwise(_sound("transcode", into, arrive))
+    path = path.when(F.col("core_fits"), _sound("core", core)).otherwise(_sound("transcode", into, arrive))
     found = [_reason(0, "SinkLacksEncoding", have & ~whole), _reason(1, "ChannelCountUnsupported", have & ~whole & ~fit), _reason(1, "SampleRateUnsupported", have & ~whole & ~rate_ok)]
-    return rows.withColumns({"audio_path": path, "reasons": F.concat("reasons", _reasons(*found))})
+    return rows.withColumns({"audio_path": path, "reasons": F.concat("reasons", *found)})
 
 
 def decide_container(rows: DataFrame) -> DataFrame:
     """Adds ``delivery`` (kind, container); of the pairs of video and audio codecs to deliver, the first that a container of the client carries."""
     video, sound = F.col("video_path"), F.col("audio_path")
-    accepted = _yes(F.array_contains("containers", F.col("container")))
+    accepted, into = F.col("accepted"), F.col("audio_path.codec")
     same = (video["kind"] == "copy") & ~sound["kind"].isin("transcode", "core") & accepted
     out_video = F.when(video["kind"] == "copy", F.col("codec")).otherwise(video["codec"])
     out_audio = F.when(sound["kind"].isin("transcode", "core"), sound["codec"]).when(sound["kind"] != "none", F.col("audio.codec"))
-    videos = F.concat(F.array(out_video), F.filter(F.array(*(F.lit(c) for c in TARGETS)), lambda c: _decoder(c).isNotNull()))
-    audios = F.array(out_audio, F.lit("eac3"), F.lit("aac"), F.lit("opus"))
-
-    def best(v: Column, a: Column) -> Column:
-        able = F.filter("containers", lambda c: codecs.carries_video(c, v) & codecs.carries_audio(c, a))
-        return F.array_min(F.transform(able, lambda c, i: F.struct(codecs.remux_rank(c).alias("rank"), i.alias("place"), c.alias("container"))))["container"]
-
-    pairs = F.flatten(F.transform(videos, lambda v, i: F.transform(audios, lambda a, j: F.struct(i.alias("vi"), j.alias("ai"), v.alias("v"), a.alias("a"), best(v, a).alias("container")))))
-    rows = rows.withColumns({"same": same, "hit": F.when(~same, F.get(F.filter(pairs, lambda x: x["container"].isNotNull()), F.lit(0)))})
-    hit, aim = F.col("hit"), _decoder(F.col("hit.v"))
-    new_video = _path("transcode", hit["v"], F.when(F.col("codec").isNull(), 1920).otherwise(F.least(aim["max_width"], "width")), F.when(F.col("codec").isNull(), 1080).otherwise(F.least(aim["max_height"], "height")), F.col("ceiling"), F.col("tone_map"), _yes(F.col("codec").isNotNull() & F.col("interlaced")), F.lit(False))
+    v0 = F.when(video["kind"] == "copy", F.col("codec_bits")).when(video["kind"] == "drop", F.col("every")).otherwise(F.coalesce(*(F.when(video["codec"] == c, F.col(f"target{i}")) for i, c in enumerate(TARGETS))))
+    a0 = F.when(sound["kind"] == "core", F.col("core_bits")).when(sound["kind"] == "transcode", F.coalesce(*(F.when(into == c, F.col(f"{c}_bits")) for c in INTO))).when(sound["kind"] == "none", F.col("every")).otherwise(F.col("sound_bits"))
+    rows = rows.withColumns({"same": same, "out_video": out_video, "out_audio": out_audio, "v0": v0, "a0": a0})
+    videos = [("out_video", F.col("v0"))] + [(F.lit(c), F.col(f"target{i}")) for i, c in enumerate(TARGETS)]
+    audios = [("out_audio", F.col("a0"))] + [(F.lit(c), F.col(f"{c}_bits")) for c in ("eac3", "aac", "opus")]
+    pair = None
+    for i, (_, v) in enumerate(videos):
+        for j, (_, a) in enumerate(audios):
+            fits = v.bitwiseAND(a) != 0
+            if i + j == 0:  # without streams the first container will do, even an unknown one
+                fits = F.when(F.col("out_video").isNull() & F.col("out_audio").isNull(), F.get("ranked", F.lit(0)).isNotNull()).otherwise(fits)
+            pair = (F if pair is None else pair).when(fits, 4 * i + j)
+    rows = rows.withColumn("pair", F.when(~F.col("same"), pair))
+    vi, ai = F.shiftright("pair", 2), F.col("pair").bitwiseAND(3)
+
+    def pick(place: Column, some: list) -> Column:
+        found = None
+        for i, c in enumerate(some):
+            found = (F if found is None else found).when(place == i, F.col(c) if isinstance(c, str) else c)
+        return found
+
+    rows = rows.withColumn("carry", pick(vi, [v for _, v in videos]).bitwiseAND(pick(ai, [a for _, a in audios])))
+    lowest = F.bit_count(F.col("carry").bitwiseAND(-F.col("carry")) - 1)
+    hit = {"v": pick(vi, [c for c, _ in videos]), "a": pick(ai, [c for c, _ in audios]), "container": F.get("ranked", lowest), "vi": vi, "ai": ai}
+    rows = rows.withColumn("hit", F.when(F.col("pair").isNotNull(), F.struct(*(c.alias(k) for k, c in hit.items())))).drop("ranked")
+    hit = F.col("hit")
+    new_video = _path("transcode", hit["v"], F.when(F.col("codec").isNull(), 1920).otherwise(F.least(_aim("width", hit["v"]), "width")), F.when(F.col("codec").isNull(), 1080).otherwise(F.least(_aim("height", hit["v"]), "height")), F.col("ceiling"), F.col("tone_map"), _yes(F.col("codec").isNotNull() & F.col("interlaced")), F.lit(False))
     new_audio = _sound("transcode", hit["a"], F.coalesce(F.least(F.col("audio.channels"), F.col("max_channels")), F.lit(2)))
     kind = F.when(F.col("same"), "original").when(hit.isNotNull(), "remux").otherwise("unavailable")
     return rows.withColumns({
         "delivery": F.struct(kind.alias("kind"), F.when(F.col("same"), F.col("container")).otherwise(hit["container"]).alias("container")),
         "video_path": F.when(hit["vi"] > 0, new_video).otherwise(video), "audio_path": F.when(hit["ai"] > 0, new_audio).otherwise(sound),
-        "reasons": F.concat("reasons", _reasons(_reason(0, "ContainerUnsupported", ~accepted), _reason(3, "ContainerUnsupported", kind == "unavailable"))),
+        "reasons": F.concat("reasons", _reason(0, "ContainerUnsupported", ~accepted), _reason(3, "ContainerUnsupported", kind == "unavailable")),
     })
 
 
 def decide_subtitle(rows: DataFrame) -> DataFrame:
     """Adds ``subtitle_path`` (kind, format); burning a subtitle in makes the video a conversion, or drops it without a codec for that."""
     codec, outside, video = F.col("subtitle.codec"), _yes(F.col("subtitle.external")), F.col("video_path")
-    drawn, beside = _yes(F.array_contains("renderable", codec)), _yes(F.col("out_of_band"))
+    drawn, beside = F.col("drawn"), _yes(F.col("out_of_band"))
     carried = F.when(F.col("delivery.kind") == "remux", codecs.carries_subtitle(F.col("delivery.container"), codec)).otherwise(~outside)
-    text = F.when(F.array_contains("renderable", "webvtt"), "webvtt").when(F.array_contains("renderable", "subrip"), "subrip")
+    text = F.col("text")
     kind = F.when(F.col("subtitle").isNull(), "none").when(codec.isin(*codecs.CAPTIONS) & ~outside & drawn, "in_band").when(drawn & _yes(carried), "in_band").when(drawn & beside, "out_of_band")
     kind = kind.when(~_yes(codec.isin(*codecs.BITMAP)) & beside & text.isNotNull(), "converted").otherwise("burned_in")
-    rows = rows.withColumns({"way": kind, "burn_target": _target(F.col("delivery.container")), "burn_any": _target()})
+    target = F.coalesce(*(F.when(F.col(f"able{i}") & F.col("delivery.container").isin(*codecs.carriers(c, codecs.CARRIES_VIDEO)), F.lit(c)) for i, c in enumerate(TARGETS)))
+    rows = rows.withColumns({"way": kind, "burn_target": target})
     burn = F.col("way") == "burned_in"
-    into = F.when(F.col("delivery.container").isNull(), F.col("burn_any")).otherwise(F.col("burn_target"))
+    into = F.when(F.col("delivery.container").isNull(), F.col("target")).otherwise(F.col("burn_target"))
     fresh = _path("transcode", into, F.least("display_width", "width"), F.least("display_height", "height"), F.floor(F.col("network_bps") * 8 / 10), F.lit(False), F.lit(False), F.lit(True))
     again = _path(video["kind"], *(video[x] for x in ("codec", "width", "height", "bitrate_bps", "tone_map", "deinterlace")), F.lit(True))
     path = F.when(~burn | (video["kind"] == "drop"), video).when(video["kind"] == "transcode", again).when(into.isNotNull(), fresh).otherwise(_plain("drop"))
     way = F.when(F.col("way") == "converted", "out_of_band").otherwise(F.col("way"))
     form = F.when(F.col("way") == "converted", text).when(F.col("way") == "out_of_band", codec)
-    return rows.withColumns({"video_path": path, "subtitle_path": F.struct(way.alias("kind"), form.alias("format")), "reasons": F.concat("reasons", _reasons(_reason(2, "SubtitleBurnInRequired", burn)))})
+    return rows.withColumns({"video_path": path, "subtitle_path": F.struct(way.alias("kind"), form.alias("format")), "reasons": F.concat("reasons", _reason(2, "SubtitleBurnInRequired", burn))})
 
 
 def playback_plan(requests: DataFrame, clients: DataFrame) -> DataFrame:
@@ -219,21 +294,23 @@ def playback_plan(requests: DataFrame, clients: DataFrame) -> DataFrame:
     chroma ('420', '422', '444'), hdr, gamut, video_bitrate_bps, interlaced. Other columns are ignored. A request without video and audio, or that no container can carry, or against the client's policy is blocked
     and keeps its reasons. What is null passes its test. Requests of unknown clients give no row; repeated requests repeat their plan. Tone-mapping curves are not built.
     """
+    # the JVM only interprets methods above this size; rows' expressions in smaller ones are compiled
+    requests.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
     used = ["source_id", "client", "audio", "subtitle", "container", "bitrate_bps", "recovered_lossy", "codec", "profile", "level", "width", "height", "bit_depth", "chroma", "hdr", "gamut", "video_bitrate_bps", "interlaced"]
-    rows = requests.select(*used).join(_small(clients), "client")
-    rows = decide_subtitle(decide_container(decide_audio(decide_video(rows))))
+    rows = requests.select(*used).join(_small(_prepared(clients)), "client")
+    rows = decide_subtitle(decide_container(decide_audio(decide_video(_looked_up(rows)))))
     video, sound, sub = F.col("video_path"), F.col("audio_path"), F.col("subtitle_path")
     lossy = _yes(F.col("recovered_lossy"))
     fewer = sound["channels"] < F.col("audio.channels")
     tier = F.when(lossy, 4).when((video["kind"] != "copy") | (sub["kind"] == "burned_in"), 3).when(sound["kind"].isin("transcode", "lpcm") & fewer, 3)
     tier = tier.when(sound["kind"].isin("transcode", "core"), 2).when(sound["kind"] == "lpcm", F.when(sound["resampled"] | sound["objects_lost"], 2).otherwise(1)).otherwise(F.when(F.col("delivery.kind") == "original", 0).otherwise(1))
-    rows = rows.withColumns({"tier": tier, "reasons": F.concat("reasons", _reasons(_reason(0, "SourceIncomplete", lossy)))})
+    rows = rows.withColumns({"tier": tier, "reasons": F.concat("reasons", _reason(0, "SourceIncomplete", lossy))})
     direct = (video["kind"] == "copy") & (sound["kind"] != "transcode") & (sub["kind"] != "burned_in")
     against = F.when(F.col("transcode") == "audio_only", video["kind"] != "copy").when(F.col("transcode") == "none", ~direct | (F.col("delivery.kind") != "original")).otherwise(False)
     empty, lost = F.col("codec").isNull() & F.col("audio").isNull(), F.col("delivery.kind") == "unavailable"
     rows = rows.withColumns({"empty": empty, "against": ~empty & ~lost & against, "blocked": empty | lost | against})
     blocked = F.col("blocked")
-    reasons = F.when(F.col("empty"), F.array(F.struct(F.lit(0).alias("tier"), F.lit("ContainerUnsupported").alias("reason")))).otherwise(F.concat("reasons", _reasons(_reason(0, "UserPolicy", F.col("against")))))
+    reasons = F.when(F.col("empty"), F.array(F.struct(F.lit(0).alias("tier"), F.lit("ContainerUnsupported").alias("reason")))).otherwise(F.concat("reasons", _reason(0, "UserPolicy", F.col("against"))))
     return rows.select(
         "source_id", "client", F.when(blocked, F.struct(F.lit("original").alias("kind"), F.col("container").alias("container"))).otherwise(F.col("delivery")).alias("delivery"), F.when(blocked, _plain("copy")).otherwise(video).alias("video_path"),
         F.when(blocked, _sound("none")).otherwise(sound).alias("audio_path"), F.when(blocked, F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("format"))).otherwise(sub).alias("subtitle_path"), F.when(blocked, 5).otherwise(F.col("tier")).alias("tier"), reasons.alias("reasons"),

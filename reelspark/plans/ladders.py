@@ -66,7 +66,8 @@ def _track_columns(duck: bool) -> dict[str, str]:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr(*(f"{x} AS {n}" for n, x in _source_columns(False).items()))
+    """Each order on each client, with the keys that its columns are made of."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), "o_custkey")
     return rows.withColumn("client", F.explode(F.array(*(F.lit(c["client"]) for c in CLIENTS))))
 
 
@@ -88,7 +89,8 @@ def track_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladders.playback_plan(_selected(spark, sf_dir), _clients(spark))
+    chosen = _selected(spark, sf_dir).withColumnRenamed("source_id", "o_orderkey")
+    return ladders.playback_plan(chosen.selectExpr(*(f"{x} AS {n}" for n, x in _source_columns(False).items()), "client", "audio", "subtitle"), _clients(spark))
 
 
 def playback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,32 @@ def test_forced_tracks_ties_and_odd_rows(plan, spark):
     assert plan(sources, audio, texts, forced_audio=3, forced_subtitle=99)[1].filter("source_id = 1 AND client = 'native' AND audio.idx = 3 AND subtitle IS NULL").count() == 2
     assert plan(sources, audio, texts, forced_audio=99)[1].filter("audio.idx = 2").count() == 2
     assert plan([], [], [])[0] == {}
+
+
+def test_a_row_searches_no_list_of_its_client(spark, plan):
+    """Containers and decoders are looked up: only the choice of a sample rate still walks a list."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        clients = spark.createDataFrame(CLIENTS, ladders.CLIENT)
+        chosen = plan([video(1, "native")], [track(1, 1, "aac")])[1]
+        shown = ladders.playback_plan(chosen, clients)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    above = shown[: shown.index("BroadcastHashJoin")]
+    assert "filter(" not in above and "array_min(" not in above and "exists(" not in above
+
+
+def test_containers_that_repeat_or_that_nobody_knows(plan, spark, monkeypatch):
+    client = CLIENTS[0] | {"client": "odd", "containers": ["what", "avi", "avi", None, "mpeg_ts", "else", "ogg", "mp4"], "decoders": [*CLIENTS[0]["decoders"][:1], CLIENTS[0]["decoders"][0] | {"max_width": 1}]}
+    nothing = CLIENTS[0] | {"client": "none", "containers": ["what"]}
+    monkeypatch.setattr("tests.test_ladders.CLIENTS", [client, nothing])
+    got, _ = plan([video(1, "odd"), video(2, "odd", codec="theora"), video(3, "odd", codec="ffv1"), video(4, "none"), video(5, "odd", codec="vc1", width=9000)], [track(1, 1, "aac"), track(2, 1, "vorbis"), track(3, 1, "pcm"), track(4, 1, "aac"), track(5, 1, "dsd")])
+    assert {k[0]: tuple(r["delivery"]) for k, r in got.items()} == {1: ("remux", "mp4"), 2: ("remux", "mp4"), 3: ("remux", "mp4"), 4: ("original", "matroska"), 5: ("remux", "mp4")}
+    assert got[4, "none"]["tier"] == 5 and got[5, "odd"]["video_path"]["width"] == 4096
+
+
+def test_tasks_that_choose_tracks_grow_in_number_and_not_in_size(plan, monkeypatch):
+    monkeypatch.setattr(ladders, "REQUESTS_A_TASK", 2)
+    rows = [video(k, "native") for k in range(20)]
+    _, chosen = plan(rows, [track(k, 1, "aac") for k in range(20)])
+    assert chosen.rdd.getNumPartitions() == 11 and chosen.filter("audio.idx = 1").count() == 20
