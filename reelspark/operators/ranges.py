@@ -89,9 +89,9 @@ def lagged(rows: DataFrame, key: str, order: list[str], columns: list[str], rang
     return found.select(*rows.columns, *(F.when(same, F.col(f"row_.{c}")).alias(f"before_{c}") for c in columns))
 
 
-def at_share(rows: DataFrame, key: str, value: str, name: str, num: int, den: int, ranges: int | None = None) -> DataFrame:
-    """key and the value at index min(floor(n * num / den), n - 1) of its n rows in order (nulls first), from running counts of equal values; no key is sorted in one task."""
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("n_"))
+def at_share(rows: DataFrame, key: str, value: str, name: str, num: int, den: int, ranges: int | None = None, times: str | None = None) -> DataFrame:
+    """key and the value at index min(floor(n * num / den), n - 1) of its n rows in order (nulls first), from running counts of equal values; no key is sorted in one task. A row stands for ``times`` equal ones if that column is given."""
+    counts = rows.groupBy(key, value).agg((F.sum(times) if times else F.count("*")).alias("n_"))
     upto = running(counts, [key, value], F.col("n_"), "upto_", ranges)
     totals = upto.groupBy(F.col(key).alias("key_")).agg(F.sum("n_").alias("all_"), F.min(F.col("upto_") - F.col("n_")).alias("base_"))
     index = F.col("base_") + F.least(F.floor(F.col("all_") * num / F.lit(den)), F.col("all_") - 1)

@@ -27,10 +27,16 @@ def _lines(rows: DataFrame, newer: list[str]) -> DataFrame:
     return rows.select(F.when(i % 23 == 0, " ").otherwise(line).alias("line"))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their counter k read once, spread: lines are dearer to write and parse than events are to read."""
+    rows = catalog.spread(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "props"))
+    return rows.select("event_id", "user_id", "ts", F.explode(F.array(F.get_json_object("props", "$.k").cast("long"))).alias("k"))
+
+
 def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session log read tolerantly, and how its predictions did; rejected lines are counted."""
-    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(
+    k, i = F.col("k"), F.col("event_id")
+    rows = _events(spark, sf_dir).select(
         i.alias("id"), (F.col("user_id") % 3 == 0).alias("predicted_hardware_decode"), F.when(k % 4 == 0, "no").when(k % 4 == 1, "").when(k % 4 == 2, "vaapi").alias("observed_hwdec"),
         k.alias("dropped_frames"), (k % 10 / 2.0).alias("seconds_played"), F.when(k % 5 == 0, 0.0).when(k % 5 > 1, 25.0 * (1 + k)).alias("expected_fps"),
         (i % 2 == 0).alias("predicted_audio_passthrough"), F.when(k % 6 == 0, "spdif-ac3").when(k % 6 == 1, "s16").alias("observed_audio_out_format"),
@@ -42,8 +48,8 @@ def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a log read tolerantly, and each stage's summary after a day of warming up."""
-    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(
+    k, i = F.col("k"), F.col("event_id")
+    rows = _events(spark, sf_dir).select(
         i.alias("id"), F.col("user_id").alias("stage"), (millis("ts") - _START).alias("at_ms"), (k + i % 100).alias("delayed"), k.alias("dropped"), (k % 7 * 1.0).alias("fps"),
         ((k - 50) / 1024.0).alias("avsync_s"), (k * 3 % 50 * 0.5).alias("render_ms"), (k / 128.0).alias("cpu_frac"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.operators.ranges import at_share, lagged
+from reelspark.operators.ranges import at_share, lagged, written
 
 
 def stage_stats(samples: DataFrame) -> DataFrame:
@@ -36,12 +36,15 @@ def stage_summary(samples: DataFrame, warmup_ms: int = 0) -> DataFrame:
     def finite(c: str) -> Column:
         return F.when(steady & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
 
-    rows = samples.withColumn("render", finite("render_ms"))
-    p99 = at_share(rows.filter("render IS NOT NULL"), "stage", "render", "p99", 99, 100).withColumnRenamed("stage", "stage_")
-    ends = F.struct("at_ms", "delayed", "dropped")
-    out = rows.groupBy("stage").agg(
-        F.count(F.when(steady, 1)).alias("samples"), F.min(F.when(steady, ends)).alias("a"), F.max(F.when(steady, ends)).alias("b"), F.avg(F.when(finite("fps") > 0, F.col("fps"))).alias("fps"),
-        F.max(F.abs(finite("avsync_s")) * 1000.0).alias("sync"), F.avg(finite("cpu_frac")).alias("cpu"),
+    # read once: rows of one stage and render time are summed up and written, and all else comes from those
+    ends, fps, cpu = F.struct("at_ms", "delayed", "dropped"), F.when(finite("fps") > 0, F.col("fps")), finite("cpu_frac")
+    parts = written(samples.groupBy("stage", finite("render_ms").alias("render")).agg(
+        F.count("*").alias("times"), F.count(F.when(steady, 1)).alias("samples"), F.min(F.when(steady, ends)).alias("a"), F.max(F.when(steady, ends)).alias("b"), F.sum(fps).alias("fps"), F.count(fps).alias("n_fps"),
+        F.max(F.abs(finite("avsync_s")) * 1000.0).alias("sync"), F.sum(cpu).alias("cpu"), F.count(cpu).alias("n_cpu"),
+    ))
+    p99 = at_share(parts.filter("render IS NOT NULL"), "stage", "render", "p99", 99, 100, times="times").withColumnRenamed("stage", "stage_")
+    out = parts.groupBy("stage").agg(
+        F.sum("samples").alias("samples"), F.min("a").alias("a"), F.max("b").alias("b"), F.try_divide(F.sum("fps"), F.sum("n_fps")).alias("fps"), F.max("sync").alias("sync"), F.try_divide(F.sum("cpu"), F.sum("n_cpu")).alias("cpu"),
     )
     out = out.join(p99, F.col("stage").eqNullSafe(F.col("stage_")), "left").drop("stage_")
     seconds = (F.col("b.at_ms") - F.col("a.at_ms")) / 1000.0

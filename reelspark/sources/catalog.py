@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows a task gets of work that costs much more than reading them.
+ROWS_A_TASK = 250_000
+
+
+def spread(rows: DataFrame, a_task: int = ROWS_A_TASK, *by: str) -> DataFrame:
+    """The rows dealt over tasks of about ``a_task`` each (by columns, else evenly), however few files or row groups they come from and however many there are."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // a_task + 1)
+    return rows.repartition(n, *by)
+
+
 def millis(ts: str) -> Column:
     """Milliseconds since 1970 of a timestamp without zone."""
     return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
