@@ -1,10 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Tasks cut each text where both tokenizers surely begin a token (a space between two characters that are not white space: no token of
-either holds such a place in its middle), and tokenise each distinct piece of a block of texts once. All else is higher-order functions: ``array_intersect`` of the two
-arrays of token ends gives a piece's groups, ``array_union`` its links (one for each end, of the tokens that hold the byte before it),
-and a text's groups are those of its pieces in order. Links are counted over the corpus by pair of ids, from each piece's links and the times it
-stands in a block; the counts go back to the pieces and from there to the texts.
+either holds such a place in its middle), and tokenise each distinct piece of a block of texts once. All pieces of a block stand in one row of bytes, as they
+begin and end with tokens of both: ends that both tokenizers have there cut it into groups, and every end of either is one link, of the tokens that hold the byte before it.
+A text's groups are those of its pieces in order. Links are counted over the corpus by pair of ids, from each block's distinct pairs and the times they
+stand in it; the counts go back to the blocks, each of which sums them up for its pieces and from there for its texts.
 
 The byte-level tokenizer sees a space and the text, the piece tokenizer the text, to which it adds the space itself. Strings of special tokens are plain text.
 Defined results: a text that is null or empty, or from which either tokenizer's bytes do not give back space and text (one that holds U+2581), has no tokens,
@@ -13,6 +13,7 @@ and counts nowhere; equal and repeated rows count each by itself; other columns
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -34,8 +35,6 @@ BLOCK = 2_000_000
 #: Pairs of ids whose counts are broadcast; more are joined by shuffle.
 MOST_PAIRS = 2_000_000
 
-#: Of either tokenizer's side of a piece: ids, ends in bytes, and the number of the token that holds each byte.
-_SIDES = ("a", "a_end", "a_at", "b", "b_end", "b_at")
 _SURE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -82,6 +81,8 @@ class Pair:
     def __init__(self, byte_level: str, pieces: str, pattern: str):
         self.a, self.a_size, self.a_bytes = load_byte_level(byte_level, pattern)
         self.b, self.b_size, self.b_bytes = load_pieces(pieces)
+        most = max(len(self.a_size), len(self.b_size))
+        self.written = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(most)], pa.large_string())
 
     @classmethod
     def of(cls, *paths: str) -> Pair:
@@ -104,13 +105,32 @@ class Pair:
         return size, *(np.fromiter(chain.from_iterable(p), np.int32) for p in (a, b)), bad
 
 
-def _side(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, bytes_of: np.ndarray) -> list[pa.ListArray]:
-    """For each piece, lists of ids, of ends, and of the number of the token that holds each byte; from tokens a piece, bytes a token and bytes a piece."""
-    first, begin = np.cumsum(counts) - counts, np.cumsum(bytes_of) - bytes_of
-    ends = np.cumsum(sizes) - np.repeat(begin, counts)
-    number = np.arange(len(ids)) - np.repeat(first, counts)
-    lists = [(counts, ids), (counts, ends), (bytes_of, np.repeat(number, sizes))]
-    return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(x.astype(np.int32))) for n, x in lists]
+def align_pieces(pair: Pair, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.LargeStringArray]:
+    """Ids of either side, tokens a piece and bytes a piece, of pieces one after the other: the pairs of ids that are linked, links a piece, groups a piece, and a piece's groups in writing, each with ``;`` behind it."""
+    ends, a_end, b_end = np.cumsum(size), np.cumsum(pair.a_size[a], dtype=np.int64), np.cumsum(pair.b_size[b], dtype=np.int64)
+    every, common = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end, assume_unique=True)
+    pairs = a[np.searchsorted(a_end, every)].astype(np.int64) << 32 | b[np.searchsorted(b_end, every)]
+    upto = lambda some: np.diff(np.searchsorted(some, ends, side="right"), prepend=0)
+    # in writing a group is its tokens of a, then those of b; the last of either has a mark of its own behind it
+    a_last, b_last = np.searchsorted(a_end, common), np.searchsorted(b_end, common)
+    a_many, b_many = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+    codes, marks = np.empty(len(a) + len(b), np.int64), len(pair.written) // 3
+    codes[np.arange(len(a)) + np.repeat(b_last - b_many + 1, a_many)] = a
+    codes[np.arange(len(b)) + np.repeat(a_last + 1, b_many)] = b
+    codes[a_last + b_last - b_many + 1] += marks
+    codes[a_last + b_last + 1] += 2 * marks
+    text = pair.written.take(pa.array(codes))
+    bounds = _bounds(text)[np.append(0, np.cumsum(n_a + n_b))]
+    return pairs, upto(every), upto(common), pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), text.buffers()[2])
+
+
+def _bounds(texts: pa.LargeStringArray) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
+def _sums(values: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Sums of values by runs of so many."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(many))])
 
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -130,7 +150,7 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]
 
 
 def tokenise(docs: DataFrame, byte_level: str, pieces: str, pattern: str, block: int = BLOCK) -> DataFrame:
-    """A row a block of texts: its distinct pieces (times; ids, ends in bytes and the number of the token at each byte for either tokenizer) and docs (doc_id, numbers of tokens, its pieces in order)."""
+    """A row a block of texts: docs (doc_id, numbers of tokens and groups, those in writing as digest, number of pieces), places (of their pieces among the block's distinct ones), n_links (a distinct piece), links (places of those among the block's pairs), pairs (ids, times)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,25 +161,29 @@ def tokenise(docs: DataFrame, byte_level: str, pieces: str, pattern: str, block:
                 size, a, b, bad = pair.tokens(words)
                 ends = np.append(0, np.cumsum(size))
                 n_a, n_b = (np.diff(np.searchsorted(np.cumsum(n[x]), ends, side="right")) for x, n in ((a, pair.a_size), (b, pair.b_size)))
-                of_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[places])])[at])  # noqa: E731, B023
-                keep = np.repeat(of_text(bad.astype(np.int64)) == 0, np.diff(at))
-                at = np.concatenate([[0], np.cumsum(keep)])[at]
+                keep = np.repeat(_sums(bad[places].astype(np.int64), np.diff(at)) == 0, np.diff(at))
+                many = np.diff(np.append(0, np.cumsum(keep))[at])
                 places = places[keep]
                 times = np.bincount(places, minlength=len(words))
                 used = times > 0  # every piece that is left stands in a text that counts
                 a, b = a[np.repeat(used, n_a)], b[np.repeat(used, n_b)]
                 size, times, n_a, n_b, places = size[used], times[used], n_a[used], n_b[used], (np.cumsum(used) - 1)[places]
-                sides = [*_side(a, n_a, pair.a_size[a], size), *_side(b, n_b, pair.b_size[b], size)]
-                inside = pa.StructArray.from_arrays([pa.array(times.astype(np.int32)), *sides], ["times", *_SIDES])
-                held = pa.StructArray.from_arrays(
-                    [batch.column("doc_id").take(pa.array(order)), pa.array(of_text(n_a)), pa.array(of_text(n_b)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(places.astype(np.int32)))],
-                    ["doc_id", "n_a", "n_b", "places"],
-                )
+                linked, n_links, n_groups, written = align_pieces(pair, a, n_a, b, n_b, size)
+                pairs, links = np.unique(linked, return_inverse=True)
+                counts = np.zeros(len(pairs), np.int64)
+                np.add.at(counts, links, np.repeat(times, n_links))
+                texts = written.take(pa.array(places))
+                edge, held = _bounds(texts)[np.append(0, np.cumsum(many))].tolist(), memoryview(texts.buffers()[2] or b"")
+                digests = [hashlib.sha256(held[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(edge, edge[1:], strict=False)]
+                of_text = lambda x: pa.array(_sums(x[places], many))  # noqa: E731, B023
+                held_docs = [batch.column("doc_id").take(pa.array(order)), of_text(n_a), of_text(n_b), of_text(n_groups), pa.array(digests, pa.string()), pa.array(many.astype(np.int32))]
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([one(inside), one(held)], ["pieces", "docs"])
+                ints = lambda x: one(pa.array(x.astype(np.int32)))
+                row = [one(pa.StructArray.from_arrays(held_docs, ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_places"])), ints(places), ints(n_links), ints(links), one(pa.StructArray.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "times"]))]
+                yield pa.RecordBatch.from_arrays(row, ["docs", "places", "n_links", "links", "pairs"])
 
-    lists = ", ".join(f"{c}: array<int>" for c in _SIDES)
-    return docs.select("doc_id", "text").mapInArrow(run, f"pieces array<struct<times: int, {lists}>>, docs array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, places: array<int>>>")
+    doc = f"struct<doc_id: {kind}, n_a: bigint, n_b: bigint, n_groups: bigint, groups_sha256: string, n_places: int>"
+    return docs.select("doc_id", "text").mapInArrow(run, f"docs array<{doc}>, places array<int>, n_links array<int>, links array<int>, pairs array<struct<pair: bigint, times: bigint>>")
 
 
 def let(value: Column, body) -> Column:
@@ -168,7 +192,7 @@ def let(value: Column, body) -> Column:
 
 
 def groups(side: dict[str, Column], write) -> Column:
-    """What write makes of the ids of a and b between neighbouring ends that both have, in order."""
+    """For tables of tokens (of a and b: ids, ends in bytes, and the number of the token that holds each byte): what write makes of the ids of a and b between neighbouring ends that both have, in order."""
 
     def by(common: Column) -> Column:
         # a group's first byte is the end of the group before; past the last byte stands the number of all tokens
@@ -188,39 +212,9 @@ def links(side: dict[str, Column]) -> Column:
     return F.transform(F.array_union(side["a_end"], side["b_end"]), lambda e: F.shiftleft(at("a", e).cast("long"), 32).bitwiseOR(at("b", e)))
 
 
-def _aligned(blocks: DataFrame) -> DataFrame:
-    """A row a block: its pieces' times and links, and its texts with their groups in writing."""
-
-    def written(a: Column, b: Column) -> Column:
-        return F.concat(F.array_join(a.cast("array<string>"), ","), F.lit("|"), F.array_join(b.cast("array<string>"), ","))
-
-    def piece(p: Column) -> Column:
-        side = {c: p[c] for c in _SIDES}
-        made = lambda g: F.struct(F.size(g).alias("n"), F.array_join(g, ";").alias("text"))
-        return F.struct(p["times"].alias("times"), links(side).alias("links"), let(groups(side, written), made).alias("groups"))
-
-    # an explode of one element is not merged into what uses it, so all it holds is computed once a block
-    once = blocks.select(F.explode(F.array(F.struct("docs", F.transform("pieces", piece).alias("pieces")))).alias("x"))
-
-    def doc(d: Column) -> Column:
-        group = lambda i: F.get(F.col("x.pieces"), i)["groups"]
-        text = F.array_join(F.transform(d["places"], lambda i: group(i)["text"]), ";")
-        return F.struct(
-            *(d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "places")),
-            F.aggregate(d["places"], F.lit(0), lambda n, i: n + group(i)["n"]).cast("long").alias("n_groups"),
-            F.when(F.size(d["places"]) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
-        )
-
-    return once.select(
-        F.monotonically_increasing_id().alias("block"),
-        F.transform("x.docs", doc).alias("docs"),
-        F.transform("x.pieces", lambda p: F.struct(p["times"].alias("times"), p["links"].alias("links"))).alias("pieces"),
-    )
-
-
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """pair, times and whether no pair with the same b stands more often."""
-    each = blocks.select(F.explode("pieces").alias("p")).select(F.col("p.times").alias("times"), F.explode("p.links").alias("pair"))
+    each = blocks.select(F.explode("pairs").alias("p")).select("p.pair", "p.times")
     counted = materialise(each.groupBy("pair").agg(F.sum("times").alias("times")), "pairs")
     b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     most = counted.groupBy(b.alias("b")).agg(F.max("times").alias("most"))
@@ -230,28 +224,31 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return out
 
 
+def _valued(block: pa.Table, values: pa.Table) -> pa.Table:
+    """The rows of a block's texts, from the block and the values (times, best) of its pairs by place."""
+    flat = lambda c: block.column(c).combine_chunks().flatten()
+    docs, places, n_links, links = flat("docs"), *(flat(c).to_numpy() for c in ("places", "n_links", "links"))
+    many = docs.field("n_places").to_numpy()
+    by_pair = np.zeros((2, values.num_rows), np.int64)
+    if values.num_rows:
+        by_pair[:, values.column("place").to_numpy()] = [values.column(c).to_numpy() for c in ("times", "best")]
+    count_sum, n_best = (pa.array(_sums(_sums(v[links], n_links)[places], many)) for v in by_pair)
+    n_a, n_b, n_groups = (docs.field(c) for c in ("n_a", "n_b", "n_groups"))
+    columns = {"doc_id": docs.field("doc_id"), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": pc.subtract(pc.add(n_a, n_b), n_groups), "n_best": n_best, "count_sum": count_sum, "groups_sha256": docs.field("groups_sha256")}
+    return pa.table(columns)
+
+
 def align(docs: DataFrame, byte_level: str, pieces: str, pattern: str, block: int = BLOCK, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every text."""
-    tokenised = tokenise(docs, byte_level, pieces, pattern, block)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tokenised = tokenise(docs, byte_level, pieces, pattern, block).select(F.monotonically_increasing_id().alias("block"), "*")
     # rows are large: groups of few rows
-    blocks = materialise(_aligned(tokenised), "aligned", {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1})
+    blocks = materialise(tokenised, "aligned", {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1})
     counts = pair_counts(blocks)
     if counts.count() <= most_pairs:
         counts = F.broadcast(counts)
-    each = blocks.select("block", F.posexplode("pieces").alias("place", "p")).select("block", "place", F.explode("p.links").alias("pair"))
-    valued = each.join(counts, "pair").groupBy("block", "place").agg(F.sum("times").alias("sum"), F.sum(F.col("best").cast("long")).alias("best"))
-    # every piece has links, so its place is its index
-    values = valued.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "sum", "best"))).alias("values"))
-
-    def doc(d: Column) -> Column:
-        total = lambda name: F.aggregate(d["places"], F.lit(0).cast("long"), lambda n, i: n + F.get("values", i)[name])
-        return F.struct(
-            *(d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups")),
-            (d["n_a"] + d["n_b"] - d["n_groups"]).alias("n_links"),
-            total("best").alias("n_best"),
-            total("sum").alias("count_sum"),
-            d["groups_sha256"].alias("groups_sha256"),
-        )
-
-    out = blocks.select("block", "docs").join(values, "block", "left").select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*")
-    return out
+    each = blocks.select(F.col("block").alias("of_block"), F.posexplode("pairs").alias("place", "p")).select("of_block", "place", "p.pair")
+    values = each.join(counts, "pair").select("of_block", "place", "times", F.col("best").cast("long").alias("best"))
+    # a group of either side is one block
+    schema = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
+    return blocks.drop("pairs").groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(_valued, schema)

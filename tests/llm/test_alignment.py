@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -81,3 +82,23 @@ def test_groups_and_links_of_odd_ends(spark):
 
 def test_no_documents(spark):
     assert alignment.align(documents(spark, []), A, B, public_tokenizers.PATTERN).collect() == []
+
+
+def test_no_function_of_the_engine_goes_over_tokens(spark):
+    frame = alignment.align(documents(spark, texts(40)), A, B, public_tokenizers.PATTERN)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "collect_list" not in plan
+
+
+def test_pieces_like_columns(spark):
+    pair = alignment.Pair.of(A, B, public_tokenizers.PATTERN)
+    words = ["the", "cat's", "naïveté", "日本語", "x-ray,", "", "12345.67"]
+    size, a, b, _ = pair.tokens(words)
+    at = [(len(pair.a.encode_ordinary(" " + w)), len(pair.b.encode(w))) for w in words]
+    n_a, n_b = (np.array([x[k] for x in at]) for k in (0, 1))
+    keep = size > 0
+    pairs, n_links, n_groups, written = alignment.align_pieces(pair, a, n_a[keep], b, n_b[keep], size[keep])
+    assert n_links.sum() == len(pairs) and (n_links == n_a[keep] + n_b[keep] - n_groups).all()
+    for text, k, x, y in zip(written.to_pylist(), n_groups, n_a[keep], n_b[keep], strict=True):
+        sides = [g.split("|") for g in text[:-1].split(";")]
+        assert text[-1] == ";" and len(sides) == k and sum(len(s.split(",")) for s, _ in sides) == x and sum(len(s.split(",")) for _, s in sides) == y
