@@ -17,6 +17,8 @@ FIRST_RUNG = {
     "decode_error": 7, "hardware_decoder_failed": 8, "track_unrecoverable": 9, "drm_protected": None, "no_decoder_exists": None, "no_decodable_data": None, "hardware_insufficient": None,
 }
 LAST = len(RUNGS) - 1
+#: Requests whose steps a task puts in order.
+REQUESTS_A_TASK = 100_000
 
 
 def recovery(failures: DataFrame) -> DataFrame:
@@ -78,7 +80,8 @@ def acquisition_plan(available: DataFrame, requests: DataFrame, wanted: list[str
         plan = plan.unionByName(step(requests, 5, F.lit(0), F.lit("transcribe"), none, language.tag(F.col("audio_tag"))))
     elif not wanted:
         plan = plan.unionByName(step(requests, 9, F.lit(0), F.lit("unavailable"), none, F.lit(None).cast("string")))
-    plan = plan.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy("group_", "key_", "idx")).cast("long"))
+    n = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), requests.count() // REQUESTS_A_TASK + 1)
+    plan = plan.repartition(n, "item").withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy("group_", "key_", "idx")).cast("long"))
     return plan.filter("group_ < 9 OR place = 1").select("item", "place", "step", "idx", "tag")
 
 

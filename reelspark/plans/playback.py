@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspark.operators import metadata, sessions, snapshot, tracks
 from reelspark.sources import catalog
-from reelspark.sources.catalog import table
+from reelspark.sources.catalog import ROWS_A_TASK, spread, table
 
 NOW, DAY = 1_700_000_000, 86_400
 WANTED = ["pt-pt", "fr", "en"]
@@ -24,11 +24,16 @@ def language_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.resolve_language(rows, WANTED, "ja")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, idx, s, r, f, fidelity of the lines of orders; all lines of an order meet in one task of bounded rows before they are grouped, so no task holds the groups of a whole split."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
+    line = spread(rows, ROWS_A_TASK, "l_orderkey").groupBy(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("idx"))
+    return line.agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("r"), F.min("l_linestatus").alias("f"), F.min("l_quantity").cast("long").alias("fidelity"))
+
+
 def subtitle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O9 on the lines of orders."""
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("idx"))
-    rows = line.agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("r"), F.min("l_linestatus").alias("f"), F.min("l_quantity").cast("long").alias("fidelity"))
-    rows = rows.select("item", "idx", _pick(TAGS, "s + idx").alias("tag"), (F.col("r") == "R").alias("forced"), (F.col("f") == "F").alias("sdh"), "fidelity", (F.col("idx") % 3 == 0).alias("bitmap"))
+    rows = _lines(spark, sf_dir).select("item", "idx", _pick(TAGS, "s + idx").alias("tag"), (F.col("r") == "R").alias("forced"), (F.col("f") == "F").alias("sdh"), "fidelity", (F.col("idx") % 3 == 0).alias("bitmap"))
     return tracks.rank_tracks(rows, WANTED, True, False)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.operators import recovery as op
-from reelspark.plans.playback import _NORMAL, _STEP, TAGS, WANTED, _pick
+from reelspark.plans.playback import _NORMAL, _STEP, TAGS, WANTED, _lines, _pick
 from reelspark.sources import catalog
 from reelspark.sources.catalog import millis, table
 
@@ -22,9 +22,7 @@ def recovery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def acquisition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of orders as tracks."""
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("idx"))
-    rows = line.agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("r"), F.min("l_linestatus").alias("f"), F.min("l_quantity").cast("long").alias("fidelity"))
-    rows = rows.select("item", "idx", _pick(TAGS, "s + idx").alias("tag"), (F.col("r") == "R").alias("forced"), (F.col("f") == "F").alias("sdh"), "fidelity", (F.col("idx") % 3 == 0).alias("bitmap"), (F.col("idx") % 5 == 0).alias("machine"))
+    rows = _lines(spark, sf_dir).select("item", "idx", _pick(TAGS, "s + idx").alias("tag"), (F.col("r") == "R").alias("forced"), (F.col("f") == "F").alias("sdh"), "fidelity", (F.col("idx") % 3 == 0).alias("bitmap"), (F.col("idx") % 5 == 0).alias("machine"))
     requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 3 == 0).alias("captions"), _pick(TAGS, "o_orderkey").alias("audio_tag"))
     return op.acquisition_plan(rows, requests, WANTED, True, False)
 

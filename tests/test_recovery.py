@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from reelspark.operators import recovery
+from reelspark.plans import playback
 
 
 def climb(failures):
@@ -72,3 +75,15 @@ def test_folder_context(spark):
     assert got["2"] == ("Blade Runner", 1982, ["x", "y"], "season_only", 2, None, [1, 3])
     assert got["3"] == ("bb", 5, ["q", "q"], "date", None, [1], [1, 9])
     assert got["4"] == (None, None, [], None, None, None, [])
+
+
+def test_acquisition_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(recovery, "REQUESTS_A_TASK", 10, raising=False)
+    available = spark.createDataFrame([(k, 0, "en", False, False, 9, False, False) for k in range(95)], "item long, idx long, tag string, forced boolean, sdh boolean, fidelity long, bitmap boolean, machine boolean")
+    plan = recovery.acquisition_plan(available, available.select("item", F.lit(False).alias("captions"), F.lit("en").alias("audio_tag")), ["en"], True, False)
+    assert plan.rdd.getNumPartitions() == 10 and plan.count() == 95 * 4
+
+
+def test_lines_meet_before_they_are_grouped(spark):
+    plan = playback._lines(spark, "/root/testdata/sf0.001").repartition(3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "hashpartitioning(l_orderkey#" in plan and ", l_partkey" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
